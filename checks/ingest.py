@@ -208,7 +208,8 @@ def parquet_scan(spark, sf_dir):
         "tx_fraud": F.col("tx_fraud").cast("boolean"),
     })
     sinks.write_parquet(tx.select(*schema.RAW_COLUMNS), path)
-    return readers.read_clean(spark, path).select("transaction_id", "customer_id", "terminal_id", "tx_amount", "tx_fraud"
+    return readers.read_clean(spark, path).select(
+        "transaction_id", "customer_id", "terminal_id", "tx_amount", "tx_fraud"
     )
 
 

@@ -105,7 +105,7 @@ def _combine(spec: BucketRequest, running: RunningTotals) -> dict[str, Column]:
 
 def in_bucket_running(
     df: DataFrame, keys: list[str], time: str, interval: int, spec: BucketRequest,
-    rule: HotRule = DEFAULT_RULE,
+    rule: HotRule | None = DEFAULT_RULE,
 ) -> DataFrame:
     """Aggregates over the rows of the own bucket up to the row itself."""
     inside = replace(spec.request, frames=(spec.own,))
@@ -115,7 +115,7 @@ def in_bucket_running(
 
 def rolling_bucketed(
     df: DataFrame, keys: list[str], time: str, interval: int, specs: list[BucketRequest],
-    rule: HotRule = DEFAULT_RULE,
+    rule: HotRule | None = DEFAULT_RULE,
 ) -> DataFrame:
     """Add bucketed frame aggregates to every row.
 
@@ -127,7 +127,7 @@ def rolling_bucketed(
 
 def _attach(
     df: DataFrame, keys: list[str], time: str, interval: int, specs: list[BucketRequest],
-    history: DataFrame | None, rule: HotRule,
+    history: DataFrame | None, rule: HotRule | None,
 ) -> DataFrame:
     group = [*keys, BUCKET]
     running = _own_bucket(specs)
@@ -145,6 +145,8 @@ def _attach(
     ordinary, hot = split_hot(with_bucket(df, time, interval), group, rule)
     # Ordinary buckets: the window and the join use the same partitioning of the rows.
     by_row = features(running.add(ordinary, group, time, part_value), df.columns)
+    if hot is None:
+        return by_row
     # Hot buckets: one row per second, at most ``interval`` of them in a window.
     parts = all_parts(spec.request for spec in specs)
     seconds = hot.groupBy(*group, time).agg(*totals(parts))

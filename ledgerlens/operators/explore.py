@@ -21,13 +21,13 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
     return counts.withColumn("share", F.col("count").cast("double") / whole.cast("double"))
 
 
-def count_by(df: DataFrame, keys: list[str], only: Column | None = None) -> DataFrame:
+def count_by(df: DataFrame, keys: list[str], only: Column | str | None = None) -> DataFrame:
     rows = df if only is None else df.filter(only)
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
 
 
 def top_by_count(
-    df: DataFrame, keys: list[str], k: int = 20, only: Column | None = None
+    df: DataFrame, keys: list[str], k: int = 20, only: Column | str | None = None
 ) -> DataFrame:
     """The ``k`` most frequent keys; equal counts in key order."""
     return count_by(df, keys, only).orderBy(F.desc("count"), *keys).limit(k)
@@ -135,7 +135,7 @@ def approx_quantile(df: DataFrame, column: str, share: float, error: float = 0.0
 
 
 def lag_gap(
-    df: DataFrame, keys: list[str], time: str, ident: str, rule: HotRule = DEFAULT_RULE,
+    df: DataFrame, keys: list[str], time: str, ident: str, rule: HotRule | None = DEFAULT_RULE,
     band: int = 1_000_000,
 ) -> DataFrame:
     """Previous id and time per key in (time, id) order, and the gaps to them.
@@ -144,13 +144,26 @@ def lag_gap(
     are bounded each: inside a band of ids of their second, then in the preceding band of
     the second, then in the preceding second.
     """
-    previous_id, previous_time = "prev_id", "prev_time"
     order = Window.partitionBy(*keys).orderBy(time, ident)
     ordinary, hot = split_hot(df, keys, rule)
     by_row = ordinary.withColumns(
-        {previous_id: F.lag(ident).over(order), previous_time: F.lag(time).over(order)}
+        {"prev_id": F.lag(ident).over(order), "prev_time": F.lag(time).over(order)}
     )
 
+    found = by_row
+    if hot is not None:
+        found = by_row.unionByName(_previous_in_steps(hot, keys, time, ident, band))
+    return found.withColumns(
+        {
+            "id_gap": F.col(ident) - F.col("prev_id"),
+            "time_gap": F.col(time) - F.col("prev_time"),
+        }
+    )
+
+
+def _previous_in_steps(
+    hot: DataFrame, keys: list[str], time: str, ident: str, band: int
+) -> DataFrame:
     second, group = [*keys, time], [*keys, time, "_band"]
     banded = hot.withColumn("_band", bucket_start(F.col(ident).cast("bigint"), band))
     bands = banded.groupBy(*group).agg(F.max(ident).alias("_last"))
@@ -167,18 +180,11 @@ def lag_gap(
     in_band = Window.partitionBy(*group).orderBy(ident)
     ranked = look_up(banded.withColumn("_row_before", F.lag(ident).over(in_band)), before, group)
     same_second = F.coalesce(F.col("_row_before"), F.col("_band_before"))
-    found = ranked.withColumns(
+    return ranked.withColumns(
         {
-            previous_id: F.coalesce(same_second, F.col("_id_before")),
-            previous_time: F.when(same_second.isNotNull(), F.col(time)).otherwise(
+            "prev_id": F.coalesce(same_second, F.col("_id_before")),
+            "prev_time": F.when(same_second.isNotNull(), F.col(time)).otherwise(
                 F.col("_time_before")
             ),
         }
-    ).select(*df.columns, previous_id, previous_time)
-
-    return by_row.unionByName(found).withColumns(
-        {
-            "id_gap": F.col(ident) - F.col(previous_id),
-            "time_gap": F.col(time) - F.col(previous_time),
-        }
-    )
+    ).select(*hot.columns, "prev_id", "prev_time")

@@ -246,7 +246,7 @@ def rolling_by_second(df: DataFrame, keys: list[str], time: str, requests) -> Da
 
 
 def rolling(
-    df: DataFrame, time: str, groups: list[Group], rule: HotRule = DEFAULT_RULE
+    df: DataFrame, time: str, groups: list[Group], rule: HotRule | None = DEFAULT_RULE
 ) -> DataFrame:
     """Add frame aggregates to every row; ``time`` is an integer number of seconds.
 
@@ -258,14 +258,18 @@ def rolling(
         raise ValueError("the first group must have the coarsest keys")
     ordinary, hot = split_hot(df, coarse, rule)
     finished = rolling_over_rows(ordinary, time, groups)
+    if hot is None:
+        return finished
+    looked_up = hot
     for group in groups:
         keys = list(group.keys)
-        hot = look_up(hot, rolling_by_second(hot, keys, time, group.requests), [*keys, time])
-    return finished.unionByName(hot)
+        by_second = rolling_by_second(hot, keys, time, group.requests)
+        looked_up = look_up(looked_up, by_second, [*keys, time])
+    return finished.unionByName(looked_up)
 
 
 def ratio_over_frames(
-    df: DataFrame, time: str, group: Group, rule: HotRule = DEFAULT_RULE
+    df: DataFrame, time: str, group: Group, rule: HotRule | None = DEFAULT_RULE
 ) -> DataFrame:
     """Target divided by its own fresh frame aggregates, which are not kept."""
     mark = "_fresh_"

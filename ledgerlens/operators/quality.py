@@ -77,7 +77,7 @@ def quality_report(df: DataFrame, unknown_columns: dict[str, str] | None = None)
     """One row of counts over repaired rows, before the validity filter.
 
     ``unknown_columns`` maps report names to columns whose repaired values are counted.
-    Rows are reduced per id first: copies are the rows beyond the first of each id.
+    Copies are the rows beyond the first of each id; only the ids are shuffled for them.
     """
     if unknown_columns is None:
         unknown_columns = {
@@ -89,19 +89,12 @@ def quality_report(df: DataFrame, unknown_columns: dict[str, str] | None = None)
         }
     checks = {f"bad_{name}": ~ok for name, ok in validity().items()}
     checks |= {name: F.col(column) == UNKNOWN for name, column in unknown_columns.items()}
-    per_id = df.groupBy("transaction_id").agg(
-        F.count(F.lit(1)).alias("_rows"),
+    per_id = df.groupBy("transaction_id").agg((F.count(F.lit(1)) - 1).alias("_copies"))
+    copies = per_id.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("duplicates"))
+    return df.agg(
+        F.count(F.lit(1)).alias("rows_checked"),
         *[F.count_if(bad).alias(name) for name, bad in checks.items()],
-    )
-
-    def total(value: Column, name: str) -> Column:
-        return F.coalesce(F.sum(value), F.lit(0)).cast("bigint").alias(name)
-
-    return per_id.agg(
-        total(F.col("_rows"), "rows_checked"),
-        total(F.col("_rows") - 1, "duplicates"),
-        *[total(F.col(name), name) for name in checks],
-    )
+    ).select("rows_checked", copies.scalar().alias("duplicates"), *checks)
 
 
 def quality_long(report: DataFrame, rows: str = "rows_checked") -> DataFrame:

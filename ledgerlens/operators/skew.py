@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -23,22 +23,32 @@ from pyspark.sql import functions as F
 class HotRule:
     """A key is hot when it has more than ``rows`` rows; at most ``keys`` keys count.
 
-    The list is broadcast, so its length is bounded by ``keys``. Since the heaviest
-    keys come first, a key left out of a full list holds at most 1/``keys`` of the rows.
+    The list of hot keys is held by the driver and broadcast, so its length is bounded by
+    ``keys``. Since the heaviest keys come first, a key left out of a full list holds at
+    most 1/``keys`` of the rows. Sizes are estimated from ``share`` of the rows: keys of
+    this size are missed by a sample only in their exact order, and a count of all keys
+    would shuffle one record per key and input split.
     """
 
     rows: int = 1_000_000
     keys: int = 100_000
+    share: float = 0.01
 
 
 DEFAULT_RULE = HotRule()
 
 
-def hot_keys(df: DataFrame, keys: list[str], rule: HotRule = DEFAULT_RULE) -> DataFrame:
-    """The keys with more than ``rule.rows`` rows, heaviest first."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    heavy = sizes.filter(F.col("_rows") > rule.rows)
-    return heavy.orderBy(F.desc("_rows"), *keys).limit(rule.keys).select(*keys)
+def hot_keys(df: DataFrame, keys: list[str], rule: HotRule = DEFAULT_RULE) -> list[Row]:
+    """The keys with more than ``rule.rows`` rows, heaviest first.
+
+    This looks at the data at once: it reads the key columns and nothing else.
+    """
+    looked_at = df.select(*keys)
+    if rule.share < 1:
+        looked_at = looked_at.sample(rule.share, seed=42)
+    sizes = looked_at.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    heavy = sizes.filter(F.col("_rows") > rule.rows * rule.share)
+    return heavy.orderBy(F.desc("_rows"), *keys).limit(rule.keys).select(*keys).collect()
 
 
 def quoted(name: str) -> Column:
@@ -63,12 +73,21 @@ def other_side(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def split_hot(
-    df: DataFrame, keys: list[str], rule: HotRule = DEFAULT_RULE
-) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary keys and rows of hot keys."""
-    marks = F.broadcast(other_side(hot_keys(df, keys, rule), keys))
-    condition = same_key(keys)
-    return df.join(marks, condition, "left_anti"), df.join(marks, condition, "left_semi")
+    df: DataFrame, keys: list[str], rule: HotRule | None = DEFAULT_RULE
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary keys and rows of hot keys; the latter ``None`` if no key is hot.
+
+    Without a rule no key is taken as hot, for callers that know their keys.
+    """
+    found = hot_keys(df, keys, rule) if rule else []
+    if not found:
+        return df, None
+    marks = df.sparkSession.createDataFrame(found, df.select(*keys).schema)
+    listed = F.broadcast(other_side(marks, keys))
+    return (
+        df.join(listed, same_key(keys), "left_anti"),
+        df.join(listed, same_key(keys), "left_semi"),
+    )
 
 
 def look_up(

@@ -40,13 +40,16 @@ def planned_files(spark: SparkSession, path: str, target_mb: int, compression: f
 def write_parquet(
     df: DataFrame, path: str, files: int | None = None, partition_by: list[str] | None = None
 ) -> None:
-    """Replace ``path``.
+    """Replace ``path``, with ``files`` output files where given.
 
-    With ``files`` the rows are spread evenly over that many files by their own shuffle:
-    merging partitions without one would run the last stage in as few tasks as files.
-    Without it the partitions adaptive execution arrives at are written as they are.
+    Fewer files than cores would throttle the stage that computes the rows, so the rows
+    are spread by a shuffle of their own: they are few. Otherwise partitions are merged
+    in place, which costs no shuffle and keeps every core busy.
     """
-    spread = df.repartition(files) if files else df
+    spread = df
+    if files:
+        enough = files >= df.sparkSession.sparkContext.defaultParallelism
+        spread = df.coalesce(files) if enough else df.repartition(files)
     writer = spread.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
