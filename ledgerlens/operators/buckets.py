@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import bucket_start
@@ -21,8 +21,9 @@ from ledgerlens.operators.frames import (
     finish,
     part_value,
     totals,
+    with_columns,
 )
-from ledgerlens.operators.skew import DEFAULT_RULE, HotRule, look_up, quoted, split_hot
+from ledgerlens.operators.skew import DEFAULT_RULE, HotRule, look_up, split_hot
 
 BUCKET = "_bucket"
 
@@ -77,9 +78,9 @@ def bucket_history(
         rows = request.parts[0]
         for frame in request.frames:
             for part in request.parts:
-                value = F.when(running.within(rows, frame) > 0, running.within(part, frame))
-                columns[history_column(part, frame)] = value
-    return wide.select(*keys, BUCKET, *[c.alias(name) for name, c in columns.items()])
+                some, value = running.within(rows, frame), running.within(part, frame)
+                columns[history_column(part, frame)] = f"if({some} > 0, {value}, NULL)"
+    return with_columns(wide, [*keys, BUCKET], columns)
 
 
 def history_column(part: str, frame: Frame) -> str:
@@ -95,10 +96,10 @@ def _own_bucket(specs: list[BucketRequest]) -> RunningTotals:
     return RunningTotals(inside)
 
 
-def _combine(spec: BucketRequest, running: RunningTotals) -> dict[str, Column]:
-    def total(part: str, frame: Frame) -> Column:
-        past = F.coalesce(quoted(history_column(part, frame)), F.lit(0))
-        return past + running.within(part, spec.own) if spec.current else past
+def _combine(spec: BucketRequest, running: RunningTotals) -> dict[str, str]:
+    def total(part: str, frame: Frame) -> str:
+        past = f"coalesce(`{history_column(part, frame)}`, 0)"
+        return f"({past} + {running.within(part, spec.own)})" if spec.current else past
 
     return finish(spec.request, total)
 
@@ -134,13 +135,13 @@ def _attach(
 
     def features(wide: DataFrame, keep: list[str]) -> DataFrame:
         joined = wide if history is None else look_up(wide, history, group, match_missing=False)
-        added: dict[str, Column] = {}
+        added: dict[str, str] = {}
         for spec in specs:
             if history is None:
                 added.update(finish(spec.request, running.within))
             else:
                 added.update(_combine(spec, running))
-        return joined.select(*keep, *[c.alias(name) for name, c in added.items()])
+        return with_columns(joined, keep, added)
 
     ordinary, hot = split_hot(with_bucket(df, time, interval), group, rule)
     # Ordinary buckets: the window and the join use the same partitioning of the rows.

@@ -18,7 +18,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalars import bucket_start, guarded_ratio, minor_units
+from ledgerlens.functions.scalars import bucket_start, guarded_ratio
 from ledgerlens.operators.skew import DEFAULT_RULE, HotRule, look_up, split_hot
 
 DAY = 86400
@@ -109,18 +109,27 @@ class Group:
     requests: tuple[Request, ...]
 
 
-def part_value(part: str) -> Column:
-    """Contribution of one row to a total."""
+def _units(target: str, scale: int) -> str:
+    return f"bigint(`{target}`)" if scale == 1 else f"bigint(round(`{target}` * {scale}))"
+
+
+def part_value(part: str) -> str:
+    """Contribution of one row to a total, as a SQL expression."""
     kind, _, rest = part.partition(":")
     if kind == "n":
-        return F.lit(1).cast("bigint")
+        return "1L"
     if kind == "v":
-        return F.col(rest).isNotNull().cast("bigint")
+        return f"bigint(`{rest}` IS NOT NULL)"
     scale, _, target = rest.partition(":")
-    units = minor_units(F.col(target), int(scale))
+    units = _units(target, int(scale))
     if kind == "s":
         return units
-    return units.cast("decimal(19,0)") * units.cast("decimal(19,0)")
+    return f"cast({units} AS decimal(19, 0)) * cast({units} AS decimal(19, 0))"
+
+
+def part_column(part: str) -> str:
+    """The total itself, where rows have been reduced already."""
+    return f"`{part}`"
 
 
 def all_parts(requests: Iterable[Request]) -> list[str]:
@@ -129,7 +138,14 @@ def all_parts(requests: Iterable[Request]) -> list[str]:
 
 def totals(parts: Iterable[str]) -> list[Column]:
     """Aggregate expressions that reduce rows to their totals."""
-    return [F.coalesce(F.sum(part_value(p)), F.lit(0)).alias(p) for p in parts]
+    return [F.expr(f"coalesce(sum({part_value(p)}), 0)").alias(p) for p in parts]
+
+
+def with_columns(df: DataFrame, keep: Iterable[str], added: Mapping[str, str]) -> DataFrame:
+    """``keep`` and the SQL expressions ``added``, in one projection."""
+    return df.selectExpr(
+        *[f"`{name}`" for name in keep], *[f"{sql} AS `{name}`" for name, sql in added.items()]
+    )
 
 
 class RunningTotals:
@@ -147,55 +163,56 @@ class RunningTotals:
     def _register(self, part: str, distance: int) -> None:
         self.columns.setdefault((part, distance), f"_total_{len(self.columns)}")
 
-    def add(self, df: DataFrame, keys: list[str], time: str, value=F.col) -> DataFrame:
+    def add(self, df: DataFrame, keys: list[str], time: str, value=part_column) -> DataFrame:
         """All totals in one window pass: one shuffle, one sort."""
-        base = Window.partitionBy(*keys).orderBy(time)
-        running = [
-            F.coalesce(
-                F.sum(value(part)).over(base.rangeBetween(Window.unboundedPreceding, distance)),
-                F.lit(0),
-            ).alias(column)
-            for (part, distance), column in self.columns.items()
-        ]
-        return df.select("*", *running)
-
-    def within(self, part: str, frame: Frame) -> Column:
-        upper = F.col(self.columns[part, frame.end])
+        by = ", ".join(f"`{key}`" for key in keys)
+        added = {}
+        for (part, distance), column in self.columns.items():
+            bound = f"{distance} FOLLOWING" if distance >= 0 else f"{-distance} PRECEDING"
+            frame = f"RANGE BETWEEN UNBOUNDED PRECEDING AND {bound}"
+            window = f"(PARTITION BY {by} ORDER BY `{time}` {frame})"
+            added[column] = f"coalesce(sum({value(part)}) OVER {window}, 0)"
+        return with_columns(df, df.columns, added)
+
+    def within(self, part: str, frame: Frame) -> str:
+        """Total of the part over the frame, as a SQL expression."""
+        upper = self.columns[part, frame.end]
         if frame.start is None:
             return upper
-        return upper - F.col(self.columns[part, frame.start - 1])
+        return f"({upper} - {self.columns[part, frame.start - 1]})"
 
 
-def finish(request: Request, total) -> dict[str, Column]:
-    """Requested columns from ``total(part, frame)``."""
-    out: dict[str, Column] = {}
-    empty = F.lit(request.empty)
+def finish(request: Request, total) -> dict[str, str]:
+    """SQL expressions of the requested columns from ``total(part, frame)``."""
+    out: dict[str, str] = {}
+    empty = "NULL" if request.empty is None else repr(request.empty)
+    scale = request.scale
     for frame in request.frames:
         n, *moments = [total(part, frame) for part in request.parts]
         for agg in sorted(request.aggs, key=list(SHORT).index):
             if agg == "count":
                 value = n
             elif agg == "isnew":
-                value = F.when(n == 0, 1).otherwise(0)
+                value = f"if({n} = 0, 1, 0)"
             elif agg == "sum":
-                s = moments[0] if request.scale == 1 else moments[0] / request.scale
-                value = F.when(n > 0, s).otherwise(empty)
+                units = moments[0] if scale == 1 else f"{moments[0]} / {scale}"
+                value = f"if({n} > 0, {units}, {empty})"
             elif agg == "avg":
-                mean = F.try_divide(moments[0].cast("double"), (n * request.scale).cast("double"))
-                value = F.coalesce(mean, empty.cast("double"))
+                mean = f"try_divide(double({moments[0]}), double({n} * {scale}))"
+                value = f"coalesce({mean}, double({empty}))"
             else:
-                value = _deviation(n, *moments, request.ddof, request.scale, empty)
+                value = _deviation(n, *moments, request.ddof, scale, empty)
             out[request.column(agg, frame)] = value
     return out
 
 
-def _deviation(n: Column, s: Column, q: Column, ddof: int, scale: int, empty: Column) -> Column:
+def _deviation(n: str, s: str, q: str, ddof: int, scale: int, empty: str) -> str:
     # n * sum of squares - square of the sum: exact, hence never below zero.
-    spread = n.cast("decimal(19,0)") * q - s.cast("decimal(19,0)") * s.cast("decimal(19,0)")
-    count = n.cast("double")
-    weight = count * (count - 1) if ddof == 1 else count * count
-    value = F.sqrt(F.try_divide(spread.cast("double"), weight)) / scale
-    return F.when(n > 1, value).otherwise(empty.cast("double"))
+    n_exact, s_exact = (f"cast({total} AS decimal(19, 0))" for total in (n, s))
+    spread = f"double({n_exact} * {q} - {s_exact} * {s_exact})"
+    weight = f"(double({n}) * (double({n}) - {1 if ddof == 1 else 0}))"
+    value = f"sqrt(try_divide({spread}, {weight})) / {scale}"
+    return f"if({n} > 1, {value}, double({empty}))"
 
 
 def rolling_over_rows(df: DataFrame, time: str, groups: Iterable[Group]) -> DataFrame:
@@ -211,7 +228,7 @@ def rolling_over_rows(df: DataFrame, time: str, groups: Iterable[Group]) -> Data
         added = {}
         for request in group.requests:
             added.update(finish(request, running.within))
-        df = wide.select(*before, *[c.alias(name) for name, c in added.items()])
+        df = with_columns(wide, before, added)
     return df
 
 
@@ -242,7 +259,7 @@ def rolling_by_second(df: DataFrame, keys: list[str], time: str, requests) -> Da
     added = {}
     for request in requests:
         added.update(finish(request, running.within))
-    return own.select(*keys, time, *[c.alias(name) for name, c in added.items()])
+    return with_columns(own, [*keys, time], added)
 
 
 def rolling(

@@ -51,10 +51,6 @@ def hot_keys(df: DataFrame, keys: list[str], rule: HotRule = DEFAULT_RULE) -> li
     return heavy.orderBy(F.desc("_rows"), *keys).limit(rule.keys).select(*keys).collect()
 
 
-def quoted(name: str) -> Column:
-    return F.col(f"`{name}`")
-
-
 def _other(key: str) -> str:
     return f"_other_{key}"
 
@@ -106,4 +102,4 @@ def look_up(
         joined = rows.join(other_side(table, keys), same_key(keys), "left")
     else:
         joined = rows.join(table, keys, "left")
-    return joined.select(*[quoted(name) for name in (*rows.columns, *added)])
+    return joined.selectExpr(*[f"`{name}`" for name in (*rows.columns, *added)])

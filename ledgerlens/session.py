@@ -35,12 +35,14 @@ def work_folder(spark: SparkSession, label: str) -> str:
     """A new folder name under the shared checkpoint folder of the cluster.
 
     Only where no such folder is configured (tests on one machine) a temporary one is
-    set for the rest of the session.
+    set for the rest of the session. Work tables stay until that folder is expired,
+    because the frames that read them are lazy.
     """
-    root = spark.conf.get(CHECKPOINT_DIR, None)
+    context = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="ledgerlens-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+        context.setCheckpointDir(root)
     return f"{root.rstrip('/')}/ledgerlens/{label}-{uuid.uuid4().hex}"
 
 

@@ -24,7 +24,9 @@ def parse_rows(lines: DataFrame, schema: str = RAW_SCHEMA, corrupt: str = CORRUP
     """
     full = f"{schema}, {corrupt} STRING"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
-    return data_lines(lines).select(F.from_csv("value", full, options).alias("_row")).select("_row.*")
+    # As a generator the parsed row is computed once; as a plain column it would be parsed
+    # again for every filter that looks at its fields.
+    return data_lines(lines).select(F.inline(F.array(F.from_csv("value", full, options))))
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
