@@ -10,7 +10,8 @@ from checks import sqltext, views
 from checks.registry import query
 from ledgerlens.operators import buckets, derive, explore, frames
 from ledgerlens.operators.buckets import BucketRequest
-from ledgerlens.operators.frames import Frame, Group, Request
+from ledgerlens.operators.frames import Group, Request
+from ledgerlens.operators.skew import HotRule
 from ledgerlens.plans import jobs, presets
 
 TIME = "unix_time"
@@ -292,7 +293,7 @@ DELAY = presets.risk_pairs(list(presets.EXPLORE_DELAY))[0]
 
 @query(f"SELECT transaction_id, {_items(_risk_items(DELAYED_PAIRS, DELAY))} FROM ({DELAY_SQL}) x")
 def risk_delayed(spark, sf_dir):
-    counted = _heavy(views.tx_events(spark, sf_dir), presets.explore_terminal_specs()[2:],
+    counted = _heavy(views.tx_events(spark, sf_dir), presets.explore_terminal_specs()[4:],
                      presets.EXPLORE_BUCKET)
     return derive.add_risk_after_delay(counted, DELAYED_PAIRS, DELAY)
 
@@ -327,20 +328,66 @@ def explore_customer(spark, sf_dir):
 EXPLORE_PAIR_ITEMS = sqltext.row_frames(
     "customer_id, terminal_id", presets.EXPLORE_PAIR, ["isnew"], CT
 )
-EXPLORE_TERM_ITEMS = sqltext.bucket_items(
-    presets.EXPLORE_HISTORY, "a", "tx_amount", ["cn", "avg", "std"], TERM, "cents", 100, False
-) + sqltext.bucket_items(presets.EXPLORE_FULL, "n7", NEW_7, ["sum"], TERM, NEW_7, current=False)
+EXPLORE_TERM_ITEMS = (
+    sqltext.bucket_items(presets.EXPLORE_FULL, "a", "tx_amount", ["cn", "avg"], TERM, "cents", 100)
+    + sqltext.bucket_items(presets.EXPLORE_HISTORY, "a", "tx_amount", ["cn", "std"], TERM,
+                           "cents", 100, False)
+    + [item.replace("ELSE 0 END", "ELSE r.tx_amount END") for item in sqltext.bucket_items(
+        presets.EXPLORE_HISTORY, "a", "tx_amount", ["avg"], TERM, "cents", 100, False)]
+    + sqltext.bucket_items(presets.EXPLORE_FULL, "n7", NEW_7, ["sum"], TERM, NEW_7, current=False)
+)
 
 
 @query(_heavy_sql(
     "fl", presets.EXPLORE_BUCKET, {"a": "cents", "n7": NEW_7},
-    [(presets.EXPLORE_HISTORY, ["a"]), (presets.EXPLORE_FULL, ["n7"])], EXPLORE_TERM_ITEMS,
+    [(presets.EXPLORE_HISTORY, ["a"]), (presets.EXPLORE_FULL, ["a", "n7"])], EXPLORE_TERM_ITEMS,
     f"{views.TX}, fl AS (SELECT *, {_items(EXPLORE_PAIR_ITEMS)} FROM tx)"))
 def explore_terminal(spark, sf_dir):
     flagged = frames.rolling(
         views.tx_events(spark, sf_dir), TIME, presets.explore_customer_groups()[1:]
     )
-    return _heavy(flagged, presets.explore_terminal_specs()[:2], presets.EXPLORE_BUCKET)
+    wide = buckets.rolling_bucketed(flagged, ["terminal_id"], TIME, presets.EXPLORE_BUCKET,
+                                    presets.explore_terminal_specs()[:4])
+    filled = derive.own_value_where_missing(wide, presets.EXPLORE_OWN)
+    new = [c for c in wide.columns if c not in flagged.columns]
+    return filled.select("transaction_id", *new)
+
+
+# -- the same operators with every key treated as hot ------------------------------
+
+ALL_HOT = HotRule(rows=0, share=1.0)
+
+
+@query(f"""WITH {views.TX} SELECT transaction_id,
+ {_items(FULL_ITEMS + HIST_ITEMS + PAIR_ITEMS)} FROM tx""")
+def customer_frames_hot(spark, sf_dir):
+    """Customer and pair frames by second instead of by row."""
+    tx = views.tx_events(spark, sf_dir)
+    groups = [presets.customer_group(), presets.pair_group()]
+    wide = frames.rolling(tx, TIME, groups, ALL_HOT)
+    return wide.select("transaction_id", *[c for c in wide.columns if c not in tx.columns])
+
+
+@query(_heavy_sql("tx", presets.BUCKET, {"a": "cents"},
+                  [(presets.TERMINAL_FULL, ["a"]), (presets.TERMINAL_HISTORY, ["a"])],
+                  HEAVY_FULL + HEAVY_HIST))
+def terminal_frames_hot(spark, sf_dir):
+    """Terminal frames with the own bucket reduced to seconds."""
+    tx = views.tx_events(spark, sf_dir)
+    wide = buckets.rolling_bucketed(tx, ["terminal_id"], TIME, presets.BUCKET,
+                                    presets.terminal_specs()[:2], ALL_HOT)
+    return wide.select("transaction_id", *[c for c in wide.columns if c not in tx.columns])
+
+
+@query(f"WITH {views.TX} {_lag_sql('tx')}")
+def lag_gap_hot(spark, sf_dir):
+    """Predecessors found by band, second and key instead of by one window."""
+    rows = views.tx_events(spark, sf_dir).select(
+        "transaction_id", TIME, "customer_id", "terminal_id"
+    )
+    gaps = explore.lag_gap(rows, ["customer_id", "terminal_id"], TIME, "transaction_id",
+                           ALL_HOT, band=1000)
+    return gaps.drop("customer_id", "terminal_id")
 
 
 # -- the feature table -------------------------------------------------------------

@@ -62,6 +62,13 @@ def add_ratios(
     return wide.drop(*bases) if drop_bases else wide
 
 
+def own_value_where_missing(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Averages without history take the value of the row itself: {average: value}."""
+    return df.withColumns(
+        {name: F.coalesce(name, F.col(value).cast("double")) for name, value in columns.items()}
+    )
+
+
 def _risk_name(sum_column: str) -> str:
     return sum_column.replace("_sum_", "_risk_") + "_delay"
 

@@ -21,17 +21,13 @@ def repair_time(df: DataFrame, column: str = "tx_datetime") -> DataFrame:
     return df.withColumn(column, parse_time(end_of_day_fix(column)))
 
 
-def _is_valid(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False))
-
-
 def validity() -> dict[str, Column]:
-    """Conditions a row must meet, by name; never null."""
+    """Conditions a row must meet, by name; missing values meet none."""
     return {
-        "transaction_id": _is_valid(F.col("transaction_id") >= 0),
+        "transaction_id": F.col("transaction_id") >= 0,
         "tx_datetime": F.col("tx_datetime").isNotNull(),
-        "tx_amount": _is_valid(F.col("tx_amount") >= 0),
-        "tx_fraud": _is_valid(F.col("tx_fraud").isin(0, 1)),
+        "tx_amount": F.col("tx_amount") >= 0,
+        "tx_fraud": F.col("tx_fraud").isin(0, 1),
     }
 
 
@@ -87,7 +83,9 @@ def quality_report(df: DataFrame, unknown_columns: dict[str, str] | None = None)
             "bad_tx_time_days": "tx_time_days",
             "bad_scenario_id": "tx_fraud_scenario",
         }
-    checks = {f"bad_{name}": ~ok for name, ok in validity().items()}
+    checks = {
+        f"bad_{name}": ~F.coalesce(ok, F.lit(False)) for name, ok in validity().items()
+    }
     checks |= {name: F.col(column) == UNKNOWN for name, column in unknown_columns.items()}
     per_id = df.groupBy("transaction_id").agg((F.count(F.lit(1)) - 1).alias("_copies"))
     copies = per_id.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("duplicates"))

@@ -106,9 +106,10 @@ def train(
     split_error: float = 0.01,
     **params,
 ) -> dict:
-    """Feature table to a saved model and rows in the runs table.
+    """Feature table to a saved model, its list of inputs and rows in the runs table.
 
-    Returns the run number, the model path and whether this run is the best so far.
+    Returns the run number, the paths, the confusion counts of the test rows and whether
+    this run is the best so far.
     """
     table = training_table(readers.read_inferred(spark, source))
     inputs = model.model_inputs(table)
@@ -121,6 +122,8 @@ def train(
     number = evaluate.next_run_number(known).first()["run_number"]
     path = f"{models.rstrip('/')}/run-{number}"
     model.save_model(fitted, path)
+    listed = spark.createDataFrame(list(enumerate(inputs)), "position INT, feature STRING")
+    sinks.write_parquet(listed, f"{path}-inputs", files=1)
 
     scored = fitted.transform(split.filter(F.col("split").isNotNull()))
     # One row per split and metric: ten values, safe to hold while they are appended.
@@ -134,4 +137,11 @@ def train(
     sinks.append_rows(long, runs)
     history = evaluate.champions(_known_runs(spark, runs))
     latest = history.filter(F.col("run_number") == number).first()
-    return {"run_number": number, "model": path, "best": bool(latest["is_champion"])}
+    counts = evaluate.confusion(scored.filter(F.col("split") == "test")).collect()
+    return {
+        "run_number": number,
+        "model": path,
+        "inputs": f"{path}-inputs",
+        "confusion": [row.asDict() for row in counts],
+        "best": bool(latest["is_champion"]),
+    }

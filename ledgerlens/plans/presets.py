@@ -116,8 +116,9 @@ def terminal_specs(fixed: bool = False) -> list[BucketRequest]:
         for flag in NEW_FLAGS
     ]
     fraud = BucketRequest(
-        Request(LABEL, frames(FRAUD), frozenset({"sum", "count"}), "fraud_{target}_{agg}_{frame}",
-                **zero),
+        Request(
+            LABEL, frames(FRAUD), frozenset({"sum", "count"}), "fraud_{target}_{agg}_{frame}", **zero
+        ),
         current=not fixed,
     )
     if not fixed:
@@ -146,23 +147,39 @@ def explore_customer_groups() -> list[Group]:
     ]
 
 
-def explore_terminal_specs() -> list[BucketRequest]:
-    """History, new customers and the frames of the delayed risk, without the current
-    bucket."""
+def explore_terminal_specs(fixed: bool = False) -> list[BucketRequest]:
+    """Current values, history, new customers and the frames of the delayed risk.
+
+    The frames of the current values reach into the current bucket, whose rows up to the
+    own one then count twice; ``fixed`` ends them before it. Averages of the history
+    without rows are missing here, see :data:`EXPLORE_OWN`.
+    """
     name = "term_{target}_{agg}_{frame}"
     fraud = "fraud_{target}_{agg}_{frame}"
-    zero = {"ddof": 0, "empty": 0, "counts": "values"}
     labels = frames(EXPLORE_DELAY | EXPLORE_FRAUD)
+    values = {"ddof": 0, "counts": "values"}
+    zero = {**values, "empty": 0}
+    full = EXPLORE_FULL
+    if fixed:
+        full = {name: (start, -EXPLORE_BUCKET) for name, (start, _) in full.items()}
     return [
-        BucketRequest(_amounts(EXPLORE_HISTORY, {"count", "avg", "std"}, name, **zero),
-                      current=False),
-        BucketRequest(Request(NEW_FLAGS[1], frames(EXPLORE_FULL), frozenset({"sum"}), name,
-                              **zero), current=False),
-        BucketRequest(Request(LABEL, labels, frozenset({"sum", "count"}), fraud, **zero),
-                      current=False),
+        BucketRequest(_amounts(full, {"count", "avg"}, name, **zero)),
+        BucketRequest(_amounts(EXPLORE_HISTORY, {"count", "std"}, name, **zero), current=False),
+        BucketRequest(_amounts(EXPLORE_HISTORY, {"avg"}, name, **values), current=False),
+        BucketRequest(
+            Request(NEW_FLAGS[1], frames(EXPLORE_FULL), frozenset({"sum"}), name, **zero),
+            current=False,
+        ),
+        BucketRequest(
+            Request(LABEL, labels, frozenset({"sum", "count"}), fraud, **zero), current=False
+        ),
     ]
 
 
+# Averages that take the amount of the row itself where there is no history.
+EXPLORE_OWN = {f"term_tx_amount_avg_{name}": AMOUNT for name in EXPLORE_HISTORY}
+
+
 def feature_columns() -> list[str]:
     """The 54 columns of the feature table, in order."""
     columns = list(BASE_COLUMNS) + NEW_FLAGS

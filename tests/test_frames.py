@@ -164,6 +164,7 @@ def test_hot_second_is_split_by_adaptive_execution(spark):
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "32",
     }
     before = {key: spark.conf.get(key, None) for key in settings}
     try:

@@ -107,6 +107,9 @@ def test_jobs_from_transactions_to_model(spark, sf_dir, tmp_path):
     second = jobs.train(spark, table, models, runs, maxIter=2, maxDepth=3)
     assert (first["run_number"], second["run_number"]) == (1, 2)
     assert not second["best"]
+    assert spark.read.parquet(first["inputs"]).count() == 54
+    test_rows = sum(r["predicted_0"] + r["predicted_1"] for r in first["confusion"])
+    assert 0 < test_rows < stored.count()
     logged = spark.read.parquet(runs)
     assert logged.count() == 16
     assert {r["metric"] for r in logged.filter("run_number = 1").collect()} == {
