@@ -128,10 +128,10 @@ def bucket_agg(spark, sf_dir):
     table = buckets.bucket_totals(
         views.tx_events(spark, sf_dir), ["terminal_id"], TIME, presets.BUCKET, [request]
     )
-    n, s, q = request.parts
-    return table.select(
-        "terminal_id", F.col(buckets.BUCKET).alias("bucket"), F.col(n).alias("rows"),
-        F.col(s).alias("cents"), F.col(q).cast("double").alias("squares"),
+    n, s, *squares = [f"`{part}`" for part in request.parts]
+    return table.selectExpr(
+        "terminal_id", f"{buckets.BUCKET} AS bucket", f"{n} AS rows", f"{s} AS cents",
+        f"double({frames.sum_of_squares(*squares, 'decimal(19, 0)')}) AS squares",
     )
 
 

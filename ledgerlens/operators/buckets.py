@@ -70,19 +70,57 @@ def bucket_history(
     Columns are named by :func:`history_column`; a frame without any bucket gives null.
     All requests share one aggregation and one window.
     """
-    table = bucket_totals(df, keys, time, interval, requests)
-    running = RunningTotals(requests)
-    wide = running.add(table, keys, BUCKET)
+    wide, running = _running_buckets(df, keys, time, interval, requests)
     columns = {}
     for request in requests:
-        rows = request.parts[0]
         for frame in request.frames:
-            for part in request.parts:
-                some, value = running.within(rows, frame), running.within(part, frame)
-                columns[history_column(part, frame)] = f"if({some} > 0, {value}, NULL)"
+            some = running.within(request.parts[0], frame)
+            for name, value in _selected(request, frame, running).items():
+                columns[name] = f"if({some} > 0, {value}, NULL)"
     return with_columns(wide, [*keys, BUCKET], columns)
 
 
+def _running_buckets(
+    df: DataFrame, keys: list[str], time: str, interval: int, requests: list[Request]
+) -> tuple[DataFrame, RunningTotals]:
+    running = RunningTotals(requests)
+    return running.add(bucket_totals(df, keys, time, interval, requests), keys, BUCKET), running
+
+
+def _selected(request: Request, frame: Frame, running: RunningTotals) -> dict[str, str]:
+    return {history_column(part, frame): running.within(part, frame) for part in request.parts}
+
+
+def _history_features(
+    df: DataFrame, keys: list[str], time: str, interval: int, specs: list[BucketRequest]
+) -> DataFrame:
+    """What rows need of the past, per entity and bucket: totals where the own bucket is
+    added, and the finished columns where it is not."""
+    wide, running = _running_buckets(df, keys, time, interval, [s.request for s in specs])
+    unfinished: dict[str, str] = {}
+    for spec in specs:
+        for frame in spec.request.frames if spec.current else ():
+            unfinished.update(_selected(spec.request, frame, running))
+    table = with_columns(wide, wide.columns, unfinished)
+    settled = [(spec.request, running.within) for spec in specs if not spec.current]
+    return finish(table, [*keys, BUCKET, *unfinished], settled)
+
+
+def _settled_columns(specs: list[BucketRequest]) -> dict[str, str]:
+    """Finished columns by name; rows without any history get the values of no rows."""
+    columns = {}
+    for spec in specs:
+        if spec.current:
+            continue
+        request = spec.request
+        for frame in request.frames:
+            for agg in request.aggs:
+                name = request.column(agg, frame)
+                default = {"count": 0, "isnew": 1}.get(agg, request.empty)
+                columns[name] = f"`{name}`" if default is None else f"coalesce(`{name}`, {default})"
+    return columns
+
+
 def history_column(part: str, frame: Frame) -> str:
     return f"{part}@{frame.name}@{frame.start}@{frame.end}"
 
@@ -96,12 +134,12 @@ def _own_bucket(specs: list[BucketRequest]) -> RunningTotals:
     return RunningTotals(inside)
 
 
-def _combine(spec: BucketRequest, running: RunningTotals) -> dict[str, str]:
+def _past_and_own(spec: BucketRequest, running: RunningTotals):
     def total(part: str, frame: Frame) -> str:
         past = f"coalesce(`{history_column(part, frame)}`, 0)"
-        return f"({past} + {running.within(part, spec.own)})" if spec.current else past
+        return f"({past} + {running.within(part, spec.own)})"
 
-    return finish(spec.request, total)
+    return total
 
 
 def in_bucket_running(
@@ -122,7 +160,7 @@ def rolling_bucketed(
 
     All specs share one aggregation by bucket, one history window and one join.
     """
-    history = bucket_history(df, keys, time, interval, [spec.request for spec in specs])
+    history = _history_features(df, keys, time, interval, specs)
     return _attach(df, keys, time, interval, specs, history, rule)
 
 
@@ -134,14 +172,15 @@ def _attach(
     running = _own_bucket(specs)
 
     def features(wide: DataFrame, keep: list[str]) -> DataFrame:
-        joined = wide if history is None else look_up(wide, history, group, match_missing=False)
-        added: dict[str, str] = {}
-        for spec in specs:
-            if history is None:
-                added.update(finish(spec.request, running.within))
-            else:
-                added.update(_combine(spec, running))
-        return with_columns(joined, keep, added)
+        if history is None:
+            return finish(wide, keep, [(spec.request, running.within) for spec in specs])
+        joined = look_up(wide, history, group, match_missing=False)
+        settled = _settled_columns(specs)
+        filled = with_columns(
+            joined, [name for name in joined.columns if name not in settled], settled
+        )
+        own = [(spec.request, _past_and_own(spec, running)) for spec in specs if spec.current]
+        return finish(filled, [*keep, *settled], own)
 
     ordinary, hot = split_hot(with_bucket(df, time, interval), group, rule)
     # Ordinary buckets: the window and the join use the same partitioning of the rows.
@@ -149,7 +188,7 @@ def _attach(
     if hot is None:
         return by_row
     # Hot buckets: one row per second, at most ``interval`` of them in a window.
-    parts = all_parts(spec.request for spec in specs)
+    parts = all_parts(spec.request for spec in specs if spec.current) or ["n"]
     seconds = hot.groupBy(*group, time).agg(*totals(parts))
     by_second = features(running.add(seconds, group, time), [*group, time])
     by_lookup = look_up(hot, by_second, [*group, time]).drop(BUCKET)

@@ -6,8 +6,11 @@ included. Every value is the difference of two running totals,
     total(time + end) - total(time + start - 1),
 
 so the cost is linear in the rows however long the frame is; a sliding window would
-re-read the whole frame for every row. The totals are integers (amounts in minor units,
-squares as decimals), which makes the differences exact.
+re-read the whole frame for every row. The totals are 64-bit integers (amounts in minor
+units), which makes the differences exact. A sum of squares outgrows 64 bits, so it is
+kept in three totals: with u = 8192 a + b, u² is 2^26 a² + 2^14 a b + b². Each of them has
+room for 10^11 rows of amounts up to a million; decimals would hold more but take several
+times as long.
 """
 
 from __future__ import annotations
@@ -27,6 +30,10 @@ DAY = 86400
 SHORT = {"count": "cn", "sum": "sum", "avg": "avg", "std": "std", "isnew": "isnew"}
 
 
+# The three totals a sum of squares is kept in: high, mixed and low.
+SQUARES = ("qh", "qm", "ql")
+
+
 @dataclass(frozen=True)
 class Frame:
     """Seconds relative to the row; ``start=None`` reaches back without bound."""
@@ -97,7 +104,7 @@ class Request:
         if self.aggs & {"sum", "avg", "std"}:
             names.append(f"s:{self.scale}:{self.target}")
         if "std" in self.aggs:
-            names.append(f"q:{self.scale}:{self.target}")
+            names += [f"{limb}:{self.scale}:{self.target}" for limb in SQUARES]
         return names
 
 
@@ -124,7 +131,13 @@ def part_value(part: str) -> str:
     units = _units(target, int(scale))
     if kind == "s":
         return units
-    return f"cast({units} AS decimal(19, 0)) * cast({units} AS decimal(19, 0))"
+    high, low = f"shiftright(abs({units}), 13)", f"(abs({units}) & 8191)"
+    return {"qh": f"{high} * {high}", "qm": f"{high} * {low}", "ql": f"{low} * {low}"}[kind]
+
+
+def sum_of_squares(high: str, mixed: str, low: str, kind: str) -> str:
+    """The sum of squares itself from its three totals, as a number of SQL type ``kind``."""
+    return f"(cast({high} AS {kind}) * 67108864 + cast({mixed} AS {kind}) * 16384 + {low})"
 
 
 def part_column(part: str) -> str:
@@ -182,8 +195,27 @@ class RunningTotals:
         return f"({upper} - {self.columns[part, frame.start - 1]})"
 
 
-def finish(request: Request, total) -> dict[str, str]:
-    """SQL expressions of the requested columns from ``total(part, frame)``."""
+def finish(df: DataFrame, keep: Iterable[str], wanted: Iterable[tuple]) -> DataFrame:
+    """``keep`` and the columns of every (request, total) in ``wanted``, where
+    ``total(part, frame)`` is the SQL expression of a total over a frame.
+
+    The totals are computed in a projection of their own: several columns use each, and
+    written out in every place they would make code too long to be compiled.
+    """
+    keep, wanted = list(keep), list(wanted)
+    names: dict[str, str] = {}
+
+    def named(sql: str) -> str:
+        return names.setdefault(sql, f"_part_{len(names)}")
+
+    added: dict[str, str] = {}
+    for request, total in wanted:
+        added.update(_columns(request, lambda part, frame: named(total(part, frame))))
+    parts = with_columns(df, keep, {name: sql for sql, name in names.items()})
+    return with_columns(parts, keep, added)
+
+
+def _columns(request: Request, total) -> dict[str, str]:
     out: dict[str, str] = {}
     empty = "NULL" if request.empty is None else repr(request.empty)
     scale = request.scale
@@ -206,13 +238,19 @@ def finish(request: Request, total) -> dict[str, str]:
     return out
 
 
-def _deviation(n: str, s: str, q: str, ddof: int, scale: int, empty: str) -> str:
-    # n * sum of squares - square of the sum: exact, hence never below zero.
-    n_exact, s_exact = (f"cast({total} AS decimal(19, 0))" for total in (n, s))
-    spread = f"double({n_exact} * {q} - {s_exact} * {s_exact})"
+def _deviation(
+    n: str, s: str, high: str, mixed: str, low: str, ddof: int, scale: int, empty: str
+) -> str:
+    # n * sum of squares - square of the sum: exact, hence never below zero. With totals
+    # this small the products fit into 64 bits; decimals are for the rare large ones.
+    def spread(kind: str) -> str:
+        squares = sum_of_squares(high, mixed, low, kind)
+        return f"double(cast({n} AS {kind}) * {squares} - cast({s} AS {kind}) * {s})"
+
+    small = f"{n} < 32768 AND {high} < 1048576"
+    exact = f"if({small}, {spread('bigint')}, {spread('decimal(19, 0)')})"
     weight = f"(double({n}) * (double({n}) - {1 if ddof == 1 else 0}))"
-    value = f"sqrt(try_divide({spread}, {weight})) / {scale}"
-    return f"if({n} > 1, {value}, double({empty}))"
+    return f"if({n} > 1, sqrt({exact} / {weight}) / {scale}, double({empty}))"
 
 
 def rolling_over_rows(df: DataFrame, time: str, groups: Iterable[Group]) -> DataFrame:
@@ -225,10 +263,7 @@ def rolling_over_rows(df: DataFrame, time: str, groups: Iterable[Group]) -> Data
         before = df.columns
         running = RunningTotals(group.requests)
         wide = running.add(df, list(group.keys), time, part_value)
-        added = {}
-        for request in group.requests:
-            added.update(finish(request, running.within))
-        df = with_columns(wide, before, added)
+        df = finish(wide, before, [(request, running.within) for request in group.requests])
     return df
 
 
@@ -244,7 +279,7 @@ def rolling_by_second(df: DataFrame, keys: list[str], time: str, requests) -> Da
         raise ValueError("frames by second need a start")
     back = max(0, -min(starts))
     ahead = max(0, *(frame.end for request in requests for frame in request.frames))
-    width = max(4 * (back + ahead), DAY)
+    width = max(back + ahead, DAY)
 
     ledger = df.filter(F.col(time).isNotNull()).groupBy(*keys, time)
     seconds = ledger.agg(*totals(all_parts(requests)))
@@ -256,10 +291,7 @@ def rolling_by_second(df: DataFrame, keys: list[str], time: str, requests) -> Da
     running = RunningTotals(requests)
     wide = running.add(copies, [*keys, "_slice"], time)
     own = wide.filter(F.col("_slice") == bucket_start(F.col(time), width))
-    added = {}
-    for request in requests:
-        added.update(finish(request, running.within))
-    return with_columns(own, [*keys, time], added)
+    return finish(own, [*keys, time], [(request, running.within) for request in requests])
 
 
 def rolling(

@@ -128,7 +128,7 @@ def test_amounts_are_summed_in_cents(spark):
 
 def test_only_the_requested_totals_are_computed():
     assert Request("a", (), {"count"}).parts == ["n"]
-    assert Request("a", (), {"std"}).parts == ["n", "s:1:a", "q:1:a"]
+    assert Request("a", (), {"std"}).parts == ["n", "s:1:a", "qh:1:a", "qm:1:a", "ql:1:a"]
     with pytest.raises(TypeError):
         Request("a", (), "avg")
     with pytest.raises(ValueError):
@@ -140,11 +140,21 @@ def test_first_group_must_be_coarsest(table):
         frames.rolling(table, "t", groups()[::-1])
 
 
-def test_large_squares_do_not_overflow(spark):
-    df = spark.range(1000).selectExpr("1 AS k", "id AS t", "3000000000 + id % 2 AS amount")
+@pytest.mark.parametrize("size", [0, 8191, 8192, 3_000_000_000, 20_000_000_000])
+def test_deviation_is_exact_for_any_amount(spark, size):
+    df = spark.range(1000).selectExpr("1 AS k", "id AS t", f"{size} + id % 2 AS amount")
     request = Request("amount", (Frame("w", -999, 0),), {"std"}, ddof=0)
+    for rule in (None, ALL_HOT):
+        wide = frames.rolling(df, "t", [Group(("k",), (request,))], rule)
+        assert wide.orderBy("t").collect()[-1]["amount_std_w"] == 0.5
+
+
+def test_deviation_of_negative_amounts(spark):
+    rows = [(1, t, v) for t, v in enumerate([-5, 3, -100_000, 70_000])]
+    df = spark.createDataFrame(rows, "k INT, t BIGINT, v BIGINT")
+    request = Request("v", (Frame("w", -9, 0),), {"std"})
     last = frames.rolling(df, "t", [Group(("k",), (request,))]).orderBy("t").collect()[-1]
-    assert last["amount_std_w"] == 0.5
+    assert last["v_std_w"] == pytest.approx(statistics.stdev([-5, 3, -100_000, 70_000]))
 
 
 def test_hot_keys_are_the_heaviest(table):
