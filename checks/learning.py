@@ -109,7 +109,8 @@ def run_log(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query(f"WITH {_RUNS_SQL} SELECT cast(count(DISTINCT run_number) + 1 AS int) AS run_number FROM runs")
+@query(f"""WITH {_RUNS_SQL}
+SELECT cast(count(DISTINCT run_number) + 1 AS int) AS run_number FROM runs""")
 def next_run(spark, sf_dir):
     return evaluate.next_run_number(_runs(spark, sf_dir))
 

@@ -40,13 +40,6 @@ def bucket_start(time: Column, width: int) -> Column:
     return time - F.pmod(time, F.lit(width).cast("bigint"))
 
 
-def minor_units(amount: Column, scale: int) -> Column:
-    """Fixed-point form of an amount (cents for scale 100): sums become exact."""
-    if scale == 1:
-        return amount.cast("bigint")
-    return F.round(amount * scale).cast("bigint")
-
-
 def known_or(column: str | Column, mark: int) -> Column:
     """Missing and negative values become ``mark``."""
     value = F.col(column) if isinstance(column, str) else column

@@ -117,7 +117,11 @@ def terminal_specs(fixed: bool = False) -> list[BucketRequest]:
     ]
     fraud = BucketRequest(
         Request(
-            LABEL, frames(FRAUD), frozenset({"sum", "count"}), "fraud_{target}_{agg}_{frame}", **zero
+            LABEL,
+            frames(FRAUD),
+            frozenset({"sum", "count"}),
+            "fraud_{target}_{agg}_{frame}",
+            **zero,
         ),
         current=not fixed,
     )

@@ -25,8 +25,9 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 def local_session(cores: int | str = "*", app: str = "ledgerlens", **conf: str) -> SparkSession:
     """Session for tests and the bench; clusters bring their own through spark-submit."""
-    builder = SparkSession.builder.config("spark.ui.showConsoleProgress", "false").master(f"local[{cores}]").appName(app)
-    for key, value in {**DEFAULTS, "spark.ui.enabled": "false", **conf}.items():
+    quiet = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+    builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
+    for key, value in {**DEFAULTS, **quiet, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
