@@ -1,10 +1,12 @@
 """The queries over the given tables, and SQL for those that SQL can express."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import simhash
+from ledgerlens.llm import bpe, mixing, sharding, simhash, warc
 from ledgerlens.llm.common import read
+from ledgerlens.session import work_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -20,3 +22,39 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_folder(spark, "archive")
+    warc.write_archive(read(spark, sf_dir, "pages"), path)
+    page = lambda name: F.expr(f"try_cast(substring({name}, 10) as bigint)")
+    return warc.read_archive(spark, path).select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        page("refers_to").alias("refers_to"))
+
+
+@query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now, grown = sharding.tree([1.0] * 8), sharding.tree([1.0] * 9)
+    placed = sharding.shards(read(spark, sf_dir, "documents"), now, grown)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
+                         "slot", "grown_shard")
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = mixing.plan(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = bpe.load(spark, public_tokenizers.path("word_bpe_49k.json"))
+    docs = read(spark, sf_dir, "documents")
+    encoded = docs.select("doc_id", bpe.encode_column(F.col("text"), model).alias("ids"))
+    decoded = encoded.select("doc_id", "ids", bpe.decode_column(F.col("ids"), model).alias("back"))
+    digits = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(digits, 256).alias("ids_sha256"), F.sha2("back", 256).alias("decoded_sha256"))
