@@ -171,15 +171,17 @@ class Encoder:
 
 
 class _Words(dict):
-    """Ids by word; emptied when full, and long words are not kept."""
+    """Ids by word, in two generations of bounded size; long words are not kept."""
 
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encoder.ids_of(word)
+        ids = self.older.get(word) or self.encoder.ids_of(word)
         if len(word) <= CACHED_SYMBOLS:
             if len(self) >= CACHED_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
