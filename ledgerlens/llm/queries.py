@@ -4,8 +4,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, mixing, sharding, simhash, warc
-from ledgerlens.llm.common import read
+from ledgerlens.llm import (
+    bpe,
+    lm,
+    mixing,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    toxicity,
+    vectors,
+    warc,
+)
+from ledgerlens.llm.common import fold, read
 from ledgerlens.session import work_folder
 
 QUERIES: dict = {}
@@ -58,3 +69,60 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(digits, 256).alias("ids_sha256"), F.sha2("back", 256).alias("decoded_sha256"))
+
+
+FOLDS = 5
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
+    """Learned from the labels and texts outside of fold 0."""
+    learned = fold("doc_id", FOLDS) != 0
+    return toxicity.fit(docs.filter(learned), read(spark, sf_dir, "labels").filter(learned))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity_model(spark, sf_dir, docs)
+    scored = docs.select("doc_id", (fold("doc_id", FOLDS) == 0).alias("held_out"),
+                         toxicity.score_column(F.col("text"), model, spark).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = docs.select("doc_id", secrets.span_column(F.col("text")).alias("found"))
+    count = lambda kind: F.size(
+        F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+    listed = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("found", lambda s: s["kind"] != "guess")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"),
+        count("hex").alias("n_hex"), F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("found")).alias("spans"))
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    rules = quality.ordered(quality.RULES, quality.estimate(docs))
+    verdict = quality.verdict_column(F.col("text"), rules, quality.MEASURES).alias("v")
+    base_failed = (F.col("n_words") < 50) | (
+        100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return docs.select("doc_id", verdict).select(
+        "doc_id", *(F.col(f"v.{name}") for name in quality.MEASURES), "v.kept",
+    ).withColumn("base_failed", base_failed)
+
+
+@query
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = lm.learn(docs.filter(fold("doc_id", 7) != 2))
+    return lm.score(docs, model).withColumn("held_out", fold("doc_id", 7) == 2)

@@ -236,20 +236,12 @@ def fingerprint_links(values: DataFrame, column: str, rule: Rule = Rule()) -> Da
     return ordered.mapInArrow(_compare(rule.bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id",
-                    text: str = "text") -> DataFrame:
-    """doc_id, fingerprint (long) and component_id (smallest doc_id reachable) per row.
+def group(marked: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, fingerprint, component_id and root of a written table with the first two.
 
-    A missing or empty text has fingerprint zero and is linked like any other. Repeated
-    rows come back repeated, rows without a doc_id take part but never name a component
-    (it is null if no member has an id), other columns are left alone, and an empty table
-    gives an empty one.
+    The root is the smallest fingerprint of a component, as a signed long; every component
+    has one, even if none of its rows has a doc_id.
     """
-    marked = cut_lineage(
-        docs.select(F.col(doc_id).alias("doc_id"),
-                    fingerprint_column(F.col(text), rule.words).alias("fingerprint")),
-        "fingerprints",
-    )
     distinct = cut_lineage(
         marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "distinct")
     links = fingerprint_links(distinct.select("fingerprint"), "fingerprint", rule)
@@ -259,5 +251,22 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id"
     ).select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root"))
     rooted = cut_lineage(rooted, "roots")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id")).hint("rebalance")
-    named = cut_lineage(rooted.join(least, "root").select("fingerprint", "component_id"), "named")
-    return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = cut_lineage(
+        rooted.join(least, "root").select("fingerprint", "component_id", "root"), "named")
+    return marked.join(named, "fingerprint").select(
+        "doc_id", "fingerprint", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id",
+                    text: str = "text") -> DataFrame:
+    """doc_id, fingerprint (long), component_id (smallest doc_id reachable), root per row.
+
+    A missing or empty text has fingerprint zero and is linked like any other. Repeated
+    rows come back repeated, rows without a doc_id take part but never name a component
+    (it is null if no member has an id), other columns are left alone, and an empty table
+    gives an empty one.
+    """
+    return group(cut_lineage(
+        docs.select(F.col(doc_id).alias("doc_id"),
+                    fingerprint_column(F.col(text), rule.words).alias("fingerprint")),
+        "fingerprints"), rule)
