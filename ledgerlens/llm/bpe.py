@@ -33,8 +33,9 @@ ASCII_WORDS = re.compile(
 SPACE = re.compile(r"[\x20\x09-\x0d]")
 
 PIECE_CHARS = 1 << 16
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 CACHED_SYMBOLS = 64
+CHUNK = 1 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -232,6 +233,40 @@ def load(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast({"model": file.read()})
 
 
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, found)])
+    flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+
+
+def _chunks(batch: pa.Array, cost=len) -> Iterator[list]:
+    """Values of a batch, some at a time, so that results are sent on before all are made."""
+    held, size = [], 0
+    for value in batch:
+        value = value.as_py()
+        held.append(value)
+        size += cost(value or ())
+        if size > CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _encoder(model) -> Encoder:
+    held = model.value
+    if "encoder" not in held:
+        held["encoder"] = Encoder(held["model"])
+    return held["encoder"]
+
+
+def _decoder(model, plain: bool) -> Decoder:
+    held = model.value
+    if ("decoder", plain) not in held:
+        held["decoder", plain] = Decoder(held["model"], plain)
+    return held["decoder", plain]
+
+
 def encode_column(text: Column, model) -> Column:
     """Ids of a text, without special tokens around it; a missing text has no ids.
 
@@ -240,16 +275,10 @@ def encode_column(text: Column, model) -> Column:
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        held = model.value
-        if "encoder" not in held:
-            held["encoder"] = Encoder(held["model"])
-        encode = held["encoder"].encode
+        encode = _encoder(model).encode
         for batch in batches:
-            found = [encode(value.as_py() or "") for value in batch]
-            ends = np.cumsum([0, *map(len, found)])
-            yield pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()),
-                pa.array(np.concatenate(found) if found else [], pa.int32()))
+            for texts in _chunks(batch):
+                yield _lists([encode(text or "") for text in texts])
 
     return ids(text)
 
@@ -259,13 +288,25 @@ def decode_column(ids: Column, model, plain: bool = False) -> Column:
 
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        held = model.value
-        if ("decoder", plain) not in held:
-            held["decoder", plain] = Decoder(held["model"], plain)
-        decode = held["decoder", plain].decode
+        decode = _decoder(model, plain).decode
         for batch in batches:
-            yield pa.array(
-                [decode(value.as_py()) if value.is_valid else None for value in batch],
-                pa.string())
+            for lists in _chunks(batch):
+                yield pa.array([ids if ids is None else decode(ids) for ids in lists],
+                               pa.string())
 
     return texts(ids)
+
+
+def coded_column(text: Column, model, plain: bool = False) -> Column:
+    """Struct of the ids of a text and of the text that they decode to, in one pass."""
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode, decode = _encoder(model).encode, _decoder(model, plain).decode
+        for batch in batches:
+            for texts in _chunks(batch):
+                ids = [encode(text or "") for text in texts]
+                back = pa.array([decode(found.tolist()) for found in ids], pa.string())
+                yield pa.StructArray.from_arrays([_lists(ids), back], ["ids", "decoded"])
+
+    return coded(text)

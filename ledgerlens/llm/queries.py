@@ -63,12 +63,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = bpe.load(spark, public_tokenizers.path("word_bpe_49k.json"))
     docs = read(spark, sf_dir, "documents")
-    encoded = docs.select("doc_id", bpe.encode_column(F.col("text"), model).alias("ids"))
-    decoded = encoded.select("doc_id", "ids", bpe.decode_column(F.col("ids"), model).alias("back"))
-    digits = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-    return decoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(digits, 256).alias("ids_sha256"), F.sha2("back", 256).alias("decoded_sha256"))
+    coded = docs.select("doc_id", bpe.coded_column(F.col("text"), model).alias("coded"))
+    digits = F.concat_ws(" ", F.col("coded.ids").cast("array<string>"))
+    return coded.select(
+        "doc_id", F.size("coded.ids").cast("long").alias("n_tokens"),
+        F.sha2(digits, 256).alias("ids_sha256"),
+        F.sha2("coded.decoded", 256).alias("decoded_sha256"))
 
 
 FOLDS = 5
