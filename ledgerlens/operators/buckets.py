@@ -18,8 +18,11 @@ from ledgerlens.operators.frames import (
     Request,
     RunningTotals,
     all_parts,
+    check_resolved,
+    defaults,
     finish,
     part_value,
+    resolve,
     totals,
     with_columns,
 )
@@ -57,7 +60,12 @@ def with_bucket(df: DataFrame, time: str, interval: int) -> DataFrame:
 def bucket_totals(
     df: DataFrame, keys: list[str], time: str, interval: int, requests: list[Request]
 ) -> DataFrame:
-    """One row per entity and bucket with all totals the requests need."""
+    """One row per entity and bucket with all totals the requests need.
+
+    Totals are named by the units of the requests, so amounts with a fraction must have
+    been resolved (:func:`ledgerlens.operators.frames.resolve`).
+    """
+    check_resolved(df, requests)
     rows = with_bucket(df, time, interval)
     return rows.groupBy(*keys, BUCKET).agg(*totals(all_parts(requests)))
 
@@ -108,17 +116,12 @@ def _history_features(
 
 def _settled_columns(specs: list[BucketRequest]) -> dict[str, str]:
     """Finished columns by name; rows without any history get the values of no rows."""
-    columns = {}
-    for spec in specs:
-        if spec.current:
-            continue
-        request = spec.request
-        for frame in request.frames:
-            for agg in request.aggs:
-                name = request.column(agg, frame)
-                default = {"count": 0, "isnew": 1}.get(agg, request.empty)
-                columns[name] = f"`{name}`" if default is None else f"coalesce(`{name}`, {default})"
-    return columns
+    return defaults(spec.request for spec in specs if not spec.current)
+
+
+def _resolved(df: DataFrame, specs: list[BucketRequest]) -> list[BucketRequest]:
+    found = resolve(df, [spec.request for spec in specs])
+    return [replace(spec, request=request) for spec, request in zip(specs, found)]
 
 
 def history_column(part: str, frame: Frame) -> str:
@@ -147,6 +150,7 @@ def in_bucket_running(
     rule: HotRule | None = DEFAULT_RULE,
 ) -> DataFrame:
     """Aggregates over the rows of the own bucket up to the row itself."""
+    (spec,) = _resolved(df, [spec])
     inside = replace(spec.request, frames=(spec.own,))
     own = replace(spec, request=inside, current=True)
     return _attach(df, keys, time, interval, [own], None, rule)
@@ -160,6 +164,7 @@ def rolling_bucketed(
 
     All specs share one aggregation by bucket, one history window and one join.
     """
+    specs = _resolved(df, specs)
     history = _history_features(df, keys, time, interval, specs)
     return _attach(df, keys, time, interval, specs, history, rule)
 
@@ -182,6 +187,9 @@ def _attach(
         own = [(spec.request, _past_and_own(spec, running)) for spec in specs if spec.current]
         return finish(filled, [*keep, *settled], own)
 
+    # Without a spec that looks into the own bucket there is no window over rows.
+    if not any(spec.current for spec in specs):
+        rule = None
     ordinary, hot = split_hot(with_bucket(df, time, interval), group, rule)
     # Ordinary buckets: the window and the join use the same partitioning of the rows.
     by_row = features(running.add(ordinary, group, time, part_value), df.columns)

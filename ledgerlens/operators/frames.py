@@ -6,15 +6,17 @@ included. Every value is the difference of two running totals,
     total(time + end) - total(time + start - 1),
 
 so the cost is linear in the rows however long the frame is; a sliding window would
-re-read the whole frame for every row. The totals are 64-bit integers (amounts in minor
-units), which makes the differences exact. A sum of squares outgrows 64 bits, so it is
-kept in three totals: with u = 8192 a + b, u² is 2^26 a² + 2^14 a b + b². Each of them has
-room for 10^11 rows of amounts up to a million; decimals would hold more but take several
-times as long.
+re-read the whole frame for every row. The totals are integers, which makes the differences
+exact: amounts are counted in units that hold all their decimals, found by one look at the
+column (:func:`resolve`). A sum of squares outgrows 64 bits, so it is kept in three totals:
+with u = 8192 a + b, u² is 2^26 a² + 2^14 a b + b². Where the look shows that 64 bits are
+too few, or that there are more than six decimals, totals are decimals of 38 digits, which
+take several times as long. Both ways give the same values.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
 
@@ -70,21 +72,26 @@ def named_windows(
 class Request:
     """Aggregates of one column over some frames.
 
-    ``name`` is a pattern with ``{target}``, ``{agg}`` and ``{frame}``. ``scale`` turns
-    amounts into exact integers (100: cents). ``ddof`` is 1 for the sample and 0 for the
-    population deviation. ``empty`` is the result of sum, avg and std where they have no
-    rows to work on. ``counts`` says what a count counts: all ``rows`` of the frame or
-    only the ``values`` that are present.
+    ``name`` is a pattern with ``{target}``, ``{agg}`` and ``{frame}``. ``ddof`` is 1 for
+    the sample and 0 for the population deviation. ``empty`` is the result of sum, avg and
+    std where they have no rows to work on. ``counts`` says what a count counts: all
+    ``rows`` of the frame or only the ``values`` that are present.
+
+    ``scale`` promises that the amounts are whole multiples of 1 / scale (100: cents); a
+    row that breaks the promise raises an error. Without it the unit is found from the
+    values. Amounts that are not finite, or from 10^18 on, count as missing. ``units`` is
+    what :func:`resolve` found.
     """
 
     target: str
     frames: tuple[Frame, ...]
     aggs: frozenset[str]
     name: str = "{target}_{agg}_{frame}"
-    scale: int = 1
+    scale: int | None = None
     ddof: int = 1
     empty: float | None = None
     counts: str = "rows"
+    units: str = ""
 
     def __post_init__(self) -> None:
         if isinstance(self.aggs, str):
@@ -97,14 +104,22 @@ class Request:
     def column(self, agg: str, frame: Frame) -> str:
         return self.name.format(target=self.target, agg=SHORT[agg], frame=frame.name)
 
+    @property
+    def has_moments(self) -> bool:
+        return bool(self.aggs & {"sum", "avg", "std"})
+
     @property
     def parts(self) -> list[str]:
         """Names of the running totals the requested aggregates are made of."""
-        names = ["n" if self.counts == "rows" else f"v:{self.target}"]
-        if self.aggs & {"sum", "avg", "std"}:
-            names.append(f"s:{self.scale}:{self.target}")
+        units = self.units or "1"
+        values = "present" if units[0] in FRACTIONAL else "v"
+        names = ["n" if self.counts == "rows" else f"{values}:{self.target}"]
+        wide = units[0] in (WIDE, WIDE_WHOLE)
+        if self.has_moments:
+            names.append(f"{'ws' if wide else 's'}:{units}:{self.target}")
         if "std" in self.aggs:
-            names += [f"{limb}:{self.scale}:{self.target}" for limb in SQUARES]
+            limbs = ("wq",) if wide else SQUARES
+            names += [f"{limb}:{units}:{self.target}" for limb in limbs]
         return names
 
 
@@ -116,8 +131,107 @@ class Group:
     requests: tuple[Request, ...]
 
 
-def _units(target: str, scale: int) -> str:
-    return f"bigint(`{target}`)" if scale == 1 else f"bigint(round(`{target}` * {scale}))"
+# Marks in front of a unit: a fraction that was looked at or promised, and decimal totals of
+# fractions and of whole numbers, where the number of decimals follows.
+FOUND, PROMISED, WIDE, WIDE_WHOLE = "f", "p", "w", "x"
+FRACTIONAL = (FOUND, PROMISED, WIDE)
+# Amounts from here on count as missing.
+LIMIT = 10**18
+WHOLE = ("tinyint", "smallint", "int", "bigint", "boolean")
+DECIMALS = (0, 2, 4, 6)
+MOST_DECIMALS = 9
+
+
+def _finite(target: str) -> str:
+    """The amount as a double, null if it is not finite or beyond the limit."""
+    return f"if(abs(double(`{target}`)) < {LIMIT}D, double(`{target}`), NULL)"
+
+
+def _units(target: str, units: str) -> str:
+    """Units of an amount, as a SQL expression: a bigint, or a decimal where wide."""
+    mark = units[0]
+    if mark == WIDE_WHOLE:
+        exact = f"cast(`{target}` AS decimal(38, 0))"
+        off = f"cast(round(double(`{target}`) / 1e{units[2:]}D) AS decimal(38, 0))"
+        return exact if units == f"{WIDE_WHOLE}0" else off
+    if mark not in FRACTIONAL:
+        return f"bigint(`{target}`)" if units == "1" else f"bigint(`{target}` * {units})"
+    value, size = _finite(target), units[1:]
+    if mark == FOUND:
+        return f"bigint(round({value} * {size}))"
+    if mark == PROMISED:
+        near = f"abs({value} * {size} - round({value} * {size})) < 0.000001"
+        broken = f"raise_error('{target} is not a multiple of 1 / {size}')"
+        return f"bigint(if({value} IS NULL OR {near}, round({value} * {size}), {broken}))"
+    digits = int(size)
+    if digits < 0:
+        return f"cast(round({value} / 1e{-digits}D) AS decimal(38, 0))"
+    exact = f"cast({value} AS decimal(28, {digits}))"
+    return f"cast({exact} * cast({10**digits} AS decimal({digits + 1}, 0)) AS decimal(38, 0))"
+
+
+def _per_unit(units: str) -> str:
+    """Units in one, as a number in SQL."""
+    mark = units[0]
+    if mark in (WIDE, WIDE_WHOLE):
+        return f"1e{units[1:]}D"
+    return units[1:] if mark in FRACTIONAL else units
+
+
+def resolve(df: DataFrame, requests: Iterable[Request]) -> list[Request]:
+    """Requests with the units of their columns.
+
+    One pass over the amounts finds how many decimals they have and how large they are, in
+    one row. Totals are 64-bit integers if all possible totals fit, else decimals; more than
+    nine decimals, and decimals more than 37 digits below the largest possible sum of
+    squares, are rounded. Whole numbers of up to 32 bits need no look.
+    """
+    requests = list(requests)
+    kinds = dict(df.dtypes)
+    open_ = [r for r in requests if r.has_moments and not r.units]
+    looked_at = {
+        r.target: kinds[r.target] not in WHOLE
+        for r in open_
+        if r.scale is None and kinds[r.target] not in ("tinyint", "smallint", "int", "boolean")
+    }
+    measures = {"rows": F.count(F.lit(1))}
+    for target, fractional in looked_at.items():
+        value = F.expr(_finite(target) if fractional else f"double(`{target}`)")
+        measures[f"top:{target}"] = F.max(F.abs(value))
+        for digits in DECIMALS if fractional else ():
+            off = F.round(value, digits) != value
+            measures[f"{digits}:{target}"] = F.count_if(off)
+    seen = df.agg(*[m.alias(name) for name, m in measures.items()]).first() if looked_at else None
+
+    def found(request: Request) -> str:
+        target = request.target
+        if request.units:
+            return request.units
+        if not request.has_moments:
+            whole = kinds[target] in WHOLE or request.counts == "rows"
+            return "" if whole else FOUND + "1"
+        if request.scale is not None:
+            return ("" if kinds[target] in WHOLE else PROMISED) + str(request.scale)
+        if target not in looked_at:
+            return "1"
+        rows, top = max(1, seen["rows"]), seen[f"top:{target}"] or 0.0
+        fits = [d for d in DECIMALS if not looked_at[target] or not seen[f"{d}:{target}"]]
+        needed = fits[0] if fits else MOST_DECIMALS
+        most = top * 10**needed
+        if fits and most < 2**53 and (most / 8192 + 1) ** 2 * rows < 2**62 and most * rows < 2**62:
+            return (FOUND if looked_at[target] else "") + str(10**needed)
+        room = math.floor((37 - math.log10(rows)) / 2 - math.log10(max(top, 1e-9)))
+        return (WIDE if looked_at[target] else WIDE_WHOLE) + str(min(needed, room))
+
+    return [replace(r, units=found(r)) for r in requests]
+
+
+def check_resolved(df: DataFrame, requests: Iterable[Request]) -> None:
+    """Refuses amounts with a fraction whose unit nobody has looked for."""
+    kinds = dict(df.dtypes)
+    for request in requests:
+        if request.has_moments and not request.units and kinds[request.target] not in WHOLE:
+            raise ValueError(f"{request.target} has a fraction: resolve the request first")
 
 
 def part_value(part: str) -> str:
@@ -127,10 +241,14 @@ def part_value(part: str) -> str:
         return "1L"
     if kind == "v":
         return f"bigint(`{rest}` IS NOT NULL)"
-    scale, _, target = rest.partition(":")
-    units = _units(target, int(scale))
-    if kind == "s":
+    if kind == "present":
+        return f"bigint({_finite(rest)} IS NOT NULL)"
+    size, _, target = rest.partition(":")
+    units = _units(target, size)
+    if kind in ("s", "ws"):
         return units
+    if kind == "wq":
+        return f"cast({units} * {units} AS decimal(38, 0))"
     high, low = f"shiftright(abs({units}), 13)", f"(abs({units}) & 8191)"
     return {"qh": f"{high} * {high}", "qm": f"{high} * {low}", "ql": f"{low} * {low}"}[kind]
 
@@ -177,14 +295,16 @@ class RunningTotals:
         self.columns.setdefault((part, distance), f"_total_{len(self.columns)}")
 
     def add(self, df: DataFrame, keys: list[str], time: str, value=part_column) -> DataFrame:
-        """All totals in one window pass: one shuffle, one sort."""
+        """All totals in one window pass: one shuffle, one sort. Rows without a time, which
+        sort before all others, add nothing."""
         by = ", ".join(f"`{key}`" for key in keys)
         added = {}
         for (part, distance), column in self.columns.items():
             bound = f"{distance} FOLLOWING" if distance >= 0 else f"{-distance} PRECEDING"
             frame = f"RANGE BETWEEN UNBOUNDED PRECEDING AND {bound}"
             window = f"(PARTITION BY {by} ORDER BY `{time}` {frame})"
-            added[column] = f"coalesce(sum({value(part)}) OVER {window}, 0)"
+            timed = f"if(`{time}` IS NULL, NULL, {value(part)})"
+            added[column] = f"coalesce(sum({timed}) OVER {window}, 0)"
         return with_columns(df, df.columns, added)
 
     def within(self, part: str, frame: Frame) -> str:
@@ -218,7 +338,8 @@ def finish(df: DataFrame, keep: Iterable[str], wanted: Iterable[tuple]) -> DataF
 def _columns(request: Request, total) -> dict[str, str]:
     out: dict[str, str] = {}
     empty = "NULL" if request.empty is None else repr(request.empty)
-    scale = request.scale
+    units = request.units or "1"
+    scale = _per_unit(units)
     for frame in request.frames:
         n, *moments = [total(part, frame) for part in request.parts]
         for agg in sorted(request.aggs, key=list(SHORT).index):
@@ -227,19 +348,45 @@ def _columns(request: Request, total) -> dict[str, str]:
             elif agg == "isnew":
                 value = f"if({n} = 0, 1, 0)"
             elif agg == "sum":
-                units = moments[0] if scale == 1 else f"{moments[0]} / {scale}"
-                value = f"if({n} > 0, {units}, {empty})"
+                whole = moments[0] if units == "1" else f"double({moments[0]}) / {scale}"
+                if units[0] == WIDE_WHOLE:  # an error where it does not fit, as sums are
+                    whole = f"bigint({moments[0] if scale == '1e0D' else whole})"
+                value = f"if({n} > 0, {whole}, {empty})"
             elif agg == "avg":
-                mean = f"try_divide(double({moments[0]}), double({n} * {scale}))"
+                mean = f"try_divide(double({moments[0]}), double({n}) * {scale})"
                 value = f"coalesce({mean}, double({empty}))"
+            elif units[0] in (WIDE, WIDE_WHOLE):
+                value = _wide_deviation(n, *moments, request.ddof, scale, empty)
             else:
                 value = _deviation(n, *moments, request.ddof, scale, empty)
             out[request.column(agg, frame)] = value
     return out
 
 
+def defaults(requests: Iterable[Request]) -> dict[str, str]:
+    """The columns, with the values of a frame without rows where they are missing."""
+    out = {}
+    for request in requests:
+        for frame in request.frames:
+            for agg in request.aggs:
+                name = request.column(agg, frame)
+                default = {"count": 0, "isnew": 1}.get(agg, request.empty)
+                out[name] = f"`{name}`" if default is None else f"coalesce(`{name}`, {default})"
+    return out
+
+
+def _wide_deviation(n: str, s: str, q: str, ddof: int, scale: str, empty: str) -> str:
+    # Exact in 38 digits; where the products have more, in double precision.
+    count = f"cast({n} AS decimal(20, 0))"
+    exact = f"double(try_subtract(try_multiply({count}, {q}), try_multiply({s}, {s})))"
+    rough = f"greatest(0D, double({n}) * double({q}) - double({s}) * double({s}))"
+    weight = f"(double({n}) * (double({n}) - {1 if ddof == 1 else 0}))"
+    spread = f"coalesce({exact}, {rough})"
+    return f"if({n} > 1, sqrt({spread} / {weight}) / {scale}, double({empty}))"
+
+
 def _deviation(
-    n: str, s: str, high: str, mixed: str, low: str, ddof: int, scale: int, empty: str
+    n: str, s: str, high: str, mixed: str, low: str, ddof: int, scale: str, empty: str
 ) -> str:
     # n * sum of squares - square of the sum: exact, hence never below zero. With totals
     # this small the products fit into 64 bits; decimals are for the rare large ones.
@@ -272,17 +419,17 @@ def rolling_by_second(df: DataFrame, keys: list[str], time: str, requests) -> Da
 
     Rows are reduced to totals per key and second before they are shuffled. The axis is
     then cut into slices, and a second is copied into the later (or earlier) slices that
-    look at it. A window sees one slice of one key: a bounded number of seconds.
+    look at it. A window sees one slice of one key: a bounded number of seconds. For frames
+    without a start, what lies before the seconds of a slice is added from totals by slice.
     """
-    starts = [frame.start for request in requests for frame in request.frames]
-    if None in starts:
-        raise ValueError("frames by second need a start")
-    back = max(0, -min(starts))
-    ahead = max(0, *(frame.end for request in requests for frame in request.frames))
+    shapes = [frame for request in requests for frame in request.frames]
+    back = max(0, *(-(f.end if f.start is None else f.start) for f in shapes))
+    ahead = max(0, *(frame.end for frame in shapes))
     width = max(back + ahead, DAY)
+    parts = all_parts(requests)
 
     ledger = df.filter(F.col(time).isNotNull()).groupBy(*keys, time)
-    seconds = ledger.agg(*totals(all_parts(requests)))
+    seconds = ledger.agg(*totals(parts))
     first = bucket_start(F.col(time) - ahead, width)
     last = bucket_start(F.col(time) + back, width)
     step = F.lit(width).cast("bigint")
@@ -290,8 +437,29 @@ def rolling_by_second(df: DataFrame, keys: list[str], time: str, requests) -> Da
 
     running = RunningTotals(requests)
     wide = running.add(copies, [*keys, "_slice"], time)
-    own = wide.filter(F.col("_slice") == bucket_start(F.col(time), width))
-    return finish(own, [*keys, time], [(request, running.within) for request in requests])
+    home = bucket_start(F.col(time), width)
+    own = wide.filter(F.col("_slice") == home)
+    if all(frame.start is not None for frame in shapes):
+        return finish(own, [*keys, time], [(request, running.within) for request in requests])
+
+    # A second is before the seconds of a slice if the last slice that it is in is earlier.
+    gone = seconds.select(*keys, last.alias("_slice"), *[F.col(f"`{p}`") for p in parts])
+    here = seconds.select(*keys, home.alias("_slice")).distinct().select(
+        "*", *[F.lit(0).cast(kind).alias(p) for p, kind in seconds.dtypes if p in parts])
+    by_slice = gone.unionByName(here).groupBy(*keys, "_slice").agg(
+        *[F.sum(f"`{p}`").alias(p) for p in parts])
+    names = ", ".join(f"`{key}`" for key in keys)
+    earlier = f"(PARTITION BY {names} ORDER BY _slice RANGE BETWEEN UNBOUNDED PRECEDING "
+    bases = {
+        f"_base:{p}": f"coalesce(sum(`{p}`) OVER {earlier} AND 1 PRECEDING), 0)" for p in parts
+    }
+    based = look_up(own, with_columns(by_slice, [*keys, "_slice"], bases), [*keys, "_slice"])
+
+    def total(part: str, frame: Frame) -> str:
+        within = running.within(part, frame)
+        return within if frame.start is not None else f"(`_base:{part}` + {within})"
+
+    return finish(based, [*keys, time], [(request, total) for request in requests])
 
 
 def rolling(
@@ -300,21 +468,26 @@ def rolling(
     """Add frame aggregates to every row; ``time`` is an integer number of seconds.
 
     The keys of the first group must be part of the keys of all others: they decide
-    which rows belong to a hot key (see :mod:`ledgerlens.operators.skew`).
+    which rows belong to a hot key (see :mod:`ledgerlens.operators.skew`). Rows without a
+    time get the values of a frame without rows.
     """
     coarse = list(groups[0].keys)
     if any(not set(coarse) <= set(group.keys) for group in groups):
         raise ValueError("the first group must have the coarsest keys")
+    found = iter(resolve(df, [request for group in groups for request in group.requests]))
+    groups = [replace(g, requests=tuple(next(found) for _ in g.requests)) for g in groups]
     ordinary, hot = split_hot(df, coarse, rule)
     finished = rolling_over_rows(ordinary, time, groups)
     if hot is None:
         return finished
     looked_up = hot
+    filled: dict[str, str] = {}
     for group in groups:
         keys = list(group.keys)
         by_second = rolling_by_second(hot, keys, time, group.requests)
         looked_up = look_up(looked_up, by_second, [*keys, time])
-    return finished.unionByName(looked_up)
+        filled |= defaults(group.requests)
+    return finished.unionByName(with_columns(looked_up, hot.columns, filled))
 
 
 def ratio_over_frames(

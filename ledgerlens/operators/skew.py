@@ -15,31 +15,29 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.session import cut_lineage
+
 
 @dataclass(frozen=True)
 class HotRule:
-    """A key is hot when it has more than ``rows`` rows; at most ``keys`` keys count.
+    """A key is hot when it has more than ``rows`` rows, as estimated from ``share`` of them.
 
-    The list of hot keys is held by the driver and broadcast, so its length is bounded by
-    ``keys``. Since the heaviest keys come first, a key left out of a full list holds at
-    most 1/``keys`` of the rows. Sizes are estimated from ``share`` of the rows: keys of
-    this size are missed by a sample only in their exact order, and a count of all keys
+    Keys of this size are missed by a sample only near the border, and a count of all keys
     would shuffle one record per key and input split.
     """
 
     rows: int = 1_000_000
-    keys: int = 100_000
     share: float = 0.01
 
 
 DEFAULT_RULE = HotRule()
 
 
-def hot_keys(df: DataFrame, keys: list[str], rule: HotRule = DEFAULT_RULE) -> list[Row]:
-    """The keys with more than ``rule.rows`` rows, heaviest first.
+def hot_keys(df: DataFrame, keys: list[str], rule: HotRule = DEFAULT_RULE) -> DataFrame:
+    """A written table of the keys with more than ``rule.rows`` rows.
 
     This looks at the data at once: it reads the key columns and nothing else.
     """
@@ -47,8 +45,13 @@ def hot_keys(df: DataFrame, keys: list[str], rule: HotRule = DEFAULT_RULE) -> li
     if rule.share < 1:
         looked_at = looked_at.sample(rule.share, seed=42)
     sizes = looked_at.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    heavy = sizes.filter(F.col("_rows") > rule.rows * rule.share)
-    return heavy.orderBy(F.desc("_rows"), *keys).limit(rule.keys).select(*keys).collect()
+    heavy = sizes.filter(F.col("_rows") > rule.rows * rule.share).select(*keys)
+    return cut_lineage(heavy, "hot-keys")
+
+
+def if_small(table: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A written table with a broadcast hint if it has at most ``rows`` rows, else as it is."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
 def _other(key: str) -> str:
@@ -75,11 +78,10 @@ def split_hot(
 
     Without a rule no key is taken as hot, for callers that know their keys.
     """
-    found = hot_keys(df, keys, rule) if rule else []
-    if not found:
+    found = hot_keys(df, keys, rule) if rule else None
+    if found is None or found.isEmpty():
         return df, None
-    marks = df.sparkSession.createDataFrame(found, df.select(*keys).schema)
-    listed = F.broadcast(other_side(marks, keys))
+    listed = if_small(other_side(found, keys))
     return (
         df.join(listed, same_key(keys), "left_anti"),
         df.join(listed, same_key(keys), "left_semi"),

@@ -46,6 +46,7 @@ EXPLORE_HISTORY = {"7d_hist": (-WEEK - HOUR, -HOUR), "1d_hist": (-DAY - HOUR, -H
 EXPLORE_DELAY = {"3d_delay": (-3 * DAY, 0)}
 EXPLORE_FRAUD = {"1d_full": (-4 * DAY, 0), "4d_full": (-7 * DAY, 0)}
 
+# Averages and deviations that the amount is compared with.
 RATIO_BASES = [
     "term_tx_amount_avg_30d_hist",
     "term_tx_amount_avg_7d_hist",
@@ -59,12 +60,12 @@ RATIO_BASES = [
 
 AMOUNT = "tx_amount"
 LABEL = "tx_fraud"
-CENTS = 100
+# Flags that the terminal features count.
 NEW_FLAGS = ["tx_amount_isnew_ct_30d_hist", "tx_amount_isnew_ct_7d_hist"]
 
 
 def _amounts(definitions: dict, aggs: set[str], name: str, **more) -> Request:
-    return Request(AMOUNT, frames(definitions), frozenset(aggs), name, scale=CENTS, **more)
+    return Request(AMOUNT, frames(definitions), frozenset(aggs), name, **more)
 
 
 def customer_group() -> Group:

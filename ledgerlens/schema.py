@@ -17,7 +17,7 @@ CLEAN_SCHEMA = (
 RAW_COLUMNS = [part.split()[0] for part in RAW_SCHEMA.split(", ")]
 BASE_COLUMNS = [*RAW_COLUMNS, "unix_time"]
 
-# Columns that never enter the model.
+# Columns that never enter the model.
 NOT_MODEL_INPUTS = [
     "terminal_id",
     "transaction_id",

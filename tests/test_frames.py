@@ -7,7 +7,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import frames
+from ledgerlens.operators import buckets, frames
 from ledgerlens.operators.frames import Frame, Group, Request
 from ledgerlens.operators.skew import HotRule, hot_keys, look_up
 from tests.conftest import exchanges, same_rows
@@ -53,7 +53,7 @@ def brute_force(rows, keys):
 
 
 @pytest.mark.parametrize(
-    "rule", [None, ALL_HOT, HotRule(rows=60, share=1.0), HotRule(rows=0, keys=2, share=1.0)]
+    "rule", [None, ALL_HOT, HotRule(rows=60, share=1.0), HotRule(rows=90, share=1.0)]
 )
 def test_frames_equal_brute_force(table, rule):
     rows = sample_rows()
@@ -159,9 +159,9 @@ def test_deviation_of_negative_amounts(spark):
 
 def test_hot_keys_are_the_heaviest(table):
     found = hot_keys(table, ["cust"], HotRule(rows=100, share=1.0))
-    assert [row["cust"] for row in found] == [0]
-    assert len(hot_keys(table, ["cust"], HotRule(rows=0, keys=3, share=1.0))) == 3
-    assert hot_keys(table, ["cust"]) == []
+    assert [row["cust"] for row in found.collect()] == [0]
+    assert hot_keys(table, ["cust"], HotRule(rows=0, share=1.0)).count() == 6
+    assert hot_keys(table, ["cust"]).isEmpty()
 
 
 def test_hot_second_is_split_by_adaptive_execution(spark):
@@ -205,3 +205,79 @@ def test_fresh_ratios_leave_no_helpers(table):
     got = wide.select("id", F.col("ratio_amount_avg_w").alias("r"))
     pairs = got.join(expected.withColumnRenamed("r", "e"), "id").collect()
     assert all(p["r"] == pytest.approx(p["e"] if p["e"] is not None else 1.0) for p in pairs)
+
+
+@pytest.mark.parametrize("rule", [None, ALL_HOT])
+def test_fractions_are_never_cut_off(spark, rule):
+    """Amounts without a scale: the unit is found, whatever decimals they have."""
+    for amounts in ([1.9, 1.9, 0.1], [0.004, 0.004, 1.005], [1e-7, 2.5, 3e11], [0.5, 1e17, 2.0]):
+        rows = [(1, t, a) for t, a in enumerate(amounts)]
+        df = spark.createDataFrame(rows, "k INT, t BIGINT, a DOUBLE")
+        request = Request("a", (Frame("w", -9, 0),), {"sum", "avg", "std"})
+        last = frames.rolling(df, "t", [Group(("k",), (request,))], rule).orderBy("t").collect()[-1]
+        assert last["a_sum_w"] == pytest.approx(sum(amounts), rel=1e-12)
+        assert last["a_avg_w"] == pytest.approx(statistics.mean(amounts), rel=1e-12)
+        assert last["a_std_w"] == pytest.approx(statistics.stdev(amounts), rel=1e-9)
+
+
+def test_totals_of_fractions_need_a_unit(spark):
+    df = spark.createDataFrame([(1, 1, 1.9)], "k INT, t BIGINT, a DOUBLE")
+    request = Request("a", (Frame("w", -9, 0),), {"sum"})
+    with pytest.raises(ValueError, match="fraction"):
+        buckets.bucket_totals(df, ["k"], "t", 10, [request])
+    (found,) = frames.resolve(df, [request])
+    assert found.units == "f100"
+    total = buckets.bucket_totals(df, ["k"], "t", 10, [found]).first()
+    assert total[found.parts[1]] == 190
+
+
+def test_a_broken_promise_is_an_error(spark):
+    df = spark.createDataFrame([(1, 1, 0.125)], "k INT, t BIGINT, a DOUBLE")
+    request = Request("a", (Frame("w", -9, 0),), {"sum"}, scale=100)
+    with pytest.raises(Exception, match="not a multiple"):
+        frames.rolling(df, "t", [Group(("k",), (request,))], None).collect()
+
+
+@pytest.mark.parametrize("rule", [None, ALL_HOT])
+def test_amounts_that_are_not_finite_count_as_missing(spark, rule):
+    values = [1.5, float("nan"), float("inf"), None, 2.5, -1e300]
+    rows = [(1, t, a) for t, a in enumerate(values)]
+    df = spark.createDataFrame(rows, "k INT, t BIGINT, a DOUBLE")
+    request = Request("a", (Frame("w", -9, 0),), {"count", "sum", "avg"}, counts="values")
+    last = frames.rolling(df, "t", [Group(("k",), (request,))], rule).orderBy("t").collect()[-1]
+    assert (last["a_cn_w"], last["a_sum_w"], last["a_avg_w"]) == (2, 4.0, 2.0)
+
+
+def test_large_whole_numbers_do_not_overflow(spark):
+    rows = [(1, t, 4 * 10**18) for t in range(4)]
+    df = spark.createDataFrame(rows, "k INT, t BIGINT, a BIGINT")
+    request = Request("a", (Frame("w", -9, 0),), {"avg", "std"})
+    for rule in (None, ALL_HOT):
+        wide = frames.rolling(df, "t", [Group(("k",), (request,))], rule)
+        last = wide.orderBy("t").collect()[-1]
+        assert (last["a_avg_w"], last["a_std_w"]) == (4e18, 0.0)
+    near = spark.createDataFrame([(1, t, 10**15 + t) for t in range(4)], "k INT, t BIGINT, a BIGINT")
+    request = Request("a", (Frame("w", -9, 0),), {"sum", "std"})
+    last = frames.rolling(near, "t", [Group(("k",), (request,))], None).orderBy("t").collect()[-1]
+    assert last["a_sum_w"] == 4 * 10**15 + 6
+    assert last["a_std_w"] == pytest.approx(statistics.stdev(range(4)), rel=1e-12)
+
+
+@pytest.mark.parametrize("rule", [None, ALL_HOT, HotRule(rows=90, share=1.0)])
+def test_rows_without_a_time_and_open_frames(spark, rule):
+    rows = [(i, k, None if i % 9 == 0 else t, a) for i, k, _, t, a in sample_rows()]
+    df = spark.createDataFrame(rows, "id BIGINT, cust INT, t BIGINT, amount BIGINT")
+    shapes = (Frame("all", None, 0), Frame("ended", None, -100), Frame("later", None, 20),
+              Frame("near", -30, 0))
+    request = Request("amount", shapes, {"count", "sum", "isnew"}, empty=0)
+    got = frames.rolling(df, "t", [Group(("cust",), (request,))], rule).collect()
+    assert len(got) == len(rows)
+    for row in got:
+        for frame in shapes:
+            low = float("-inf") if frame.start is None else frame.start
+            values = [] if row["t"] is None else [
+                a for _, k, t, a in rows if k == row["cust"] and t is not None
+                and row["t"] + low <= t <= row["t"] + frame.end]
+            assert row[f"amount_cn_{frame.name}"] == len(values)
+            assert row[f"amount_sum_{frame.name}"] == sum(values)
+            assert row[f"amount_isnew_{frame.name}"] == int(not values)
