@@ -234,7 +234,7 @@ def one_file_export(spark, sf_dir):
         key: [row[key] for row in explore.top_by_count(rows, [key], 6, F.col("tx_fraud")).collect()]
         for key in ("customer_id", "terminal_id")
     }
-    sinks.export_one_file(explore.rows_of(rows, chosen), path)
+    sinks.export_rows(explore.rows_of(rows, chosen), path)
     return readers.read_inferred(spark, path)
 
 
@@ -246,9 +246,63 @@ def saved_table(spark, sf_dir):
     return spark.table(name)
 
 
-@query()
+@query(f"""WITH sized AS (SELECT sum(octet_length(encode(value)) + 1) AS size
+  FROM ({views.LINES_SELECT}) AS written)
+SELECT cast(3 AS bigint) AS files_in, cast(size AS bigint) AS bytes_in,
+ cast(greatest(1, ceil(size / 3.0 / 1048576 / 0.05)) AS int) AS files_out FROM sized""")
 def output_files(spark, sf_dir):
-    return sinks.file_plan(spark, f"{sf_dir}/*.parquet", target_mb=1, compression=3)
+    """How many files of 0.05 MB the raw lines make, from the sizes of the files they are in."""
+    path = work_folder(spark, "sized")
+    views.raw_lines(spark, sf_dir).repartition(3).write.text(path)
+    return sinks.file_plan(spark, path, target_mb=0.05, compression=3)
+
+
+# Raw lines among which some amounts are no finite numbers.
+_ODD_LINES = views.LINES_SELECT.replace(
+    "cast(cast(value AS decimal(12, 2)) AS varchar(20)) AS amount",
+    """CASE WHEN event_id % 53 = 9 THEN 'NaN' WHEN event_id % 59 = 10 THEN 'Infinity'
+                ELSE cast(cast(value AS decimal(12, 2)) AS varchar(20)) END AS amount""")
+_ODD = f"""{views.PARSED.replace(views.LINES_SELECT, _ODD_LINES)},
+timed AS (SELECT * REPLACE (
+    try_cast(replace(tx_datetime, '24:00:00', '23:59:59') AS timestamp) AS tx_datetime)
+  FROM parsed WHERE NOT corrupt),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY tx_datetime NULLS FIRST,
+    coalesce(customer_id, -1), coalesce(terminal_id, -1), tx_amount) AS rn FROM timed)"""
+_AMOUNT_OK = "tx_amount >= 0 AND tx_amount < 'Infinity'::double"
+
+
+def _odd_lines(spark, sf_dir):
+    path = work_folder(spark, "odd-lines")
+    views.select_from(spark, sf_dir, _ODD_LINES).write.text(path)
+    return path
+
+
+@query(f"""WITH {_ODD} SELECT (SELECT count(*) FROM parsed) AS total_rows,
+ (SELECT count(*) FROM parsed WHERE corrupt) AS corrupt_rows, count(*) AS rows_checked,
+ count(*) FILTER (rn > 1) AS duplicates,
+ count(*) FILTER ((transaction_id >= 0) IS NOT TRUE) AS bad_transaction_id,
+ count(*) FILTER (tx_datetime IS NULL) AS bad_tx_datetime,
+ count(*) FILTER (({_AMOUNT_OK}) IS NOT TRUE) AS bad_tx_amount,
+ count(*) FILTER ((tx_fraud IN (0, 1)) IS NOT TRUE) AS bad_tx_fraud,
+ count(*) FILTER ((customer_id >= 0) IS NOT TRUE) AS bad_customer_id,
+ count(*) FILTER ((terminal_id >= 0) IS NOT TRUE) AS bad_terminal_id,
+ count(*) FILTER ((tx_time_seconds >= 0) IS NOT TRUE) AS bad_tx_time_seconds,
+ count(*) FILTER ((tx_time_days >= 0) IS NOT TRUE) AS bad_tx_time_days,
+ count(*) FILTER ((tx_fraud_scenario >= 0) IS NOT TRUE) AS bad_scenario_id FROM ranked""")
+def clean_report(spark, sf_dir):
+    """All counts of the cleaning job, observed while it writes."""
+    counts = jobs.clean(spark, _odd_lines(spark, sf_dir), work_folder(spark, "clean"), report=True)
+    return spark.createDataFrame([counts], ", ".join(f"{name} BIGINT" for name in counts))
+
+
+@query(f"""WITH {_ODD} SELECT transaction_id, tx_amount, tx_fraud = 1 AS tx_fraud
+FROM ranked WHERE rn = 1 AND transaction_id >= 0 AND tx_datetime IS NOT NULL AND {_AMOUNT_OK}
+ AND tx_fraud IN (0, 1)""")
+def clean_finite(spark, sf_dir):
+    """Rows with NaN or infinite amounts are not valid."""
+    target = work_folder(spark, "clean")
+    jobs.clean(spark, _odd_lines(spark, sf_dir), target)
+    return readers.read_clean(spark, target).select("transaction_id", "tx_amount", "tx_fraud")
 
 
 @query(f"""WITH {views.TX} SELECT transaction_id, unix_time, tx_fraud,

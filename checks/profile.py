@@ -88,12 +88,31 @@ def _quantile_sql(column: str, shares: list[float]) -> str:
 
 @query(_quantile_sql("cents", QUARTILES))
 def quartiles(spark, sf_dir):
-    return explore.exact_quantiles(views.tx_events(spark, sf_dir), "cents", QUARTILES, 100)
+    return explore.exact_quantiles(views.tx_events(spark, sf_dir), "cents", QUARTILES)
 
 
 @query(_quantile_sql("unix_time", [0.8]))
 def quantile_exact(spark, sf_dir):
-    return explore.exact_quantiles(views.tx_events(spark, sf_dir), TIME, [0.8], 86400)
+    return explore.exact_quantiles(views.tx_events(spark, sf_dir), TIME, [0.8])
+
+
+SKETCHED = [0.01, 0.25, 0.5, 0.8, 0.99]
+SKETCH_ERROR = 0.01
+
+
+@query(f"""WITH {views.TX} SELECT unnest({SKETCHED}::double[]) AS share,
+ (SELECT count(*) FROM tx) AS rows, true AS within""")
+def quantile_sketch(spark, sf_dir):
+    """Whether the rank of each sketched quantile lies within the error."""
+    tx = views.tx_events(spark, sf_dir)
+    found = [(s, explore.approx_quantile(tx, "cents", s, SKETCH_ERROR)) for s in SKETCHED]
+    counts = [F.struct(F.lit(share).alias("share"), F.count("cents").alias("rows"),
+                       F.count_if(F.col("cents") < value).alias("below"),
+                       F.count_if(F.col("cents") <= value).alias("upto"))
+              for share, value in found]
+    return tx.agg(F.array(*counts).alias("c")).select(F.inline("c")).select("share", "rows", (
+        (F.col("below") <= (F.col("share") + SKETCH_ERROR) * F.col("rows"))
+        & (F.col("upto") >= (F.col("share") - SKETCH_ERROR) * F.col("rows"))).alias("within"))
 
 
 @query(f"""WITH {views.TX}, gaps AS (SELECT

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks import sqltext, views
+from checks import literals, sqltext, views
 from checks.registry import query
 from checks.windows import FEATURES_SQL, WARMUP, _items, transactions
 from ledgerlens.functions.scalars import interval_seconds
@@ -14,7 +14,7 @@ from ledgerlens.operators.quality import repair_unknown
 from ledgerlens.plans import jobs, presets
 
 TIME = "unix_time"
-EIGHT = presets.RATIO_BASES
+EIGHT = literals.RATIO_BASES
 
 
 def _ratio(base: str, value: str = "tx_amount") -> str:
@@ -22,7 +22,7 @@ def _ratio(base: str, value: str = "tx_amount") -> str:
     return f"{value} / nullif({whole}, 0) AS ratio_{base}"
 
 
-_BASES = {"7d_hist": presets.CUSTOMER_HISTORY["7d_hist"]}
+_BASES = {"7d_hist": literals.CUSTOMER_HISTORY["7d_hist"]}
 _BASE_ITEMS = sqltext.row_frames("customer_id", _BASES, ["avg", "std"], "{target}_{agg}_cust_{frame}")
 _BASE_NAMES = ["tx_amount_avg_cust_7d_hist", "tx_amount_std_cust_7d_hist"]
 
@@ -31,15 +31,16 @@ _BASE_NAMES = ["tx_amount_avg_cust_7d_hist", "tx_amount_std_cust_7d_hist"]
 SELECT transaction_id, {", ".join(_BASE_NAMES)}, {_items([_ratio(b) for b in _BASE_NAMES])}
 FROM based""")
 def ratio_existing(spark, sf_dir):
-    request = Request("tx_amount", frames.frames(_BASES), {"avg", "std"},
-                      "{target}_{agg}_cust_{frame}", scale=100)
+    bases = {"7d_hist": presets.CUSTOMER_HISTORY["7d_hist"]}
+    request = Request("tx_amount", frames.frames(bases), {"avg", "std"},
+                      "{target}_{agg}_cust_{frame}")
     based = frames.rolling(views.tx_events(spark, sf_dir), TIME,
                            [Group(("customer_id",), (request,))])
     wide = derive.add_ratios(based, "tx_amount", _BASE_NAMES)
     return wide.select("transaction_id", *_BASE_NAMES, *[f"ratio_{b}" for b in _BASE_NAMES])
 
 
-_FRESH = {"7d": (-presets.WEEK, -1), "1d": (-presets.DAY, -1)}
+_FRESH = {"7d": (-literals.WEEK, -1), "1d": (-literals.DAY, -1)}
 _FRESH_ITEMS = sqltext.row_frames("terminal_id", _FRESH, ["cn", "avg", "std"],
                                   "{target}_{agg}_{frame}")
 _FRESH_NAMES = [f"tx_amount_{agg}_{frame}" for frame in _FRESH for agg in ("cn", "avg", "std")]
@@ -48,7 +49,7 @@ _FRESH_NAMES = [f"tx_amount_{agg}_{frame}" for frame in _FRESH for agg in ("cn",
 @query(f"""WITH {views.TX}, based AS (SELECT *, {_items(_FRESH_ITEMS)} FROM tx)
 SELECT transaction_id, {_items([_ratio(b) for b in _FRESH_NAMES])} FROM based""")
 def ratio_fresh(spark, sf_dir):
-    request = Request("tx_amount", frames.frames(_FRESH), {"count", "avg", "std"}, scale=100)
+    request = Request("tx_amount", frames.frames(_FRESH), {"count", "avg", "std"})
     wide = frames.ratio_over_frames(views.tx_events(spark, sf_dir), TIME,
                                     Group(("terminal_id",), (request,)))
     return wide.select("transaction_id", *[f"ratio_{b}" for b in _FRESH_NAMES])
@@ -116,7 +117,7 @@ def fill_zero(spark, sf_dir):
 
 
 @query(f"""WITH {views.TX} SELECT transaction_id, unix_time FROM tx
-WHERE unix_time >= (SELECT min(unix_time) FROM tx) + {presets.WEEK + presets.HOUR}""")
+WHERE unix_time >= (SELECT min(unix_time) FROM tx) + {literals.WEEK + literals.HOUR}""")
 def warmup(spark, sf_dir):
     tx = views.tx_events(spark, sf_dir).select("transaction_id", TIME)
     return derive.after_warmup(tx, tx, TIME, presets.WEEK + presets.HOUR)
@@ -164,19 +165,23 @@ def numeric_cast(spark, sf_dir):
     return model.to_double(tx, columns)
 
 
-@query()
+@query(f"""WITH {views.TX} SELECT transaction_id, cents FROM tx
+WHERE cast('0x' || substr(md5(transaction_id || ':42'), 1, 8) AS bigint) < 858993459""")
 def stable_sample(spark, sf_dir):
-    return derive.stable_sample(views.tx_events(spark, sf_dir), "transaction_id", 0.2)
+    tx = views.tx_events(spark, sf_dir).select("transaction_id", "cents")
+    return derive.stable_sample(tx, "transaction_id", 0.2)
 
 
-@query()
+@query(f"""WITH {views.TX} SELECT transaction_id, unix_time, cents FROM tx
+ORDER BY transaction_id LIMIT 5""")
 def first_rows(spark, sf_dir):
-    return views.tx_events(spark, sf_dir).limit(5)
+    tx = views.tx_events(spark, sf_dir).select("transaction_id", TIME, "cents")
+    return tx.orderBy("transaction_id").limit(5)
 
 
 # The training table: row features, ratios instead of their bases, nulls filled.
 
-_KEPT = [c for c in presets.feature_columns() if c not in EIGHT]
+_KEPT = [c for c in literals.FEATURE_COLUMNS if c not in EIGHT]
 _FILLED = [c if c == "tx_datetime" else f"coalesce({c}, 0) AS {c}" for c in _KEPT]
 _ROW = ["is_night", "is_weekend", "is_rovn_sum", "is_unknonw_terminal", "is_unknonw_customer",
         "hour", "day_of_week"]

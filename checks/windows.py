@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from checks import sqltext, views
+from checks import literals, sqltext, views
 from checks.registry import query
 from ledgerlens.operators import buckets, derive, explore, frames
 from ledgerlens.operators.buckets import BucketRequest
 from ledgerlens.operators.frames import Group, Request
 from ledgerlens.operators.skew import HotRule
 from ledgerlens.plans import jobs, presets
+from ledgerlens.session import cut_lineage, work_folder
+from ledgerlens.sources import sinks
 
 TIME = "unix_time"
-WARMUP = 7 * presets.DAY
+WARMUP = 7 * literals.DAY
 
 
 def _items(items: list[str]) -> str:
@@ -30,9 +33,9 @@ def _rolled(df, groups):
 
 CUST = "{target}_{agg}_cust_{frame}"
 CT = "{target}_{agg}_ct_{frame}"
-FULL_ITEMS = sqltext.row_frames("customer_id", presets.CUSTOMER_FULL, ["cn", "avg"], CUST)
-HIST_ITEMS = sqltext.row_frames("customer_id", presets.CUSTOMER_HISTORY, ["cn", "avg", "std"], CUST)
-PAIR_ITEMS = sqltext.row_frames("customer_id, terminal_id", presets.PAIR, ["isnew"], CT)
+FULL_ITEMS = sqltext.row_frames("customer_id", literals.CUSTOMER_FULL, ["cn", "avg"], CUST)
+HIST_ITEMS = sqltext.row_frames("customer_id", literals.CUSTOMER_HISTORY, ["cn", "avg", "std"], CUST)
+PAIR_ITEMS = sqltext.row_frames("customer_id, terminal_id", literals.PAIR, ["isnew"], CT)
 
 
 @query(f"WITH {views.TX} SELECT transaction_id, {_items(FULL_ITEMS)} FROM tx")
@@ -64,7 +67,7 @@ def pair_isnew(spark, sf_dir):
     return _rolled(views.tx_events(spark, sf_dir), [presets.pair_group()])
 
 
-SUM_FRAMES = {"1d": (-presets.DAY, 0), "around": (-presets.HOUR, presets.HOUR)}
+SUM_FRAMES = {"1d": (-86400, 0), "around": (-3600, 3600)}
 
 
 @query(f"""WITH {views.TX} SELECT transaction_id, {_items(sqltext.row_frames(
@@ -78,8 +81,8 @@ def window_sum(spark, sf_dir):
 @query(f"""WITH {views.TX}, daily AS (SELECT customer_id, unix_time - unix_time % 86400 AS day,
   count(*) AS n, cast(max(cents) AS bigint) AS top FROM tx GROUP BY 1, 2)
 SELECT customer_id, day,
- cast(max(top) OVER {sqltext.over("customer_id", "day", -presets.WEEK, 0)} AS bigint) AS top_7d,
- cast(sum(n) OVER {sqltext.over("customer_id", "day", -presets.WEEK, -1)} AS bigint) AS n_before
+ cast(max(top) OVER {sqltext.over("customer_id", "day", -literals.WEEK, 0)} AS bigint) AS top_7d,
+ cast(sum(n) OVER {sqltext.over("customer_id", "day", -literals.WEEK, -1)} AS bigint) AS n_before
 FROM daily""")
 def named_windows(spark, sf_dir):
     """Plain windows with any function, over a table with one row per key and day."""
@@ -119,8 +122,8 @@ def lag_gap(spark, sf_dir):
 TERM = "term_{target}_{agg}_{frame}"
 
 
-@query(f"""WITH {views.TX}, {sqltext.bucket_tables("tx", presets.BUCKET, {"a": "cents"},
-    [(presets.TERMINAL_FULL, ["a"])])}
+@query(f"""WITH {views.TX}, {sqltext.bucket_tables("tx", literals.BUCKET, {"a": "cents"},
+    [(literals.TERMINAL_FULL, ["a"])])}
 SELECT terminal_id, b AS bucket, n AS rows, cast(s_a AS bigint) AS cents,
  cast(q_a AS double) AS squares FROM bt""")
 def bucket_agg(spark, sf_dir):
@@ -135,9 +138,12 @@ def bucket_agg(spark, sf_dir):
     )
 
 
-FIXED = {"1h": (-presets.BUCKET, -1), "1d": (-presets.DAY, -presets.BUCKET)}
-HISTORY_SETS = {**{f"trained_{k}": v for k, v in presets.TERMINAL_FULL.items()},
-                **{f"fixed_{k}": v for k, v in FIXED.items()}}
+def _trained_and_fixed(trained: dict, fixed: dict) -> dict:
+    return {f"trained_{k}": v for k, v in trained.items()} | {
+        f"fixed_{k}": v for k, v in fixed.items()}
+
+
+HISTORY_SETS = _trained_and_fixed(literals.TERMINAL_FULL, literals.FIXED)
 
 
 def _history_items() -> list[str]:
@@ -149,11 +155,13 @@ def _history_items() -> list[str]:
     return items
 
 
-@query(f"""WITH {views.TX}, {sqltext.bucket_tables("tx", presets.BUCKET, {"a": "cents"},
+@query(f"""WITH {views.TX}, {sqltext.bucket_tables("tx", literals.BUCKET, {"a": "cents"},
     [(HISTORY_SETS, ["a"])])}
 SELECT terminal_id, b AS bucket, {_items(_history_items())} FROM bh""")
 def bucket_history(spark, sf_dir):
-    request = Request("cents", frames.frames(HISTORY_SETS), {"sum"})
+    fixed = {"1h": (-presets.BUCKET, -1), "1d": (-presets.DAY, -presets.BUCKET)}
+    sets = _trained_and_fixed(presets.TERMINAL_FULL, fixed)
+    request = Request("cents", frames.frames(sets), {"sum"})
     table = buckets.bucket_history(
         views.tx_events(spark, sf_dir), ["terminal_id"], TIME, presets.BUCKET, [request]
     )
@@ -196,49 +204,51 @@ def _heavy_sql(source: str, interval: int, targets: dict, specs: list, items: li
 
 
 HEAVY_FULL = sqltext.bucket_items(
-    presets.TERMINAL_FULL, "a", "tx_amount", ["cn", "avg"], TERM, "cents", 100
+    literals.TERMINAL_FULL, "a", "tx_amount", ["cn", "avg"], TERM, "cents", 100
 )
 HEAVY_HIST = sqltext.bucket_items(
-    presets.TERMINAL_HISTORY, "a", "tx_amount", ["cn", "avg", "std"], TERM, "cents", 100, False
+    literals.TERMINAL_HISTORY, "a", "tx_amount", ["cn", "avg", "std"], TERM, "cents", 100, False
 )
 
 
-@query(_heavy_sql("tx", presets.BUCKET, {"a": "cents"}, [(presets.TERMINAL_FULL, ["a"])],
+@query(_heavy_sql("tx", literals.BUCKET, {"a": "cents"}, [(literals.TERMINAL_FULL, ["a"])],
                   HEAVY_FULL))
 def heavy_full(spark, sf_dir):
     return _heavy(views.tx_events(spark, sf_dir), presets.terminal_specs()[:1])
 
 
-@query(_heavy_sql("tx", presets.BUCKET, {"a": "cents"}, [(presets.TERMINAL_HISTORY, ["a"])],
+@query(_heavy_sql("tx", literals.BUCKET, {"a": "cents"}, [(literals.TERMINAL_HISTORY, ["a"])],
                   HEAVY_HIST))
 def heavy_hist(spark, sf_dir):
     return _heavy(views.tx_events(spark, sf_dir), presets.terminal_specs()[1:2])
 
 
 FLAGS = f"{views.TX}, fl AS (SELECT *, {_items(PAIR_ITEMS)} FROM tx)"
-NEW_30, NEW_7 = presets.NEW_FLAGS
+NEW_30, NEW_7 = literals.NEW_FLAGS
 NEW_TARGETS = {"n30": NEW_30, "n7": NEW_7}
 NEW_ITEMS = [
     item
     for short, flag in NEW_TARGETS.items()
     for item in sqltext.bucket_items(
-        presets.TERMINAL_FULL, short, flag, ["sum"], TERM, flag, current=False
+        literals.TERMINAL_FULL, short, flag, ["sum"], TERM, flag, current=False
     )
 ]
 
 
-@query(_heavy_sql("fl", presets.BUCKET, NEW_TARGETS, [(presets.TERMINAL_FULL, list(NEW_TARGETS))],
+@query(_heavy_sql("fl", literals.BUCKET, NEW_TARGETS, [(literals.TERMINAL_FULL, list(NEW_TARGETS))],
                   NEW_ITEMS, FLAGS))
 def heavy_new(spark, sf_dir):
-    flagged = frames.rolling(views.tx_events(spark, sf_dir), TIME, [presets.pair_group()])
+    # Written once: the terminal features read the flags for rows and for bucket totals.
+    flagged = cut_lineage(
+        frames.rolling(views.tx_events(spark, sf_dir), TIME, [presets.pair_group()]), "flagged")
     return _heavy(flagged, presets.terminal_specs()[2:4])
 
 
 FRAUD = "fraud_{target}_{agg}_{frame}"
 FRAUD_ITEMS = sqltext.bucket_items(
-    presets.FRAUD, "f", "tx_fraud", ["sum", "cn"], FRAUD, "tx_fraud"
+    literals.FRAUD, "f", "tx_fraud", ["sum", "cn"], FRAUD, "tx_fraud"
 )
-HEAVY_FRAUD = _heavy_sql("tx", presets.BUCKET, {"f": "tx_fraud"}, [(presets.FRAUD, ["f"])],
+HEAVY_FRAUD = _heavy_sql("tx", literals.BUCKET, {"f": "tx_fraud"}, [(literals.FRAUD, ["f"])],
                          FRAUD_ITEMS)
 
 
@@ -259,18 +269,18 @@ def _risk_items(pairs, delay=None) -> list[str]:
     return items
 
 
-RISK_PAIRS = presets.risk_pairs(list(presets.FRAUD))
+RISK_PAIRS = literals.risk_pairs(list(literals.FRAUD))
 
 
 @query(f"SELECT transaction_id, {_items(_risk_items(RISK_PAIRS))} FROM ({HEAVY_FRAUD}) x")
 def risk_direct(spark, sf_dir):
     counted = _heavy(views.tx_events(spark, sf_dir), presets.terminal_specs()[4:])
-    return derive.add_risk(counted, RISK_PAIRS)
+    return derive.add_risk(counted, presets.risk_pairs(list(presets.FRAUD)))
 
 
 NO_LEAK = _heavy_sql(
-    "tx", presets.BUCKET, {"f": "tx_fraud"}, [(presets.FRAUD, ["f"])],
-    sqltext.bucket_items(presets.FRAUD, "f", "tx_fraud", ["sum", "cn"], FRAUD, "tx_fraud",
+    "tx", literals.BUCKET, {"f": "tx_fraud"}, [(literals.FRAUD, ["f"])],
+    sqltext.bucket_items(literals.FRAUD, "f", "tx_fraud", ["sum", "cn"], FRAUD, "tx_fraud",
                          current=False),
 )
 
@@ -278,33 +288,30 @@ NO_LEAK = _heavy_sql(
 @query(f"SELECT transaction_id, {_items(_risk_items(RISK_PAIRS))} FROM ({NO_LEAK}) x")
 def risk_no_leak(spark, sf_dir):
     counted = _heavy(views.tx_events(spark, sf_dir), presets.terminal_specs(fixed=True)[4:])
-    return derive.add_risk(counted, RISK_PAIRS)
+    return derive.add_risk(counted, presets.risk_pairs(list(presets.FRAUD)))
 
 
-DELAY_FRAMES = presets.EXPLORE_DELAY | presets.EXPLORE_FRAUD
+DELAY_FRAMES = literals.EXPLORE_DELAY | literals.EXPLORE_FRAUD
 DELAY_SQL = _heavy_sql(
-    "tx", presets.EXPLORE_BUCKET, {"f": "tx_fraud"}, [(DELAY_FRAMES, ["f"])],
+    "tx", literals.EXPLORE_BUCKET, {"f": "tx_fraud"}, [(DELAY_FRAMES, ["f"])],
     sqltext.bucket_items(DELAY_FRAMES, "f", "tx_fraud", ["sum", "cn"], FRAUD, "tx_fraud",
                          current=False),
 )
-DELAYED_PAIRS = presets.risk_pairs(list(presets.EXPLORE_FRAUD))
-DELAY = presets.risk_pairs(list(presets.EXPLORE_DELAY))[0]
+DELAYED_PAIRS = literals.risk_pairs(list(literals.EXPLORE_FRAUD))
+DELAY = literals.risk_pairs(list(literals.EXPLORE_DELAY))[0]
 
 
 @query(f"SELECT transaction_id, {_items(_risk_items(DELAYED_PAIRS, DELAY))} FROM ({DELAY_SQL}) x")
 def risk_delayed(spark, sf_dir):
     counted = _heavy(views.tx_events(spark, sf_dir), presets.explore_terminal_specs()[4:],
                      presets.EXPLORE_BUCKET)
-    return derive.add_risk_after_delay(counted, DELAYED_PAIRS, DELAY)
-
+    delayed = presets.risk_pairs(list(presets.EXPLORE_FRAUD))
+    return derive.add_risk_after_delay(
+        counted, delayed, presets.risk_pairs(list(presets.EXPLORE_DELAY))[0])
 
-FIXED_FULL = {"7d_full": (-presets.WEEK, -presets.BUCKET),
-              "1d_full": (-presets.DAY, -presets.BUCKET),
-              "1h_full": (-presets.BUCKET - 2, -presets.BUCKET)}
 
-
-@query(_heavy_sql("tx", presets.BUCKET, {"a": "cents"}, [(FIXED_FULL, ["a"])],
-                  sqltext.bucket_items(FIXED_FULL, "a", "tx_amount", ["cn", "avg"], TERM, "cents",
+@query(_heavy_sql("tx", literals.BUCKET, {"a": "cents"}, [(literals.FIXED_FULL, ["a"])],
+                  sqltext.bucket_items(literals.FIXED_FULL, "a", "tx_amount", ["cn", "avg"], TERM, "cents",
                                        100)))
 def heavy_full_fixed(spark, sf_dir):
     """The terminal frames with the preceding bucket taken in."""
@@ -314,9 +321,9 @@ def heavy_full_fixed(spark, sf_dir):
 # -- the exploratory feature sets --------------------------------------------------
 
 EXPLORE_ROW_ITEMS = (
-    sqltext.row_frames("customer_id", presets.EXPLORE_FULL, ["cn", "avg"], CUST)
-    + sqltext.row_frames("customer_id", presets.EXPLORE_HISTORY, ["cn", "avg", "std"], CUST)
-    + sqltext.row_frames("customer_id, terminal_id", presets.EXPLORE_PAIR, ["isnew"], CT)
+    sqltext.row_frames("customer_id", literals.EXPLORE_FULL, ["cn", "avg"], CUST)
+    + sqltext.row_frames("customer_id", literals.EXPLORE_HISTORY, ["cn", "avg", "std"], CUST)
+    + sqltext.row_frames("customer_id, terminal_id", literals.EXPLORE_PAIR, ["isnew"], CT)
 )
 
 
@@ -326,26 +333,25 @@ def explore_customer(spark, sf_dir):
 
 
 EXPLORE_PAIR_ITEMS = sqltext.row_frames(
-    "customer_id, terminal_id", presets.EXPLORE_PAIR, ["isnew"], CT
+    "customer_id, terminal_id", literals.EXPLORE_PAIR, ["isnew"], CT
 )
 EXPLORE_TERM_ITEMS = (
-    sqltext.bucket_items(presets.EXPLORE_FULL, "a", "tx_amount", ["cn", "avg"], TERM, "cents", 100)
-    + sqltext.bucket_items(presets.EXPLORE_HISTORY, "a", "tx_amount", ["cn", "std"], TERM,
+    sqltext.bucket_items(literals.EXPLORE_FULL, "a", "tx_amount", ["cn", "avg"], TERM, "cents", 100)
+    + sqltext.bucket_items(literals.EXPLORE_HISTORY, "a", "tx_amount", ["cn", "std"], TERM,
                            "cents", 100, False)
     + [item.replace("ELSE 0 END", "ELSE r.tx_amount END") for item in sqltext.bucket_items(
-        presets.EXPLORE_HISTORY, "a", "tx_amount", ["avg"], TERM, "cents", 100, False)]
-    + sqltext.bucket_items(presets.EXPLORE_FULL, "n7", NEW_7, ["sum"], TERM, NEW_7, current=False)
+        literals.EXPLORE_HISTORY, "a", "tx_amount", ["avg"], TERM, "cents", 100, False)]
+    + sqltext.bucket_items(literals.EXPLORE_FULL, "n7", NEW_7, ["sum"], TERM, NEW_7, current=False)
 )
 
 
 @query(_heavy_sql(
-    "fl", presets.EXPLORE_BUCKET, {"a": "cents", "n7": NEW_7},
-    [(presets.EXPLORE_HISTORY, ["a"]), (presets.EXPLORE_FULL, ["a", "n7"])], EXPLORE_TERM_ITEMS,
+    "fl", literals.EXPLORE_BUCKET, {"a": "cents", "n7": NEW_7},
+    [(literals.EXPLORE_HISTORY, ["a"]), (literals.EXPLORE_FULL, ["a", "n7"])], EXPLORE_TERM_ITEMS,
     f"{views.TX}, fl AS (SELECT *, {_items(EXPLORE_PAIR_ITEMS)} FROM tx)"))
 def explore_terminal(spark, sf_dir):
-    flagged = frames.rolling(
-        views.tx_events(spark, sf_dir), TIME, presets.explore_customer_groups()[1:]
-    )
+    pairs = presets.explore_customer_groups()[1:]
+    flagged = cut_lineage(frames.rolling(views.tx_events(spark, sf_dir), TIME, pairs), "flagged")
     wide = buckets.rolling_bucketed(flagged, ["terminal_id"], TIME, presets.EXPLORE_BUCKET,
                                     presets.explore_terminal_specs()[:4])
     filled = derive.own_value_where_missing(wide, presets.EXPLORE_OWN)
@@ -368,8 +374,8 @@ def customer_frames_hot(spark, sf_dir):
     return wide.select("transaction_id", *[c for c in wide.columns if c not in tx.columns])
 
 
-@query(_heavy_sql("tx", presets.BUCKET, {"a": "cents"},
-                  [(presets.TERMINAL_FULL, ["a"]), (presets.TERMINAL_HISTORY, ["a"])],
+@query(_heavy_sql("tx", literals.BUCKET, {"a": "cents"},
+                  [(literals.TERMINAL_FULL, ["a"]), (literals.TERMINAL_HISTORY, ["a"])],
                   HEAVY_FULL + HEAVY_HIST))
 def terminal_frames_hot(spark, sf_dir):
     """Terminal frames with the own bucket reduced to seconds."""
@@ -394,14 +400,14 @@ def lag_gap_hot(spark, sf_dir):
 
 _ROW_FEATURES = f"cf AS (SELECT *, {_items(FULL_ITEMS + HIST_ITEMS + PAIR_ITEMS)} FROM tx)"
 _ALL_BUCKETS = sqltext.bucket_tables(
-    "cf", presets.BUCKET, {"a": "cents", **NEW_TARGETS, "f": "tx_fraud"},
-    [(presets.TERMINAL_FULL, ["a", *NEW_TARGETS]), (presets.TERMINAL_HISTORY, ["a"]),
-     (presets.FRAUD, ["f"])],
+    "cf", literals.BUCKET, {"a": "cents", **NEW_TARGETS, "f": "tx_fraud"},
+    [(literals.TERMINAL_FULL, ["a", *NEW_TARGETS]), (literals.TERMINAL_HISTORY, ["a"]),
+     (literals.FRAUD, ["f"])],
 )
 _TERM_ITEMS = HEAVY_FULL + HEAVY_HIST + NEW_ITEMS + FRAUD_ITEMS
-_BASE = [c for c in presets.feature_columns() if not c.startswith(("term_tx", "fraud_"))]
+_BASE = [c for c in literals.FEATURE_COLUMNS if not c.startswith(("term_tx", "fraud_"))]
 _BASE = [c for c in _BASE if c not in ("tx_datetime", "customer_id")]
-_TERM = [c for c in presets.feature_columns() if c.startswith("term_tx")]
+_TERM = [c for c in literals.FEATURE_COLUMNS if c.startswith("term_tx")]
 FEATURES_SQL = f"""WITH {views.TX}, {_ROW_FEATURES}, {_ALL_BUCKETS},
 tf AS (SELECT r.*, {_items(_TERM_ITEMS)} {sqltext.JOINED})
 SELECT cast(customer_id AS int) AS customer_id, {", ".join(_BASE + _TERM)},
@@ -421,3 +427,49 @@ def transactions(spark, sf_dir):
 @query(FEATURES_SQL)
 def feature_table(spark, sf_dir):
     return jobs.feature_table(transactions(spark, sf_dir), warmup=WARMUP)
+
+
+# -- the exploratory table, and features of the last days ---------------------------
+
+_EXPLORED = sqltext.bucket_tables(
+    "cf", literals.EXPLORE_BUCKET, {"a": "cents", "n7": NEW_7, "f": "tx_fraud"},
+    [(literals.EXPLORE_HISTORY, ["a"]), (literals.EXPLORE_FULL, ["a", "n7"]),
+     (DELAY_FRAMES, ["f"])],
+)
+_EXPLORE_RISK = sqltext.bucket_items(
+    DELAY_FRAMES, "f", "tx_fraud", ["sum", "cn"], FRAUD, "tx_fraud", current=False)
+
+
+def _names(items: list[str]) -> list[str]:
+    return [item.rsplit(" AS ", 1)[1] for item in items]
+
+
+@query(f"""WITH {views.TX}, cf AS (SELECT *, {_items(EXPLORE_ROW_ITEMS)} FROM tx), {_EXPLORED},
+tf AS (SELECT r.*, {_items(EXPLORE_TERM_ITEMS + _EXPLORE_RISK)} {sqltext.JOINED})
+SELECT transaction_id, {_items(_names(EXPLORE_ROW_ITEMS + EXPLORE_TERM_ITEMS))},
+ {_items(_risk_items(DELAYED_PAIRS, DELAY))} FROM tf
+WHERE unix_time >= (SELECT min(unix_time) FROM tx) + 608400""")
+def explore_table(spark, sf_dir):
+    tx = transactions(spark, sf_dir)
+    table = jobs.explore_table(tx)
+    return table.select("transaction_id", *[
+        c for c in table.columns if c not in tx.columns and c != TIME])
+
+
+DAYS_AGAIN = 5
+_LATE = [c for c in literals.FEATURE_COLUMNS if c != "tx_datetime"]
+
+
+@query(f"""SELECT {", ".join(_LATE)} FROM ({FEATURES_SQL}) f
+WHERE tx_datetime >= (SELECT date_trunc('day', max(ts)) FROM events) - INTERVAL 5 DAY""")
+def features_since(spark, sf_dir):
+    """The last days only, from transactions that are kept by day."""
+    source, target = work_folder(spark, "by-day"), work_folder(spark, "features")
+    tx = transactions(spark, sf_dir).withColumn(
+        "tx_datetime", F.col("tx_datetime").cast("timestamp"))
+    sinks.write_parquet(
+        tx.withColumn(jobs.DAY, F.to_date("tx_datetime")), source, partition_by=[jobs.DAY])
+    last = tx.agg(F.to_date(F.max("tx_datetime"))).first()[0]
+    since = last - timedelta(days=DAYS_AGAIN)
+    jobs.features(spark, source, target, by_day=True, since=since)
+    return spark.read.parquet(target).select(*_LATE)

@@ -29,16 +29,19 @@ def binary_metrics(
     prediction: str = "prediction",
     time: str = "unix_time",
     by: list[str] | None = None,
+    negatives: bool = False,
 ) -> DataFrame:
     """Counts, precision, recall, F1 and false alarms per week in one aggregation.
 
-    Ratios without a denominator are 0. ``by`` gives one row per group, such as split.
+    Ratios without a denominator are 0. ``by`` gives one row per group, such as split;
+    ``negatives`` adds the true negatives, with which the counts are a confusion matrix.
     """
     flagged, fraud = F.col(prediction) == 1, F.col(label) == 1
     counted = df.groupBy(*(by or [])).agg(
         F.count_if(flagged & fraud).alias("tp"),
         F.count_if(flagged & (F.col(label) == 0)).alias("fp"),
         F.count_if((F.col(prediction) == 0) & fraud).alias("fn"),
+        F.count_if((F.col(prediction) == 0) & (F.col(label) == 0)).alias("tn"),
         (F.max(time) - F.min(time)).alias("_span"),
     )
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
@@ -48,6 +51,7 @@ def binary_metrics(
         "tp",
         "fp",
         "fn",
+        *(["tn"] if negatives else []),
         rate(tp, tp + fp).alias("precision"),
         rate(tp, tp + fn).alias("recall"),
         # 2pr / (p + r) with the common factors removed

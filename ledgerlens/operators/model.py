@@ -17,18 +17,20 @@ LARGE_MODEL = {"maxIter": 100, "maxDepth": 7, "stepSize": 0.1, "seed": 42}
 
 
 def add_time_split(
-    df: DataFrame, time: str, share: float = 0.8, error: float = 0.0, width: int = 86400
+    df: DataFrame, time: str, share: float = 0.8, error: float = 0.0
 ) -> DataFrame:
     """Column ``split``: ``train`` up to the time that ``share`` of the rows do not
     exceed, ``test`` after it, null without a time.
 
-    With ``error`` 0 the threshold is exact and stays a scalar subquery; otherwise it
-    comes from a sketch with that rank error.
+    With ``error`` 0 the threshold is exact; otherwise it comes from a sketch with that
+    rank error.
     """
     if error > 0:
-        threshold = F.lit(approx_quantile(df, time, share, error))
+        found = approx_quantile(df, time, share, error)
     else:
-        threshold = exact_quantiles(df, time, [share], width).select("value").scalar()
+        row = exact_quantiles(df, time, [share]).first()
+        found = row["value"] if row else None
+    threshold = F.lit(found).cast("double" if error > 0 else "bigint")
     side = F.when(F.col(time) <= threshold, "train").when(F.col(time) > threshold, "test")
     return df.withColumn("split", side)
 
@@ -107,7 +109,8 @@ def scaled_components(inputs: list[str], categories: list[str], k: int = 20) ->
 
 
 def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+    """Writes to a new folder; one that exists is an error."""
+    model.write().save(path)
 
 
 def load_model(path: str) -> PipelineModel:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import end_of_day_fix, known_or, parse_time
@@ -22,11 +22,15 @@ def repair_time(df: DataFrame, column: str = "tx_datetime") -> DataFrame:
 
 
 def validity() -> dict[str, Column]:
-    """Conditions a row must meet, by name; missing values meet none."""
+    """Conditions a row must meet, by name; missing values meet none.
+
+    An amount is a finite number: NaN and infinity, which text files can hold, sort above
+    every number and do not pass.
+    """
     return {
         "transaction_id": F.col("transaction_id") >= 0,
         "tx_datetime": F.col("tx_datetime").isNotNull(),
-        "tx_amount": F.col("tx_amount") >= 0,
+        "tx_amount": (F.col("tx_amount") >= 0) & (F.col("tx_amount") < float("inf")),
         "tx_fraud": F.col("tx_fraud").isin(0, 1),
     }
 
@@ -37,30 +41,44 @@ def keep_valid(df: DataFrame) -> DataFrame:
     return df
 
 
-def first_of_each(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def first_of_each(
+    df: DataFrame, keys: list[str], order: list[str], counted: str | None = None
+) -> DataFrame:
     """One row per key: the first by ``order``, then by all remaining columns.
 
+    ``counted`` names a column to add: the rows of the key.
+
     The smallest row is an aggregate, so copies are dropped before the shuffle and a key
     with very many copies costs no more than any other. The total order makes the choice
     repeatable.
     """
     ranked = [*order, *[name for name in df.columns if name not in (*keys, *order)]]
     first = F.min(F.struct(*ranked)).alias("_first")
-    return df.groupBy(*keys).agg(first).select(
-        *[F.col(name) if name in keys else F.col(f"_first.{name}") for name in df.columns]
+    rows = [F.count(F.lit(1)).alias(counted)] if counted else []
+    return df.groupBy(*keys).agg(first, *rows).select(
+        *[F.col(name) if name in keys else F.col(f"_first.{name}") for name in df.columns],
+        *([counted] if counted else []),
     )
 
 
 def clean_transactions(
-    df: DataFrame, order: list[str], dedup_first: bool = True
+    df: DataFrame, order: list[str], dedup_first: bool = True, copies: Observation | None = None
 ) -> DataFrame:
     """Unique valid rows; ``df`` is repaired already.
 
     By default the survivor of a set of copies is chosen before validity is looked at, so
     an invalid survivor removes its id. ``dedup_first=False`` chooses among valid rows.
+    ``copies`` observes ``duplicates``, the rows beyond the first of each id; it needs the
+    default order, and all ids take part in the shuffle then.
     """
     keys = ["transaction_id"]
-    if dedup_first:
+    if copies is not None:
+        if not dedup_first:
+            raise ValueError("copies are counted where they are looked for first")
+        first = first_of_each(df, keys, order, "_rows").observe(
+            copies, F.coalesce(F.sum(F.col("_rows") - 1), F.lit(0)).alias("duplicates"))
+        kept = keep_valid(first.drop("_rows"))
+    elif dedup_first:
         # Rows without a usable id can never survive; keep them out of the shuffle.
         known = df.filter(validity()["transaction_id"])
         kept = keep_valid(first_of_each(known, keys, order))
@@ -69,11 +87,10 @@ def clean_transactions(
     return kept.withColumn("tx_fraud", F.col("tx_fraud").cast("boolean"))
 
 
-def quality_report(df: DataFrame, unknown_columns: dict[str, str] | None = None) -> DataFrame:
-    """One row of counts over repaired rows, before the validity filter.
+def quality_checks(unknown_columns: dict[str, str] | None = None) -> dict[str, Column]:
+    """Conditions of bad values in repaired rows, by the name in the report.
 
     ``unknown_columns`` maps report names to columns whose repaired values are counted.
-    Copies are the rows beyond the first of each id; only the ids are shuffled for them.
     """
     if unknown_columns is None:
         unknown_columns = {
@@ -86,13 +103,25 @@ def quality_report(df: DataFrame, unknown_columns: dict[str, str] | None = None)
     checks = {
         f"bad_{name}": ~F.coalesce(ok, F.lit(False)) for name, ok in validity().items()
     }
-    checks |= {name: F.col(column) == UNKNOWN for name, column in unknown_columns.items()}
+    return checks | {name: F.col(column) == UNKNOWN for name, column in unknown_columns.items()}
+
+
+def quality_counts(unknown_columns: dict[str, str] | None = None) -> list[Column]:
+    """The rows looked at and the bad ones, as aggregates."""
+    checks = quality_checks(unknown_columns)
+    return [F.count(F.lit(1)).alias("rows_checked"),
+            *[F.count_if(bad).alias(name) for name, bad in checks.items()]]
+
+
+def quality_report(df: DataFrame, unknown_columns: dict[str, str] | None = None) -> DataFrame:
+    """One row of counts over repaired rows, before the validity filter.
+
+    Copies are the rows beyond the first of each id; only the ids are shuffled for them.
+    """
+    checks = quality_checks(unknown_columns)
     per_id = df.groupBy("transaction_id").agg((F.count(F.lit(1)) - 1).alias("_copies"))
     copies = per_id.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("duplicates"))
-    return df.agg(
-        F.count(F.lit(1)).alias("rows_checked"),
-        *[F.count_if(bad).alias(name) for name, bad in checks.items()],
-    ).select("rows_checked", copies.scalar().alias("duplicates"), *checks)
+    return df.agg(*quality_counts(unknown_columns)).select("rows_checked", copies.scalar().alias("duplicates"), *checks)
 
 
 def quality_long(report: DataFrame, rows: str = "rows_checked") -> DataFrame:

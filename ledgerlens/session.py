@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,16 +39,50 @@ def local_session(cores: int | str = "*", app: str = "ledgerlens", **conf: str)
 def work_folder(spark: SparkSession, label: str) -> str:
     """A new folder name under the shared checkpoint folder of the cluster.
 
-    Only where no such folder is configured (tests on one machine) a temporary one is
-    set for the rest of the session. Work tables stay until that folder is expired,
-    because the frames that read them are lazy.
+    Only on one machine, and where no such folder is configured (tests), a temporary one is
+    set for the rest of the session; on a cluster that is an error. Frames that read work
+    tables are lazy, so the tables stay until that folder is expired, except for those made
+    inside :func:`work_space`.
     """
     context = spark.sparkContext
     root = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if not root:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="ledgerlens-")
         context.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/ledgerlens/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/ledgerlens/{label}-{uuid.uuid4().hex}"
+    for made in _OPEN_SPACES:
+        made.append(path)
+    return path
+
+
+_OPEN_SPACES: list[list[str]] = []
+
+
+@contextmanager
+def work_space(spark: SparkSession) -> Iterator[None]:
+    """Removes the work folders that were made inside, for jobs that write their result."""
+    made: list[str] = []
+    _OPEN_SPACES.append(made)
+    try:
+        yield
+    finally:
+        _OPEN_SPACES.remove(made)
+        for path in made:
+            files, place = _located(spark, path)
+            files.delete(place, True)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    files, place = _located(spark, path)
+    return files.exists(place)
+
+
+def _located(spark: SparkSession, path: str) -> tuple:
+    """File system and path as Hadoop knows them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:

@@ -38,10 +38,13 @@ def is_corrupt(corrupt: str = CORRUPT) -> Column:
     return F.col(corrupt).isNotNull()
 
 
+def corrupt_counts() -> list[Column]:
+    return [F.count(F.lit(1)).alias("total_rows"),
+            F.count_if(is_corrupt()).alias("corrupt_rows")]
+
+
 def corrupt_report(raw: DataFrame) -> DataFrame:
-    return raw.agg(
-        F.count(F.lit(1)).alias("total_rows"), F.count_if(is_corrupt()).alias("corrupt_rows")
-    )
+    return raw.agg(*corrupt_counts())
 
 
 def well_formed(raw: DataFrame) -> DataFrame:
@@ -57,5 +60,10 @@ def read_clean(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CLEAN_SCHEMA).parquet(path)
 
 
+def read_clean_by_day(spark: SparkSession, path: str) -> DataFrame:
+    """Clean rows kept in folders by day, with the day as a column that prunes folders."""
+    return spark.read.schema(f"{CLEAN_SCHEMA}, tx_date DATE").parquet(path)
+
+
 def read_inferred(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

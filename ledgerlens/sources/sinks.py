@@ -42,23 +42,27 @@ def write_parquet(
 ) -> None:
     """Replace ``path``, with ``files`` output files where given.
 
-    Fewer files than cores would throttle the stage that computes the rows, so the rows
-    are spread by a shuffle of their own: they are few. Otherwise partitions are merged
-    in place, which costs no shuffle and keeps every core busy.
+    Rows are spread over the files by a shuffle of their own, so the number of files never
+    throttles the stage that computes them. With ``partition_by`` the rows of a folder come
+    together first, and only the folders that get rows are replaced.
     """
     spread = df
-    if files:
-        enough = files >= df.sparkSession.sparkContext.defaultParallelism
-        spread = df.coalesce(files) if enough else df.repartition(files)
+    if partition_by:
+        spread = df.repartition(*([files] if files else []), *partition_by)
+    elif files:
+        spread = df.repartition(files)
     writer = spread.write.mode("overwrite")
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
+        writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
 
 
-def export_one_file(df: DataFrame, path: str) -> None:
-    """A small subset as a single file, for use outside Spark."""
-    write_parquet(df, path, files=1)
+def export_rows(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """A subset for use outside Spark: one file as long as it is small, else several.
+
+    ``df`` is computed twice: once to count its rows.
+    """
+    write_parquet(df, path, files=max(1, -(-df.count() // rows_per_file)))
 
 
 def write_sum(df: DataFrame, column: str, path: str) -> None:

@@ -169,3 +169,36 @@ def test_clean_scan_reads_only_what_is_needed(spark, tmp_path):
     )
     assert "GreaterThanOrEqual(tx_amount,100.0)" in plan
     assert "ReadSchema: struct<customer_id:int,tx_amount:double>" in plan
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Cluster:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        work_folder(Cluster(), "x")
+
+
+def test_report_with_valid_rows_first(spark, lines, tmp_path):
+    first = jobs.clean(spark, lines, str(tmp_path / "a"), report=True)
+    second = jobs.clean(spark, lines, str(tmp_path / "b"), report=True, dedup_first=False)
+    assert first == second and len(first) == 13
+
+
+def test_small_exports_are_one_file(spark, tmp_path):
+    path = tmp_path / "few"
+    sinks.export_rows(spark.range(1000), str(path))
+    assert len(list(path.glob("part-*"))) == 1
+    sinks.export_rows(spark.range(1000), str(path), rows_per_file=300)
+    assert len(list(path.glob("part-*"))) == 4

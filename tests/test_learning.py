@@ -8,7 +8,7 @@ from checks.windows import WARMUP, transactions
 from ledgerlens.operators import evaluate, model
 from ledgerlens.operators.skew import HotRule
 from ledgerlens.plans import jobs, presets
-from ledgerlens.sources import sinks
+from ledgerlens.sources import readers, sinks
 from tests.conftest import same_rows
 
 
@@ -69,7 +69,7 @@ def test_class_weight_rounds_half_to_even(spark):
 def test_feature_table_is_the_same_with_hot_keys(spark, sf_dir):
     tx = transactions(spark, sf_dir)
     plain = jobs.feature_table(tx, WARMUP, rule=None)
-    hot = jobs.feature_table(tx, WARMUP, rule=HotRule(rows=3, share=1.0, keys=200))
+    hot = jobs.feature_table(tx, WARMUP, rule=HotRule(rows=3, share=1.0))
     assert plain.columns == presets.feature_columns()
     assert same_rows(plain, hot)
 
@@ -129,3 +129,64 @@ def test_categories_enter_the_vector(spark, sf_dir):
                                    maxDepth=2)
     scored = pipeline.fit(tx).transform(tx)
     assert scored.schema["features"].metadata["ml_attr"]["num_attrs"] == 25
+
+
+def small_table(spark):
+    rows = [(i, i % 4, int(i % 4 == 2), i * 1000) for i in range(200)]
+    return spark.createDataFrame(rows, "transaction_id INT, kind INT, tx_fraud INT, unix_time BIGINT")
+
+
+def test_runs_are_never_overwritten(spark, tmp_path):
+    models, runs = str(tmp_path / "models"), str(tmp_path / "runs")
+    params = {"split_error": 0, "maxIter": 1, "maxDepth": 2}
+    first = jobs.train_table(spark, small_table(spark), models, runs, **params)
+    assert first["run_number"] == 1 and first["best"]
+    assert sum(r["predicted_0"] + r["predicted_1"] for r in first["confusion"]) == 40
+    # A runs table elsewhere does not know the model that is there.
+    with pytest.raises(FileExistsError, match="run-1"):
+        jobs.train_table(spark, small_table(spark), models, str(tmp_path / "other"), **params)
+    # A path that cannot be read as a table is an error, not an empty table.
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part.parquet").write_text("no table")
+    with pytest.raises(Exception):
+        jobs.train_table(spark, small_table(spark), models, str(tmp_path / "broken"), **params)
+
+
+def test_features_since_a_day_read_only_what_they_need(spark, sf_dir, tmp_path):
+    source = str(tmp_path / "by-day")
+    tx = transactions(spark, sf_dir).withColumn("tx_datetime", F.col("tx_datetime").cast("timestamp"))
+    early = tx.withColumn("tx_datetime", F.expr("tx_datetime - INTERVAL 200 DAYS"))
+    both = tx.unionByName(early).withColumn(jobs.DAY, F.to_date("tx_datetime"))
+    sinks.write_parquet(both, source, partition_by=[jobs.DAY])
+    last = tx.agg(F.to_date(F.max("tx_datetime"))).first()[0]
+    read = jobs.recent(readers.read_clean_by_day(spark, source), last)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(tx_date" in plan
+    assert read.count() < both.count()
+    target = str(tmp_path / "features")
+    jobs.features(spark, source, target, warmup=0, by_day=True)
+    whole = spark.read.parquet(target)
+    some = whole.filter(F.col("tx_date") == last).collect()
+    # Days are replaced one by one; the others stay.
+    jobs.features(spark, source, target, by_day=True, since=last)
+    again = spark.read.parquet(target)
+    assert again.count() == tx.count() * 2
+    assert sorted(map(repr, again.filter(F.col("tx_date") == last).collect())) == sorted(
+        map(repr, some))
+
+
+def test_jobs_remove_their_work_tables(spark, sf_dir, tmp_path):
+    from pathlib import Path
+
+    from ledgerlens import session
+
+    clean = str(tmp_path / "clean")
+    sinks.write_parquet(transactions(spark, sf_dir).withColumn(
+        "tx_datetime", F.col("tx_datetime").cast("timestamp")), clean)
+    made = []
+    session._OPEN_SPACES.append(made)
+    try:
+        jobs.features(spark, clean, str(tmp_path / "features"), warmup=0)
+    finally:
+        session._OPEN_SPACES.remove(made)
+    assert made and not any(Path(path.removeprefix("file:")).exists() for path in made)
