@@ -6,9 +6,10 @@ nothing behind); the separator it puts after each row is an empty gzip member, s
 are plain gzip. Of pages with equal payloads only one carries the payload.
 
 Reading: files are cut into byte ranges. A task scans its range for the gzip magic, takes a
-candidate as a member only if it decodes to a record header and to a correct checksum, and
-is followed by another member or the end of the file; it owns the records that start inside
-its range and reads the last of them to its end. A task holds one block and one record.
+candidate as a record only if it decodes to a record header and to a correct checksum, and
+is followed by another member or the end of the file; the first one in a range must be
+followed by a chain of members, so archives inside a record are not taken for the archive. A task owns the records that start inside its range and reads the last of them to
+its end. It holds one block and one record.
 """
 
 import base64
@@ -153,14 +154,15 @@ def _magic(blocks: _Blocks, offset: int, end: int) -> int | None:
 def _decode(blocks: _Blocks, offset: int) -> tuple[bytes, int] | None:
     """Content and end of the member at ``offset``; None if there is no member.
 
-    A record cut off by the end of the file raises an error.
+    The content of a member that is no record is empty. A record cut off by the end of the
+    file raises an error.
     """
-    unpacker, parts, checked = zlib.decompressobj(31), [], False
+    unpacker, parts, is_record = zlib.decompressobj(31), [], None
     at = offset
     while not unpacker.eof:
         data = blocks.at(at)
         if not len(data):
-            if checked:
+            if is_record:
                 raise ValueError(f"record at byte {offset} is cut off by the end of the file")
             return None
         try:
@@ -168,24 +170,40 @@ def _decode(blocks: _Blocks, offset: int) -> tuple[bytes, int] | None:
         except zlib.error:
             return None
         at += len(data)
-        if not checked and (unpacker.eof or sum(map(len, parts)) >= 7):
-            start = b"".join(parts)
-            if start and not start.startswith(b"WARC/1."):
-                return None
-            checked = bool(start)
+        if is_record is None and (unpacker.eof or sum(map(len, parts)) >= 7):
+            is_record = b"".join(parts).startswith(b"WARC/1.")
+        if is_record is False:
+            parts.clear()
     end = at - len(unpacker.unused_data)
     follows = bytes(blocks.at(end, len(MAGIC))[: len(MAGIC)])
     return (b"".join(parts), end) if follows in (b"", MAGIC) else None
 
 
+CHAIN = 16
+
+
+def _chained(blocks: _Blocks, offset: int) -> bool:
+    """Whether members follow each other from ``offset`` on, to the end of the file or so many."""
+    for _ in range(CHAIN):
+        member = _decode(blocks, offset)
+        if member is None:
+            return False
+        offset = member[1]
+        if offset >= blocks.size:
+            break
+    return True
+
+
 def records(blocks: _Blocks, start: int, end: int) -> Iterator[bytes]:
     """Records that start in [start, end)."""
-    offset = start
+    offset, known = start, 0  # members are known to follow each other from here on
     while (found := _magic(blocks, offset, end)) is not None:
-        member = _decode(blocks, found)
+        sure = found == known or _chained(blocks, found)
+        member = _decode(blocks, found) if sure else None
         if member is None:
             offset = found + 1
             continue
+        known = member[1]
         if member[0]:
             yield member[0]
         offset = member[1]
