@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 # The pieces of a text that are encoded one by one; the second form is for
 # lower-case ASCII text, where it finds the same.
@@ -32,6 +33,23 @@ ASCII_WORDS = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
 SPACE = re.compile(r"[\x20\x09-\x0d]")
 
+
+# Marks that a later version of Unicode orders in another way.
+REORDERED = "\u1df6\U0001e4ec\U0001e4ed"
+
+
+def _unassigned() -> re.Pattern:
+    """Characters on which Python's Unicode tables and newer ones may differ."""
+    runs, start = [REORDERED], None
+    for code in range(0x110001):
+        free = code < 0x110000 and unicodedata.category(chr(code)) == "Cn"
+        if free and start is None:
+            start = code
+        elif not free and start is not None:
+            runs.append(f"\\U{start:08x}-\\U{code - 1:08x}")
+            start = None
+    return re.compile(f"[{''.join(runs)}]")
+
 PIECE_CHARS = 1 << 16
 CACHED_WORDS = 100_000
 CACHED_SYMBOLS = 64
@@ -92,6 +110,9 @@ class Encoder:
         longest_first = sorted(map(re.escape, special), key=len, reverse=True)
         self.special_pattern = re.compile(f"({'|'.join(longest_first)})") if special else None
         self.cache = _Words(self)
+        self.model = model
+        self.unassigned = _unassigned()
+        self.cutter: Tokenizer | None = None
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Merges by rank, leftmost first; the symbols are at most a window."""
@@ -107,24 +128,32 @@ class Encoder:
                 ranks[i] = rank((parts[i], parts[i + 1]), none)
         return parts
 
+    def symbols(self, word: str, step: int = 1 << 10) -> Iterator[str]:
+        """A symbol for each byte of a word."""
+        for start in range(0, len(word), step):
+            for byte in word[start : start + step].encode("utf-8", "replace"):
+                yield self.alphabet[byte]
+
     def tokens(self, word: str, window: int | None = None) -> Iterator[str]:
+        return self.stable(self.symbols(word), window)
+
+    def stable(self, symbols: Iterable[str], window: int | None = None) -> Iterator[str]:
         """Tokens of a word, each as soon as nothing that follows can change it."""
         window = window or 4 * self.lookahead
         held: list[str] = []
-        for start in range(0, len(word), window):
-            for byte in word[start : start + window].encode("utf-8", "replace"):
-                held.append(self.alphabet[byte])
-                # The last symbol may be the one that carries the suffix.
-                if len(held) > self.lookahead + window:
-                    known = held[:-1]
-                    done = 0
-                    for token in self.merge(known):
-                        size = self.sizes[token]
-                        if done + size > len(known) - self.lookahead:
-                            break
-                        done += size
-                        yield token
-                    held = held[done:]
+        for symbol in symbols:
+            held.append(symbol)
+            # The last symbol may be the one that carries the suffix.
+            if len(held) > self.lookahead + window:
+                known = held[:-1]
+                done = 0
+                for token in self.merge(known):
+                    size = self.sizes[token]
+                    if done + size > len(known) - self.lookahead:
+                        break
+                    done += size
+                    yield token
+                held = held[done:]
         if held:
             held[-1] += self.suffix
             yield from self.merge(held)
@@ -161,12 +190,36 @@ class Encoder:
                     out.append(np.int32(self.special[part]).tobytes())
                 elif part.isascii():
                     out.append(self.words(ASCII_WORDS.findall(part.lower())))
+                elif self.has_unassigned(part):
+                    out.extend(map(self.ids_of_symbols, self.cut_by_library(part)))
                 else:
                     # A capital sigma is lowered the same way wherever it stands.
                     plain = unicodedata.normalize("NFC", part).replace("Σ", "σ")
                     out.append(self.words(WORDS.findall(plain.lower())))
         return np.frombuffer(b"".join(out), np.int32)
 
+    def has_unassigned(self, text: str) -> bool:
+        try:
+            text.encode("latin-1")  # quick, and all of these are assigned
+            return False
+        except UnicodeEncodeError:
+            return self.unassigned.search(text) is not None
+
+    def cut_by_library(self, text: str) -> Iterator[list[str]]:
+        """Symbols of the words of a text with characters newer than Python's tables.
+
+        Whether such a character is a letter is asked of the tokenizers library.
+        """
+        if self.cutter is None:
+            self.cutter = Tokenizer.from_str(self.model)
+        normal = self.cutter.normalizer.normalize_str(text)
+        for word, _ in self.cutter.pre_tokenizer.pre_tokenize_str(normal):
+            yield list(word)
+
+    def ids_of_symbols(self, symbols: list[str]) -> bytes:
+        found = self.stable(symbols)
+        return array("i", map(self.vocab.__getitem__, found)).tobytes()
+
     def words(self, words: list[str]) -> bytes:
         return b"".join(map(self.cache.__getitem__, words))
 
