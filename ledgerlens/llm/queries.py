@@ -23,19 +23,38 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(function):
-    QUERIES[function.__name__] = function
-    return function
+def query(sql=None):
+    """Registers a query, with the SQL that gives its rows if there is one."""
 
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLES[function.__name__] = sql
+        return function
 
-@query
+    return add
+
+
+@query()
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-@query
+# Five hexadecimal digits are four of base 32.
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_DIGEST = f"""array_to_string(list_transform(range(0, 32), lambda i: substr('{_BASE32}',
+  cast((cast('0x' || substr(digest, 1 + 5 * (i // 4), 5) AS bigint) >> (15 - 5 * (i % 4))) & 31
+       AS int) + 1, 1)), '')"""
+
+
+@query(f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+s AS (SELECT page_id, octet_length(encode(html)) AS size, sha1(html) AS digest,
+  max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, cast(size AS bigint) AS payload_bytes, {_DIGEST} AS payload_digest,
+ CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id <> last THEN last END AS refers_to FROM s""")
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_folder(spark, "archive")
     warc.write_archive(read(spark, sf_dir, "pages"), path)
@@ -45,7 +64,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         page("refers_to").alias("refers_to"))
 
 
-@query
+@query()
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     now, grown = sharding.tree([1.0] * 8), sharding.tree([1.0] * 9)
     placed = sharding.shards(read(spark, sf_dir, "documents"), now, grown)
@@ -53,13 +72,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "slot", "grown_shard")
 
 
-@query
+@query()
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = mixing.plan(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query
+@query()
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = bpe.load(spark, public_tokenizers.path("word_bpe_49k.json"))
     docs = read(spark, sf_dir, "documents")
@@ -80,7 +99,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicit
     return toxicity.fit(docs.filter(learned), read(spark, sf_dir, "labels").filter(learned))
 
 
-@query
+@query()
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity_model(spark, sf_dir, docs)
@@ -89,7 +108,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-@query
+@query()
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = docs.select("doc_id", secrets.span_column(F.col("text")).alias("found"))
@@ -104,7 +123,30 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed(F.col("found")).alias("spans"))
 
 
-@query
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, text, regexp_extract_all(text, '{_WORD}') AS words,
+  list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{_WORD}')) AS lines
+  FROM d),
+w AS (SELECT doc_id, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM m),
+t AS (SELECT *, lead(a) OVER p AS b, lead(a, 2) OVER p AS c FROM w
+  WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT *, CASE WHEN c IS NOT NULL
+  AND count(*) OVER (PARTITION BY doc_id, a, b, c) > 1 THEN 1 ELSE 0 END AS starts FROM t),
+e AS (SELECT doc_id, max(starts) OVER (PARTITION BY doc_id ORDER BY i
+  ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS inside FROM r),
+n AS (SELECT doc_id, cast(sum(inside) AS bigint) AS repeated FROM e GROUP BY doc_id),
+base AS (SELECT m.doc_id, cast(len(words) AS bigint) AS n_words,
+  cast(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS bigint) AS word_chars,
+  cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS bigint) AS n_symbols,
+  cast(len(lines) - len(list_distinct(lines)) AS bigint) AS n_dup_lines,
+  coalesce(repeated, 0) AS n_repeat_words, len(lines) AS n_lines FROM m LEFT JOIN n USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ NOT (base_failed OR word_chars > 20 * n_words OR word_chars < 2 * n_words
+  OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines) AS kept FROM f""")
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     rules = quality.ordered(quality.RULES, quality.estimate(docs))
@@ -116,12 +158,24 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("base_failed", base_failed)
 
 
-@query
+@query("""WITH RECURSIVE u AS (SELECT vec_id, label, cast(embedding AS double[]) AS v,
+  label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label
+  AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.usable AND b.usable
+  AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM u UNION
+  SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM u JOIN c ON c.a = u.vec_id LEFT JOIN n ON n.a = u.vec_id""")
 def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
-@query
+@query()
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = lm.learn(docs.filter(fold("doc_id", 7) != 2))
