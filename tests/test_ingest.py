@@ -127,6 +127,7 @@ def test_work_folder_follows_the_cluster_setting(spark):
 
 
 class _Context:
+    master = "local[2]"
     folder = None
 
     def getCheckpointDir(self):
