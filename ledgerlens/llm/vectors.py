@@ -227,28 +227,38 @@ def _link(shared, rule: Rule):
     return run
 
 
-def unit_column(vector: Column) -> Column:
-    """The vector scaled to length one, in double precision; null if it links with nothing.
+def unit(vector: list | None) -> np.ndarray | None:
+    """The vector scaled to length one, in double precision; None if it links with nothing.
 
     That is so for a missing or empty vector, one of length zero, and one that holds a null
     or a number that is not finite.
     """
-    doubles = vector.cast("array<double>")
-    usable = F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (
-        F.abs(x) < F.lit(float("inf"))))
-    # Scaled by the largest component first, so that squares neither overflow nor vanish.
-    largest = F.array_max(F.transform(doubles, F.abs))
-    scaled = F.transform(doubles, lambda x: x / largest)
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    unit = F.transform(scaled, lambda x: x / length)
-    return F.when(F.coalesce(usable, F.lit(False)) & (F.coalesce(largest, F.lit(0.0)) > 0), unit)
+    if not vector or None in vector:
+        return None
+    values = np.array(vector, np.float64)
+    largest = np.abs(values).max()
+    if not np.isfinite(largest) or largest == 0:  # the largest of NaN and others is NaN
+        return None
+    values /= largest  # so that squares neither overflow nor vanish
+    return values / np.sqrt((values * values).sum())
+
+
+def unit_column(vector: Column) -> Column:
+    """:func:`unit` of each vector."""
+
+    @F.arrow_udf("array<double>")
+    def units(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([unit(value.as_py()) for value in batch], pa.list_(pa.float64()))
+
+    return units(vector)
 
 
 def near_duplicates(vectors: DataFrame, rule: Rule = Rule(), vec_id: str = "vec_id",
                     embedding: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept for every row.
 
-    Vectors without a label, and those of :func:`unit_column`, link with nothing: no links,
+    Vectors without a label, and those that :func:`unit` refuses, link with nothing: no links,
     and a component of their own. Vectors of different widths are never linked. Rows with
     the same vector count as linked with each other. A missing vec_id never names a
     component unless the whole component is without one; repeated rows come back repeated;
@@ -257,7 +267,7 @@ def near_duplicates(vectors: DataFrame, rule: Rule = Rule(), vec_id: str = "vec_
     rows = cut_lineage(
         vectors.select(
             F.col(vec_id).alias("vec_id"), F.col(label).alias("label"),
-            F.when(F.col(label).isNotNull(), unit_column(F.col(embedding))).alias("unit"),
+            unit_column(F.when(F.col(label).isNotNull(), F.col(embedding))).alias("unit"),
         ).withColumn("key", F.when(
             F.col("unit").isNotNull(), F.sha2(F.concat_ws(",", F.col("unit").cast(
                 "array<string>"), F.col("label").cast("string")), 256))),
