@@ -12,7 +12,6 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from typing import Tuple
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -27,6 +26,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "guess")
+# Texts that are sent on at once.
+CHUNK = 500
 
 # Names in front of a value that is judged by its guess cost.
 CONTEXT = re.compile(
@@ -210,6 +211,13 @@ def find(text: str, rule: Rule, words: dict[str, int], longest: int) -> list[tup
             for (start, kind), (end, guesses) in sorted(spans.items())]
 
 
+def _finder(rule: Rule):
+    """Spans of a text, with the words of the rule ready to be looked up."""
+    words = {word: rank for rank, word in enumerate(dict.fromkeys(rule.words), 1)}
+    longest = max(map(len, words), default=0)
+    return lambda text: find(text, rule, words, longest)
+
+
 def span_column(text: Column, rule: Rule = Rule()) -> Column:
     """Array of (kind, start, end, guesses); places count code points, the end is exclusive.
 
@@ -220,35 +228,37 @@ def span_column(text: Column, rule: Rule = Rule()) -> Column:
 
     @F.arrow_udf("array<struct<kind:string,start:bigint,end:bigint,guesses:double>>")
     def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = {word: rank for rank, word in enumerate(dict.fromkeys(rule.words), 1)}
-        longest = max(map(len, words), default=0)
+        found = _finder(rule)
+        names = ("kind", "start", "end", "guesses")
         for batch in batches:
-            found = [find(value.as_py() or "", rule, words, longest) for value in batch]
-            rows = [[dict(zip(("kind", "start", "end", "guesses"), s)) for s in spans]
-                    for spans in found]
+            rows = [[dict(zip(names, s)) for s in found(value.as_py() or "")] for value in batch]
             yield pa.array(rows, kind)
 
     return spans(text)
 
 
-def redact_column(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with each span, or run of spans that touch or overlap, replaced by ``mark``."""
+def redacted_column(text: Column, rule: Rule = Rule(), mark: str = "[SECRET]") -> Column:
+    """``text`` with each span, or run of spans that touch or overlap, replaced by ``mark``.
+
+    A missing text stays missing.
+    """
     @F.arrow_udf("string")
-    def redacted(batches: Iterator[Tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, found in batches:
-            yield pa.array(
-                [_redact(t.as_py(), s.as_py() or [], mark) for t, s in zip(texts, found)],
-                pa.string())
-
-    return redacted(text, spans)
-
-
-def _redact(text: str | None, spans: list[dict], mark: str) -> str | None:
-    if not spans or text is None:
-        return text
-    out, done, open_ = [], 0, -1
-    for span in sorted(spans, key=lambda s: s["start"]):
-        if span["start"] > open_:
-            out += [text[done : span["start"]], mark]
-        done = open_ = max(done, span["end"])
+    def redacted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        found = _finder(rule)
+        for batch in batches:
+            for first in range(0, len(batch), CHUNK):  # sent on before all are made
+                texts = [value.as_py() for value in batch.slice(first, CHUNK)]
+                yield pa.array(
+                    [t if t is None else redact(t, found(t), mark) for t in texts], pa.string())
+
+    return redacted(text)
+
+
+def redact(text: str, spans: list[tuple], mark: str) -> str:
+    """``text`` with the (kind, start, end, guesses) of ``spans`` replaced."""
+    out, done = [], 0
+    for i, (_, start, end, _) in enumerate(sorted(spans, key=lambda s: s[1])):
+        if i == 0 or start > done:
+            out += [text[done:start], mark]
+        done = max(done, end)
     return "".join([*out, text[done:]])

@@ -33,6 +33,7 @@ from ledgerlens.session import cut_lineage
 # Of the 64-bit hash of a shingle.
 SEED = 42
 PIVOTS = 32
+ROWS_PER_TASK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -210,14 +211,16 @@ def _compare(bits: int):
 def fingerprint_links(values: DataFrame, column: str, rule: Rule = Rule()) -> DataFrame:
     """Links (a, b) that connect all distinct values within ``rule.bits`` bits.
 
-    ``values`` is a written table of distinct fingerprints without nulls.
+    ``values`` is a written table of distinct fingerprints without nulls. Each becomes a row
+    for every table, so the few files it comes from are spread over more tasks first.
     """
+    tasks = 1 + values.count() * len(masks(rule)) // ROWS_PER_TASK
     chosen = F.array(*[
         F.struct(F.lit(i).cast("short").alias("_table"),
                  F.col(column).bitwiseAND(F.lit(mask)).alias("_bucket"))
         for i, mask in enumerate(masks(rule))
     ])
-    rows = values.select(F.col(column).alias("_value"), F.inline(chosen))
+    rows = values.repartition(tasks).select(F.col(column).alias("_value"), F.inline(chosen))
     # The rebalance keeps the join's exchanges its own, so that large buckets can be split.
     sizes = (
         rows.groupBy("_table", "_bucket")

@@ -30,7 +30,8 @@ from ledgerlens.session import cut_lineage
 
 # Fixed value: stripped from both ends of a word.
 MARKS = b".,;:!?\"'()[]{}#$%&*|<>-_/=+~`^@\\"
-CACHED_WORDS = 200_000
+CACHED_WORDS = 60_000
+CHUNK = 200
 
 
 @dataclass(frozen=True)
@@ -79,8 +80,10 @@ def feature_column(text: Column, bits: int) -> Column:
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = _Words(bits)
         for batch in batches:
-            yield pa.array([sorted(features(value.as_py() or b"", words)) for value in batch],
-                           pa.list_(pa.int32()))
+            for first in range(0, len(batch), CHUNK):  # sent on before all are made
+                some = batch.slice(first, CHUNK)
+                yield pa.array([np.array(sorted(features(value.as_py() or b"", words)), np.int32)
+                                for value in some], pa.list_(pa.int32()))
 
     return found(text.cast("binary"))
 

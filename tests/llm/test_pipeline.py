@@ -55,7 +55,9 @@ def test_near_copies_go_and_others_stay(spark, sf_dir):
     assert sorted(r["doc_id"] for r in left) == [0, 2]
 
 
-def test_secrets_are_masked_and_every_document_stays(spark, sf_dir, docs):
+def test_secrets_are_masked_and_every_document_stays(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     clean = {r["doc_id"]: r for r in stage("secrets")(spark, docs, sf_dir).collect()}
     words = {w: i for i, w in enumerate(dict.fromkeys(secrets.COMMON), 1)}
     longest = max(map(len, words))

@@ -101,8 +101,8 @@ def test_method_spans_and_redaction(spark):
            for r in found.collect()}
     assert got == {1: [("guess", 5, 17)], 2: [], 3: [], 5: [],
                    4: [("guess", 12, 23), ("assign", 26, 46)], 6: [("access", 6, 26)]}
-    clean = {r["doc_id"]: r["t"] for r in found.select(
-        "doc_id", secrets.redact_column(F.col("text"), F.col("found")).alias("t")).collect()}
+    clean = {r["doc_id"]: r["t"] for r in docs.select(
+        "doc_id", secrets.redacted_column(F.col("text")).alias("t")).collect()}
     assert clean[1] == "pwd: [SECRET] and pwd: password1"
     assert clean[4] == 'passphrase="[SECRET]", [SECRET]'
     assert clean[2] is None and clean[3] == "" and clean[6] == "auth: [SECRET]"
