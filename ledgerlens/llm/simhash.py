@@ -10,7 +10,8 @@ A fingerprint has 64 bits. Documents are linked when their fingerprints differ i
    ``blocks - bits`` blocks; buckets with one member are dropped.
 3. In a bucket every member has its row of Hamming distances to the pivots, which are
    pseudo-random reference fingerprints. By the triangle inequality a pair is discarded as
-   soon as one coordinate differs by more than ``bits``; the survivors are verified.
+   soon as one coordinate differs by more than ``bits``; the survivors are verified. Buckets
+   with two members are pairs already, and need no further shuffle.
 4. Buckets give only as many links as connect their members; links become components.
 
 A bucket with more than ``bucket_rows`` members is cut into parts, and each pair of parts is
@@ -221,22 +222,34 @@ def fingerprint_links(values: DataFrame, column: str, rule: Rule = Rule()) -> Da
         for i, mask in enumerate(masks(rule))
     ])
     rows = values.repartition(tasks).select(F.col(column).alias("_value"), F.inline(chosen))
-    # The rebalance keeps the join's exchanges its own, so that large buckets can be split.
-    sizes = (
+    shared = cut_lineage(
         rows.groupBy("_table", "_bucket")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter("_rows > 1")
-        .select("*", F.ceil(F.col("_rows") / rule.bucket_rows).cast("int").alias("_parts"))
-        .hint("rebalance")
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_value").alias("a"),
+             F.max("_value").alias("b"))
+        .filter("_rows > 1"),
+        "buckets",
     )
+    # Most buckets that are shared at all have two members, which the aggregate holds.
+    pairs = _near_pairs(shared.filter("_rows = 2").select("a", "b"), rule.bits)
+    parts = F.ceil(F.col("_rows") / rule.bucket_rows).cast("int")
+    sizes = shared.filter("_rows > 2").select("_table", "_bucket", parts.alias("_parts"))
     own = F.pmod(F.xxhash64("_value"), F.col("_parts")).cast("int")
     others = F.sequence(F.lit(0), F.col("_parts") - 1)
-    pairs = F.transform(others, lambda other: F.xxhash64(
+    groups = F.transform(others, lambda other: F.xxhash64(
         "_table", "_bucket", F.least(own, other), F.greatest(own, other)))
     grouped = rows.join(sizes, ["_table", "_bucket"]).select(
-        F.explode(pairs).alias("_group"), "_value")
+        F.explode(groups).alias("_group"), "_value")
     ordered = grouped.repartition("_group").sortWithinPartitions("_group")
-    return ordered.mapInArrow(_compare(rule.bits), "a long, b long")
+    return pairs.unionByName(ordered.mapInArrow(_compare(rule.bits), "a long, b long"))
+
+
+def _near_pairs(pairs: DataFrame, bits: int) -> DataFrame:
+    """Pairs that no pivot discards and that are within ``bits`` bits."""
+    signed = F.array(*[F.lit(int(p)) for p in pivots().view(np.int64)])
+    apart = F.exists(signed, lambda p: F.abs(
+        F.bit_count(F.col("a").bitwiseXOR(p)) - F.bit_count(F.col("b").bitwiseXOR(p))) > bits)
+    return pairs.filter(~apart).filter(
+        F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
 
 
 def group(marked: DataFrame, rule: Rule = Rule()) -> DataFrame:
