@@ -225,21 +225,26 @@ def _build(probes: int, part_bits: int):
 
 @dataclass
 class Filter:
-    """parts: bits of all buckets one after the other, each of ``part_bits`` bits."""
+    """parts: bits of all buckets one after the other, each of ``part_bits`` bits.
+
+    highest: the level that the count of all tokens has; a filter that is too full for its
+    n-grams must not be asked for more.
+    """
 
     parts: np.ndarray
     part_bits: int
     bucket_bits: int
     probes: int
+    highest: int
 
     def level(self, ngrams: np.ndarray) -> np.ndarray:
         """The highest level up to which all are stored; 0 if the first is missing."""
         out = np.zeros(len(ngrams), np.int64)
         alive = np.arange(len(ngrams))
         offset = _bucket(ngrams, self.bucket_bits).astype(np.uint64) * np.uint64(self.part_bits)
-        j = 0
-        while len(alive):
-            j += 1
+        for j in range(1, self.highest + 1):
+            if not len(alive):
+                break
             keys, base = ngrams[alive], offset[alive]
             found = np.ones(len(alive), bool)
             for place in positions(keys, j, self.probes, self.part_bits):
@@ -287,7 +292,9 @@ def learn(texts: DataFrame, rule: Rule = Rule(), text: str = "text") -> Model:
     for bucket, part in zip(made.column("bucket"), made.column("part")):
         at = bucket.as_py() * size
         parts[at : at + size] = np.frombuffer(part.as_buffer(), np.uint8)
-    return Model(counts, Filter(parts, part_bits, bits, rule.probes), n_texts, n_tokens, n_words)
+    highest = int(levels(np.array([max(1, n_tokens)]))[0])
+    filter_ = Filter(parts, part_bits, bits, rule.probes, highest)
+    return Model(counts, filter_, n_texts, n_tokens, n_words)
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,7 +419,7 @@ def score(docs: DataFrame, model: Model, rule: Rule = Rule(), doc_id: str = "doc
     words, rows, _ = head_of(counts, rule.head)
     f = model.filter
     shared = spark.sparkContext.broadcast({
-        "filter": (f.parts, f.part_bits, f.bucket_bits, f.probes), "head": (words, rows)})
+        "filter": (f.parts, f.part_bits, f.bucket_bits, f.probes, f.highest), "head": (words, rows)})
     totals = (model.n_texts, model.n_tokens, model.n_words)
     marked = docs.select(
         F.col(doc_id).alias("doc_id"),
