@@ -30,7 +30,7 @@ from ledgerlens.session import cut_lineage
 SEED = 42
 # What no word can be: the end of a text, and what stands before its first word.
 END, START = b"\n", b"\t"
-CACHED_WORDS = 200_000
+CACHED_WORDS = 60_000
 FLUSH = 1_000_000
 
 
@@ -210,7 +210,8 @@ def fill(ngrams: np.ndarray, counts: np.ndarray, probes: int, part_bits: int,
 def _build(probes: int, part_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # one bucket's bytes at a time
+                row = batch.slice(i, 1).to_pylist()[0]
                 bits = np.zeros(part_bits, np.uint8)
                 for ngrams, rows in (("words", "word_rows"), ("pairs", "pair_rows")):
                     fill(np.frombuffer(row[ngrams], np.uint64),
@@ -397,7 +398,7 @@ def _score_column(text: Column, shared, totals: tuple, weight: float) -> Column:
             for value in batch:
                 held.append(tokens(value.as_py() or b"", hashes))
                 size += len(held[-1])
-                if size > FLUSH // 2:
+                if size > FLUSH // 4:
                     yield give(held)
                     held, size = [], 0
             if held:
