@@ -6,8 +6,9 @@
    each level from 1 to 1 + floor(log2(c)). To look a count up, levels are probed until one
    is missing; the middle of the last level's range is taken. A bucket of n-grams has a part
    of the filter to itself, so the parts are made by independent tasks.
-3. The filter is broadcast. It takes about 8.7 bits for each level, up to ``max_bytes``;
-   beyond that it has more false positives, and every n-gram still enters it.
+3. The filter takes about 8.7 bits for each level at any size. It is broadcast whole up to
+   ``max_bytes``, else in slices of so many bytes: one pass over the texts a slice looks up
+   the n-grams whose parts it holds, and the levels found travel with the texts.
 4. The probability of a word after another is smoothed with that of the word alone, which
    adds one to its count: (c(v, w) + weight * p(w)) / (c(v) + weight).
 
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import power_of_two
-from ledgerlens.session import cut_lineage
+from ledgerlens.session import cut_lineage, remove_folder, work_folder
 
 SEED = 42
 # What no word can be: the end of a text, and what stands before its first word.
@@ -36,7 +37,8 @@ FLUSH = 1_000_000
 
 @dataclass(frozen=True)
 class Rule:
-    """bucket_bytes: text per bucket of n-grams. head: words whose exact counts are broadcast."""
+    """max_bytes: of the filter that are broadcast at once. bucket_bytes: text per bucket of
+    n-grams. head: words whose exact counts are broadcast."""
 
     weight: float = 2.0
     probes: int = 6
@@ -207,29 +209,38 @@ def fill(ngrams: np.ndarray, counts: np.ndarray, probes: int, part_bits: int,
             into[place] = 1
 
 
-def _build(probes: int, part_bits: int):
+def _build(probes: int, part_bits: int, bucket_bits: int, more: int):
+    """Parts of the filter; a bucket of counts has 2 ** ``more`` of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # one bucket's bytes at a time
                 row = batch.slice(i, 1).to_pylist()[0]
-                bits = np.zeros(part_bits, np.uint8)
-                for ngrams, rows in (("words", "word_rows"), ("pairs", "pair_rows")):
-                    fill(np.frombuffer(row[ngrams], np.uint64),
-                         np.frombuffer(row[rows], np.int64), probes, part_bits, bits)
-                packed = np.packbits(bits, bitorder="little").tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["bucket"]], pa.int32()), pa.array([packed], pa.binary())],
-                    ["bucket", "part"])
+                counted = [(np.frombuffer(row[ngrams], np.uint64),
+                            np.frombuffer(row[rows], np.int64))
+                           for ngrams, rows in (("words", "word_rows"), ("pairs", "pair_rows"))]
+                first = row["bucket"] << more
+                for bucket in range(first, first + (1 << more)):
+                    bits = np.zeros(part_bits, np.uint8)
+                    for ngrams, rows in counted:
+                        if more:
+                            own = _bucket(ngrams, bucket_bits) == bucket
+                            ngrams, rows = ngrams[own], rows[own]
+                        fill(ngrams, rows, probes, part_bits, bits)
+                    packed = np.packbits(bits, bitorder="little").tobytes()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([bucket], pa.int32()), pa.array([packed], pa.binary())],
+                        ["bucket", "part"])
 
     return run
 
 
 @dataclass
 class Filter:
-    """parts: bits of all buckets one after the other, each of ``part_bits`` bits.
+    """parts: bits of buckets one after the other, each of ``part_bits`` bits.
 
     highest: the level that the count of all tokens has; a filter that is too full for its
-    n-grams must not be asked for more.
+    n-grams must not be asked for more. first: the bucket that ``parts`` begins with; a slice
+    holds some of the buckets only, and n-grams of others have level 0 in it.
     """
 
     parts: np.ndarray
@@ -237,12 +248,20 @@ class Filter:
     bucket_bits: int
     probes: int
     highest: int
+    first: int = 0
+
+    def fields(self) -> tuple:
+        """What is broadcast: executors need not have this class."""
+        return (self.parts, self.part_bits, self.bucket_bits, self.probes, self.highest,
+                self.first)
 
     def level(self, ngrams: np.ndarray) -> np.ndarray:
         """The highest level up to which all are stored; 0 if the first is missing."""
         out = np.zeros(len(ngrams), np.int64)
-        alive = np.arange(len(ngrams))
-        offset = _bucket(ngrams, self.bucket_bits).astype(np.uint64) * np.uint64(self.part_bits)
+        bucket = _bucket(ngrams, self.bucket_bits) - self.first
+        held = 8 * len(self.parts) // self.part_bits
+        alive = np.flatnonzero((bucket >= 0) & (bucket < held))
+        offset = bucket.astype(np.uint64) * np.uint64(self.part_bits)
         for j in range(1, self.highest + 1):
             if not len(alive):
                 break
@@ -259,18 +278,55 @@ class Filter:
         return out
 
 
+@dataclass
+class Looked:
+    """Levels that were looked up before, of n-grams in order."""
+
+    ngrams: np.ndarray
+    levels: np.ndarray
+
+    def level(self, ngrams: np.ndarray) -> np.ndarray:
+        return self.levels[np.searchsorted(self.ngrams, ngrams)].astype(np.int64)
+
+
 # --- scores ---------------------------------------------------------------------------------
 
 
 @dataclass
 class Model:
-    """counts: the written table of buckets. Tokens and distinct tokens of the training text."""
+    """counts: the written table of buckets. Tokens and distinct tokens of the training text.
+
+    filter: all of it if ``parts`` is None, else its first slice; the others are read from
+    the written table of ``parts``.
+    """
 
     counts: DataFrame
     filter: Filter
     n_texts: int
     n_tokens: int
     n_words: int
+    parts: DataFrame | None = None
+
+    def slices(self) -> Iterator[Filter]:
+        """One after the other, so that no more than one is held."""
+        f = self.filter
+        yield f
+        held = 8 * len(f.parts) // f.part_bits
+        for first in range(held, 1 << f.bucket_bits, held):
+            some = min(held, (1 << f.bucket_bits) - first)
+            yield Filter(_joined(self.parts, f.part_bits, first, some), f.part_bits,
+                         f.bucket_bits, f.probes, f.highest, first)
+
+
+def _joined(parts: DataFrame, part_bits: int, first: int, held: int) -> np.ndarray:
+    """The bytes of ``held`` buckets from ``first`` on."""
+    size = part_bits // 8
+    out = np.zeros(held * size, np.uint8)
+    made = parts.filter(F.col("bucket").between(first, first + held - 1)).toArrow()
+    for bucket, part in zip(made.column("bucket"), made.column("part")):
+        at = (bucket.as_py() - first) * size
+        out[at : at + size] = np.frombuffer(part.as_buffer(), np.uint8)
+    return out
 
 
 def learn(texts: DataFrame, rule: Rule = Rule(), text: str = "text") -> Model:
@@ -284,18 +340,21 @@ def learn(texts: DataFrame, rule: Rule = Rule(), text: str = "text") -> Model:
     counts = cut_lineage(gathered.mapInArrow(_gather, BUCKETS), "ngram-counts")
     n_words, n_tokens, n_levels = counts.agg(
         *(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_tokens", "n_levels"))).first()
-    whole = min(8 * rule.max_bytes, int(n_levels * rule.bits_per_level))
-    part_bits = max(64, whole // (1 << bits) // 8 * 8)
-    parts = np.zeros((1 << bits) * part_bits // 8, np.uint8)
-    size = part_bits // 8
-    built = counts.mapInArrow(_build(rule.probes, part_bits), "bucket int, part binary")
-    made = built.toArrow()  # no more than the filter's size
-    for bucket, part in zip(made.column("bucket"), made.column("part")):
-        at = bucket.as_py() * size
-        parts[at : at + size] = np.frombuffer(part.as_buffer(), np.uint8)
+    whole = int(n_levels * rule.bits_per_level)
+    # Buckets that are too large for a slice have several parts.
+    more = power_of_two(whole >> bits, 8 * rule.max_bytes)
+    bucket_bits = bits + more
+    part_bits = max(64, whole // (1 << bucket_bits) // 8 * 8)
+    held = min(1 << bucket_bits, max(1, 8 * rule.max_bytes // part_bits))
+    parts = counts.mapInArrow(
+        _build(rule.probes, part_bits, bucket_bits, more), "bucket int, part binary")
+    sliced = held < 1 << bucket_bits
+    if sliced:
+        parts = cut_lineage(parts, "filter-parts")
     highest = int(levels(np.array([max(1, n_tokens)]))[0])
-    filter_ = Filter(parts, part_bits, bits, rule.probes, highest)
-    return Model(counts, filter_, n_texts, n_tokens, n_words)
+    filter_ = Filter(
+        _joined(parts, part_bits, 0, held), part_bits, bucket_bits, rule.probes, highest)
+    return Model(counts, filter_, n_texts, n_tokens, n_words, parts if sliced else None)
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,6 +466,90 @@ def _score_column(text: Column, shared, totals: tuple, weight: float) -> Column:
     return scored(text.cast("binary"))
 
 
+def _looked_up(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` (doc_id, text) with ``levels``, a byte for each token and for each pair.
+
+    Every slice reads the table that the one before has written, which is then removed.
+    """
+    spark = docs.sparkSession
+    current, before = docs.withColumn("levels", F.lit(None).cast("binary")), None
+    for slice_ in model.slices():
+        shared = spark.sparkContext.broadcast(slice_.fields())
+        path = work_folder(spark, "levels")
+        found = current.withColumn("levels", _levels_column(shared)(
+            F.col("text").cast("binary"), F.col("levels")))
+        found.write.parquet(path)
+        current = spark.read.schema(found.schema).parquet(path)
+        shared.destroy()
+        if before:
+            remove_folder(spark, before)
+        before = path
+    return current
+
+
+def _levels_column(shared):
+    @F.arrow_udf("binary")
+    def looked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        filter_, hashes = Filter(*shared.value), _Hashes()
+        start = np.frombuffer(hashes[START], np.uint64)[0]
+
+        def give(held, earlier):
+            flat = np.concatenate([np.concatenate([f, pair_hashes(before_of(f, start), f)])
+                                   for f in held])
+            ngrams, number = np.unique(flat, return_inverse=True)
+            level = filter_.level(ngrams).astype(np.uint8)[number]
+            ends = np.cumsum([2 * len(f) for f in held])[:-1]
+            return pa.array([(own if old is None else np.maximum(
+                own, np.frombuffer(old, np.uint8))).tobytes()
+                for own, old in zip(np.split(level, ends), earlier)], pa.binary())
+
+        for texts, levels_ in batches:
+            held, earlier, size = [], [], 0
+            for value, old in zip(texts, levels_):
+                held.append(tokens(value.as_py() or b"", hashes))
+                earlier.append(old.as_py())
+                size += len(held[-1])
+                if size > FLUSH // 4:
+                    yield give(held, earlier)
+                    held, earlier, size = [], [], 0
+            if held:
+                yield give(held, earlier)
+
+    return looked
+
+
+def _looked(held: list[np.ndarray], found: list[bytes], start: np.uint64) -> Looked:
+    """The levels ``found`` for the tokens and pairs of some texts, as a filter gives them."""
+    flat = np.concatenate([np.concatenate([f, pair_hashes(before_of(f, start), f)])
+                           for f in held])
+    ngrams, first = np.unique(flat, return_index=True)
+    return Looked(ngrams, np.frombuffer(b"".join(found), np.uint8)[first])
+
+
+def _sliced_score_column(text: Column, levels_: Column, shared, totals: tuple,
+                         weight: float) -> Column:
+    @F.arrow_udf("struct<n_tokens: bigint, n_known: bigint, base_score: double, score: double, "
+                 "rest: array<struct<word: bigint, times: bigint>>>")
+    def scored(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        head, hashes = shared.value, _Hashes()
+        start = np.frombuffer(hashes[START], np.uint64)[0]
+        give = lambda held, found: _score_batch(
+            held, _looked(held, found, start), head, totals, weight, start)
+        for texts, levels_ in batches:
+            held, found, size = [], [], 0
+            for value, level in zip(texts, levels_):
+                held.append(tokens(value.as_py() or b"", hashes))
+                found.append(level.as_py())
+                size += len(held[-1])
+                if size > FLUSH // 4:
+                    yield give(held, found)
+                    held, found, size = [], [], 0
+            if held:
+                yield give(held, found)
+
+    return scored(text.cast("binary"), levels_)
+
+
 def score(docs: DataFrame, model: Model, rule: Rule = Rule(), doc_id: str = "doc_id",
           text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row.
@@ -418,13 +561,17 @@ def score(docs: DataFrame, model: Model, rule: Rule = Rule(), doc_id: str = "doc
     spark = docs.sparkSession
     counts = cut_lineage(word_counts(model), "word-counts")
     words, rows, _ = head_of(counts, rule.head)
-    f = model.filter
-    shared = spark.sparkContext.broadcast({
-        "filter": (f.parts, f.part_bits, f.bucket_bits, f.probes, f.highest), "head": (words, rows)})
     totals = (model.n_texts, model.n_tokens, model.n_words)
-    marked = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        _score_column(F.col(text), shared, totals, rule.weight).alias("s"))
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if model.parts is None:
+        shared = spark.sparkContext.broadcast(
+            {"filter": model.filter.fields(), "head": (words, rows)})
+        marked = named.select(
+            "doc_id", _score_column(F.col("text"), shared, totals, rule.weight).alias("s"))
+    else:
+        shared = spark.sparkContext.broadcast((words, rows))
+        marked = _looked_up(named, model).select("doc_id", _sliced_score_column(
+            F.col("text"), F.col("levels"), shared, totals, rule.weight).alias("s"))
     scored = cut_lineage(
         marked.select("doc_id", "s.*", F.monotonically_increasing_id().alias("row")), "scored")
     rest = scored.select("row", F.inline("rest"))

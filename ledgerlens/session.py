@@ -70,8 +70,12 @@ def work_space(spark: SparkSession) -> Iterator[None]:
     finally:
         _OPEN_SPACES.remove(made)
         for path in made:
-            files, place = _located(spark, path)
-            files.delete(place, True)
+            remove_folder(spark, path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    files, place = _located(spark, path)
+    files.delete(place, True)
 
 
 def folder_exists(spark: SparkSession, path: str) -> bool:

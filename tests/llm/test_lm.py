@@ -119,3 +119,26 @@ def test_edge_rows(spark):
     nothing = lm.learn(frame.limit(0))
     check(lm.score(frame, nothing).collect(), plain(docs, []))
     assert lm.score(frame.limit(0), lm.learn(train)).collect() == []
+
+
+@pytest.mark.parametrize("max_bytes", [60_000, 20_000])
+def test_many_slices_give_the_scores_of_one(spark, sf_dir, max_bytes):
+    """The filter keeps its bits a level however little of it is broadcast at once."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    whole = lm.learn(table, lm.Rule(bucket_bytes=20_000))
+    sliced = lm.learn(table, lm.Rule(bucket_bytes=20_000, max_bytes=max_bytes))
+    slices = list(sliced.slices())
+    assert whole.parts is None and len(slices) > 1
+    assert all(len(s.parts) <= max_bytes for s in slices)
+    assert np.array_equal(np.concatenate([s.parts for s in slices]), whole.filter.parts)
+    key = lambda r: (r["doc_id"], r["score"])
+    assert sorted(lm.score(table, sliced).collect(), key=key) == sorted(
+        lm.score(table, whole).collect(), key=key)
+
+
+def test_buckets_larger_than_a_slice_have_several_parts(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = lm.learn(table, lm.Rule(max_bytes=60_000))
+    absent = np.random.default_rng(1).integers(0, 1 << 63, 20_000).astype(np.uint64)
+    found = np.max([s.level(absent) for s in model.slices()], axis=0)
+    assert (found > 0).mean() < 0.05
