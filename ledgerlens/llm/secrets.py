@@ -191,10 +191,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
+    """Whether spans, of base_spans, leave nothing of a value uncovered."""
+    for first, _, last in sorted(spans):
+        if first <= start:
+            start = max(start, last)
+    return start >= end
+
+
 def find(text: str, rule: Rule, words: dict[str, int], longest: int) -> list[tuple]:
     """(kind, start, end, guesses) by start, then kind; guesses of values, else None.
 
-    Values that a base span covers, wholly or in part, add no span.
+    Values that base spans cover wholly add no span. One that reaches beyond them is a span
+    of its own whatever its cost, as a part of it is a secret already.
     """
     base = base_spans(text)
     spans = {(start, kind): (end, None) for start, kind, end in base}
@@ -205,7 +214,8 @@ def find(text: str, rule: Rule, words: dict[str, int], longest: int) -> list[tup
         for s in covering:
             if s[1] == 0:
                 spans[s[:2]] = (s[2], guesses)
-        if not covering and end - start >= rule.least and guesses >= rule.guesses:
+        hard = end - start >= rule.least and guesses >= rule.guesses
+        if not _covered(start, end, covering) if covering else hard:
             spans[start, 3] = (end, guesses)
     return [(KINDS[kind], start, end, guesses)
             for (start, kind), (end, guesses) in sorted(spans.items())]
