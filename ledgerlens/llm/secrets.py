@@ -29,11 +29,15 @@ KINDS = ("assign", "access", "hex", "guess")
 # Texts that are sent on at once.
 CHUNK = 500
 
-# Names in front of a value that is judged by its guess cost.
-CONTEXT = re.compile(
+# Names in front of a value that is judged by its guess cost. A scheme of an authorization
+# header may come between, if what follows it is no name with a value of its own.
+_NAMED = (
     r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|"
     r"private[_-]?key|client[_-]?key|auth(?:orization)?|credentials?|bearer)"
-    r"[\"']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*[\"']?([^\s\"'<>,;]+)",
+    r"[\"']?[\x20\t]*(?::=|=>|[:=])")
+CONTEXT = re.compile(
+    _NAMED + r"[\x20\t]*[\"']?(?:(?:bearer|basic|token)[\x20\t]+[\"']?(?!" + _NAMED + r"))?"
+    r"([^\s\"'<>,;]+)",
     re.IGNORECASE | re.ASCII)
 
 # Words by how early a guesser tries them.

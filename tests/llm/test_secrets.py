@@ -139,3 +139,13 @@ def test_values_with_a_symbol_in_the_middle_go_whole(name, value):
     assert ("guess", at, at + len(value)) in [s[:3] for s in found]
     base = {(a, secrets.KINDS[k], b) for a, k, b in secrets.base_spans(text)}
     assert base == {(a, k, b) for k, a, b, _ in found if k != "guess"}
+
+
+def test_values_after_a_scheme():
+    value = "eyJhbGciOiJIUzI1NiJ9.x7Kq9vLm2Rt8"
+    for head in ("Authorization: Bearer ", "authorization: basic \t", "auth=Token ",
+                 '"Authorization": "Bearer ', "bearer: "):
+        assert masked(f"a {head}{value}\nb") == f"a {head}[SECRET]\nb"
+    assert masked(f"auth: basic pwd: {value}") == "auth: basic pwd: [SECRET]"
+    assert masked("auth: basic\nx7Kq9vLm2Rt8") == "auth: basic\nx7Kq9vLm2Rt8"
+    assert masked("auth: Bearer password1") == "auth: Bearer password1"
