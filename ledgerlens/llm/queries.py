@@ -12,6 +12,7 @@ from ledgerlens.llm import (
     secrets,
     sharding,
     simhash,
+    suffixes,
     toxicity,
     vectors,
     warc,
@@ -180,3 +181,24 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = lm.learn(docs.filter(fold("doc_id", 7) != 2))
     return lm.score(docs, model).withColumn("held_out", fold("doc_id", 7) == 2)
+
+
+@query("""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT *, row_number() OVER () AS r, len(h) // 2 AS n FROM d),
+s AS (SELECT r, unnest(range(0, n - 399)) AS i, h FROM n WHERE n >= 400),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM s),
+t AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY m) AS c FROM w) WHERE c > 1),
+g AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END
+  AS opens FROM t),
+k AS (SELECT *, sum(opens) OVER (PARTITION BY r ORDER BY i) AS span FROM g),
+e AS (SELECT r, span, min(i) AS b, max(i) + 400 AS e FROM k GROUP BY r, span),
+q AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS kept_from FROM e),
+z AS (SELECT r, cast(sum(e - b) AS bigint) AS n_removed, count(*) AS n_spans,
+  string_agg(substr(h, 2 * kept_from + 1, 2 * (b - kept_from)), '' ORDER BY b)
+    || substr(any_value(h), 2 * max(e) + 1) AS kept
+  FROM q JOIN n USING (r) GROUP BY r)
+SELECT doc_id, cast(n AS bigint) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+ coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM n LEFT JOIN z USING (r)""")
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents"))
