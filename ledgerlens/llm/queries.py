@@ -12,6 +12,7 @@ from ledgerlens.llm import (
     secrets,
     sharding,
     simhash,
+    spelling,
     suffixes,
     toxicity,
     vectors,
@@ -202,3 +203,8 @@ SELECT doc_id, cast(n AS bigint) AS n_bytes, coalesce(n_removed, 0) AS n_removed
 FROM n LEFT JOIN z USING (r)""")
 def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
