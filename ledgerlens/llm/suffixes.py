@@ -439,7 +439,8 @@ def marks(marked: DataFrame) -> DataFrame:
         "part_no", F.col("places").alias("place"), F.col("keys").alias("key"),
         F.col("contexts").alias("context"))
     twice = every.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return every.join(twice.select("key"), "key", "left_semi")
+    # An exchange of its own, so that adaptive execution can split a key with very many rows.
+    return every.join(twice.select("key").hint("rebalance"), "key", "left_semi")
 
 
 def repeats(texts: DataFrame, marked: DataFrame, rule: Rule) -> DataFrame:
