@@ -78,6 +78,83 @@ def large_frames(spark, sf_dir):
     return wide.select("transaction_id", *[c for c in wide.columns if c not in df.columns])
 
 
+# Amounts of about 1e-12, of 2e18 and of both. All are whole multiples of a power of two, so
+# whole numbers give their totals in SQL.
+TINY, VAST, BOTH = ("tiny", "cents", "1125899906842624"), (
+    "vast", "vast_units", "(1.0::double / 524288)"), ("any", "any_units", "1125899906842624")
+ANY = f"""{views.TX}, ax AS (SELECT *, cents / 1125899906842624.0::double AS tiny,
+ 3814697265625 + cents AS vast_units,
+ CASE WHEN transaction_id % 97 = 0 THEN 2000000000000000000::hugeint * 1125899906842624
+   ELSE cents END AS any_units FROM tx)"""
+
+
+def _any(spark, sf_dir):
+    tx = views.tx_events(spark, sf_dir)
+    tiny = F.col("cents") / F.lit(2.0**50)
+    return tx.withColumns({
+        "tiny": tiny, "vast": (F.lit(3814697265625) + F.col("cents")) * F.lit(2.0**19),
+        "any": F.when(F.col("transaction_id") % 97 == 0, F.lit(2e18)).otherwise(tiny)})
+
+
+def _any_items(keys: str) -> list[str]:
+    items = []
+    for target, value, scale in (TINY, VAST, BOTH):
+        aggs = ["cn", "avg"] if target == "any" else ["cn", "avg", "std"]
+        items += sqltext.row_frames(keys, SPANS, aggs, PATTERN, value, target, scale)
+        items += _sums(keys, value, scale, target)
+    return items
+
+
+def _any_requests(shapes, aggs, **more) -> list[Request]:
+    return [Request(target, frames.frames(shapes), aggs - ({"std"} if target == "any" else set()),
+                    **more) for target, _, _ in (TINY, VAST, BOTH)]
+
+
+def _any_frames(spark, sf_dir, keys, rule):
+    df = _any(spark, sf_dir)
+    requests = _any_requests(SPANS, {"count", "sum", "avg", "std"})
+    wide = frames.rolling(df, TIME, [Group((keys,), tuple(requests))], rule)
+    return wide.select("transaction_id", *[c for c in wide.columns if c not in df.columns])
+
+
+@query(f"WITH {ANY} SELECT transaction_id, {_items(_any_items('customer_id'))} FROM ax")
+def any_frames(spark, sf_dir):
+    """Totals of doubles without a unit."""
+    return _any_frames(spark, sf_dir, "customer_id", None)
+
+
+@query(f"WITH {ANY} SELECT transaction_id, {_items(_any_items('terminal_id'))} FROM ax")
+def any_frames_hot(spark, sf_dir):
+    """Every terminal taken as hot."""
+    return _any_frames(spark, sf_dir, "terminal_id", HotRule(rows=0))
+
+
+@query(f"WITH {ANY} SELECT transaction_id, {_items(_any_items('terminal_id'))} FROM ax")
+def any_frames_mixed(spark, sf_dir):
+    """The terminals with more rows than the mean taken as hot."""
+    tx = views.tx_events(spark, sf_dir)
+    mean = tx.agg(F.count(F.lit(1)) / F.count_distinct("terminal_id")).first()[0]
+    return _any_frames(spark, sf_dir, "terminal_id", HotRule(rows=int(mean)))
+
+
+_ANY_BUCKETS = [item for short, (target, value, scale), aggs in (
+    ("t", TINY, ["cn", "avg", "std"]), ("v", VAST, ["cn", "avg", "std"]),
+    ("b", BOTH, ["cn", "avg"])) for item in sqltext.bucket_items(
+        _PAST, short, target, aggs, PATTERN, value, scale)]
+
+
+@query(f"""WITH {ANY}, {sqltext.bucket_tables(
+    "ax", 7200, {"t": "cents", "v": "vast_units", "b": "any_units"}, [(_PAST, ["t", "v", "b"])],
+    sums_only=("b",))}
+SELECT r.transaction_id, {_items(_ANY_BUCKETS)} {sqltext.JOINED}""")
+def any_buckets(spark, sf_dir):
+    df = _any(spark, sf_dir)
+    specs = [BucketRequest(r) for r in
+             _any_requests(_PAST, {"count", "avg", "std"}, ddof=0, empty=0)]
+    wide = buckets.rolling_bucketed(df, ["terminal_id"], TIME, 7200, specs)
+    return wide.select("transaction_id", *[c for c in wide.columns if c not in df.columns])
+
+
 # Rows without a time, and frames without a start.
 
 OPEN = {"all": (None, 0), "ended": (None, -3600), "day": (-86400, 0)}
@@ -132,7 +209,7 @@ def edge_frames(spark, sf_dir):
 @query(EDGES)
 def edge_frames_hot(spark, sf_dir):
     """Every terminal taken as hot."""
-    return _edges(spark, sf_dir, HotRule(rows=0, share=1.0))
+    return _edges(spark, sf_dir, HotRule(rows=0))
 
 
 @query(EDGES)
@@ -140,4 +217,4 @@ def edge_frames_mixed(spark, sf_dir):
     """The terminals with more rows than the mean taken as hot."""
     tx = views.tx_events(spark, sf_dir)
     mean = tx.agg(F.count(F.lit(1)) / F.count_distinct("terminal_id")).first()[0]
-    return _edges(spark, sf_dir, HotRule(rows=int(mean), share=1.0))
+    return _edges(spark, sf_dir, HotRule(rows=int(mean)))

@@ -45,12 +45,15 @@ def row_frames(keys: str, frames: dict, aggs: list[str], pattern: str, value: st
 
 
 def bucket_tables(source: str, interval: int, targets: dict[str, str],
-                  specs: list[tuple[dict, list[str]]], keys: str = "terminal_id") -> str:
+                  specs: list[tuple[dict, list[str]]], keys: str = "terminal_id",
+                  sums_only: tuple = ()) -> str:
     """CTEs ``bt`` (bucket totals) and ``bh`` (history per bucket).
 
-    ``targets`` maps short names to columns; ``specs`` lists (frames, short names).
+    ``targets`` maps short names to columns; ``specs`` lists (frames, short names). The
+    squares of ``sums_only`` (short names) do not fit and are left out.
     """
-    sums = ", ".join(f"sum({c})::hugeint AS s_{t}, sum({c}::hugeint * {c}) AS q_{t}"
+    squares = {t: "0" if t in sums_only else f"{c}::hugeint * {c}" for t, c in targets.items()}
+    sums = ", ".join(f"sum({c})::hugeint AS s_{t}, sum({squares[t]}) AS q_{t}"
                      for t, c in targets.items())
     used = {short for _, shorts in specs for short in shorts}
     history = []

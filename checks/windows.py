@@ -361,7 +361,7 @@ def explore_terminal(spark, sf_dir):
 
 # -- the same operators with every key treated as hot ------------------------------
 
-ALL_HOT = HotRule(rows=0, share=1.0)
+ALL_HOT = HotRule(rows=0)
 
 
 @query(f"""WITH {views.TX} SELECT transaction_id,

@@ -21,8 +21,9 @@ from ledgerlens.operators.frames import (
     check_resolved,
     defaults,
     finish,
+    looked,
     part_value,
-    resolve,
+    prepared,
     totals,
     with_columns,
 )
@@ -66,7 +67,7 @@ def bucket_totals(
     been resolved (:func:`ledgerlens.operators.frames.resolve`).
     """
     check_resolved(df, requests)
-    rows = with_bucket(df, time, interval)
+    rows = prepared(with_bucket(df, time, interval), requests)
     return rows.groupBy(*keys, BUCKET).agg(*totals(all_parts(requests)))
 
 
@@ -119,9 +120,17 @@ def _settled_columns(specs: list[BucketRequest]) -> dict[str, str]:
     return defaults(spec.request for spec in specs if not spec.current)
 
 
-def _resolved(df: DataFrame, specs: list[BucketRequest]) -> list[BucketRequest]:
-    found = resolve(df, [spec.request for spec in specs])
-    return [replace(spec, request=request) for spec, request in zip(specs, found)]
+def _looked(
+    df: DataFrame, keys: list[str], time: str, interval: int, specs: list[BucketRequest],
+    rule: HotRule | None,
+) -> tuple[list[BucketRequest], list[int]]:
+    """Specs with units, and what may be hot buckets of an entity, by one look."""
+    # Without a spec that looks into the own bucket there is no window over rows.
+    if not any(spec.current for spec in specs):
+        rule = None
+    rows = with_bucket(df, time, interval) if rule else df
+    found, items = looked(rows, [spec.request for spec in specs], [*keys, BUCKET], rule)
+    return [replace(spec, request=request) for spec, request in zip(specs, found)], items
 
 
 def history_column(part: str, frame: Frame) -> str:
@@ -150,10 +159,10 @@ def in_bucket_running(
     rule: HotRule | None = DEFAULT_RULE,
 ) -> DataFrame:
     """Aggregates over the rows of the own bucket up to the row itself."""
-    (spec,) = _resolved(df, [spec])
     inside = replace(spec.request, frames=(spec.own,))
     own = replace(spec, request=inside, current=True)
-    return _attach(df, keys, time, interval, [own], None, rule)
+    specs, items = _looked(df, keys, time, interval, [own], rule)
+    return _attach(df, keys, time, interval, specs, None, rule, items)
 
 
 def rolling_bucketed(
@@ -164,17 +173,18 @@ def rolling_bucketed(
 
     All specs share one aggregation by bucket, one history window and one join.
     """
-    specs = _resolved(df, specs)
+    specs, items = _looked(df, keys, time, interval, specs, rule)
     history = _history_features(df, keys, time, interval, specs)
-    return _attach(df, keys, time, interval, specs, history, rule)
+    return _attach(df, keys, time, interval, specs, history, rule, items)
 
 
 def _attach(
     df: DataFrame, keys: list[str], time: str, interval: int, specs: list[BucketRequest],
-    history: DataFrame | None, rule: HotRule | None,
+    history: DataFrame | None, rule: HotRule | None, items: list[int],
 ) -> DataFrame:
     group = [*keys, BUCKET]
     running = _own_bucket(specs)
+    inside = [spec.request for spec in specs if spec.current]
 
     def features(wide: DataFrame, keep: list[str]) -> DataFrame:
         if history is None:
@@ -187,17 +197,16 @@ def _attach(
         own = [(spec.request, _past_and_own(spec, running)) for spec in specs if spec.current]
         return finish(filled, [*keep, *settled], own)
 
-    # Without a spec that looks into the own bucket there is no window over rows.
-    if not any(spec.current for spec in specs):
-        rule = None
-    ordinary, hot = split_hot(with_bucket(df, time, interval), group, rule)
+    ordinary, hot = split_hot(
+        with_bucket(df, time, interval), group, rule if inside else None, items)
     # Ordinary buckets: the window and the join use the same partitioning of the rows.
-    by_row = features(running.add(ordinary, group, time, part_value), df.columns)
+    by_row = features(
+        running.add(prepared(ordinary, inside), group, time, part_value), df.columns)
     if hot is None:
         return by_row
     # Hot buckets: one row per second, at most ``interval`` of them in a window.
-    parts = all_parts(spec.request for spec in specs if spec.current) or ["n"]
-    seconds = hot.groupBy(*group, time).agg(*totals(parts))
+    parts = all_parts(inside) or ["n"]
+    seconds = prepared(hot, inside).groupBy(*group, time).agg(*totals(parts))
     by_second = features(running.add(seconds, group, time), [*group, time])
     by_lookup = look_up(hot, by_second, [*group, time]).drop(BUCKET)
     return by_row.unionByName(by_lookup)

@@ -10,13 +10,13 @@ re-read the whole frame for every row. The totals are integers, which makes the
 exact: amounts are counted in units that hold all their decimals, found by one look at the
 column (:func:`resolve`). A sum of squares outgrows 64 bits, so it is kept in three totals:
 with u = 8192 a + b, u² is 2^26 a² + 2^14 a b + b². Where the look shows that 64 bits are
-too few, or that there are more than six decimals, totals are decimals of 38 digits, which
-take several times as long. Both ways give the same values.
+too few, or that there are more than six decimals, totals are kept in limbs
+(:mod:`ledgerlens.operators.exact`): of the units, or, where no unit of ten fits, of the
+doubles themselves, whatever their size. They take longer, and are exact as well.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
 
@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import bucket_start, guarded_ratio
-from ledgerlens.operators.skew import DEFAULT_RULE, HotRule, look_up, split_hot
+from ledgerlens.operators import exact
+from ledgerlens.operators.skew import DEFAULT_RULE, HotRule, heavy_items, look_up, split_hot
 
 DAY = 86400
 
@@ -79,8 +80,8 @@ class Request:
 
     ``scale`` promises that the amounts are whole multiples of 1 / scale (100: cents); a
     row that breaks the promise raises an error. Without it the unit is found from the
-    values. Amounts that are not finite, or from 10^18 on, count as missing. ``units`` is
-    what :func:`resolve` found.
+    values. Amounts that are not finite count as missing. ``units`` is what :func:`resolve`
+    found.
     """
 
     target: str
@@ -112,14 +113,20 @@ class Request:
     def parts(self) -> list[str]:
         """Names of the running totals the requested aggregates are made of."""
         units = self.units or "1"
-        values = "present" if units[0] in FRACTIONAL else "v"
+        values = "present" if _is_fraction(units) else "v"
         names = ["n" if self.counts == "rows" else f"{values}:{self.target}"]
-        wide = units[0] in (WIDE, WIDE_WHOLE)
+        shape = _shape(units)
+        if shape:
+            limbs, squares = range(shape.limbs), range(shape.square_limbs)
+            if self.has_moments:
+                names += [f"l{k}:{units}:{self.target}" for k in limbs]
+            if "std" in self.aggs:
+                names += [f"r{k}:{units}:{self.target}" for k in squares]
+            return names
         if self.has_moments:
-            names.append(f"{'ws' if wide else 's'}:{units}:{self.target}")
+            names.append(f"s:{units}:{self.target}")
         if "std" in self.aggs:
-            limbs = ("wq",) if wide else SQUARES
-            names += [f"{limb}:{units}:{self.target}" for limb in limbs]
+            names += [f"{limb}:{units}:{self.target}" for limb in SQUARES]
         return names
 
 
@@ -131,77 +138,83 @@ class Group:
     requests: tuple[Request, ...]
 
 
-# Marks in front of a unit: a fraction that was looked at or promised, and decimal totals of
-# fractions and of whole numbers, where the number of decimals follows.
-FOUND, PROMISED, WIDE, WIDE_WHOLE = "f", "p", "w", "x"
-FRACTIONAL = (FOUND, PROMISED, WIDE)
-# Amounts from here on count as missing.
-LIMIT = 10**18
+# Marks in front of a unit: a fraction that was looked at or promised, units in limbs (of
+# whole numbers, or of a fraction where another mark follows), and limbs of doubles.
+FOUND, PROMISED, LIMBS, BINARY = "f", "p", "i", "e"
 WHOLE = ("tinyint", "smallint", "int", "bigint", "boolean")
 DECIMALS = (0, 2, 4, 6)
-MOST_DECIMALS = 9
+
+
+def _is_fraction(units: str) -> bool:
+    return units[0] in (FOUND, PROMISED, BINARY) or units.startswith(LIMBS + FOUND)
+
+
+def _shape(units: str) -> exact.Layout | None:
+    """The limbs that totals are kept in; None where a single total is enough."""
+    return exact.from_mark(units[0] if units[0] == LIMBS else units) if (
+        units[0] in (LIMBS, BINARY)) else None
 
 
 def _finite(target: str) -> str:
-    """The amount as a double, null if it is not finite or beyond the limit."""
-    return f"if(abs(double(`{target}`)) < {LIMIT}D, double(`{target}`), NULL)"
+    """The amount as a double, null if it is not finite."""
+    return f"if(abs(double(`{target}`)) < double('Infinity'), double(`{target}`), NULL)"
 
 
 def _units(target: str, units: str) -> str:
-    """Units of an amount, as a SQL expression: a bigint, or a decimal where wide."""
+    """Units of an amount, as a SQL expression: a bigint, or a double where it has no unit."""
     mark = units[0]
-    if mark == WIDE_WHOLE:
-        exact = f"cast(`{target}` AS decimal(38, 0))"
-        off = f"cast(round(double(`{target}`) / 1e{units[2:]}D) AS decimal(38, 0))"
-        return exact if units == f"{WIDE_WHOLE}0" else off
-    if mark not in FRACTIONAL:
+    if mark == LIMBS:
+        return _units(target, units[1:])
+    if mark == BINARY:
+        return _finite(target)
+    if not _is_fraction(units):
         return f"bigint(`{target}`)" if units == "1" else f"bigint(`{target}` * {units})"
     value, size = _finite(target), units[1:]
     if mark == FOUND:
         return f"bigint(round({value} * {size}))"
-    if mark == PROMISED:
-        near = f"abs({value} * {size} - round({value} * {size})) < 0.000001"
-        broken = f"raise_error('{target} is not a multiple of 1 / {size}')"
-        return f"bigint(if({value} IS NULL OR {near}, round({value} * {size}), {broken}))"
-    digits = int(size)
-    if digits < 0:
-        return f"cast(round({value} / 1e{-digits}D) AS decimal(38, 0))"
-    exact = f"cast({value} AS decimal(28, {digits}))"
-    return f"cast({exact} * cast({10**digits} AS decimal({digits + 1}, 0)) AS decimal(38, 0))"
+    near = f"abs({value} * {size} - round({value} * {size})) < 0.000001"
+    broken = f"raise_error('{target} is not a multiple of 1 / {size}')"
+    return f"bigint(if({value} IS NULL OR {near}, round({value} * {size}), {broken}))"
 
 
 def _per_unit(units: str) -> str:
     """Units in one, as a number in SQL."""
-    mark = units[0]
-    if mark in (WIDE, WIDE_WHOLE):
-        return f"1e{units[1:]}D"
-    return units[1:] if mark in FRACTIONAL else units
+    return "1" if units[0] == BINARY else units.lstrip(LIMBS + FOUND + PROMISED)
 
 
-def resolve(df: DataFrame, requests: Iterable[Request]) -> list[Request]:
-    """Requests with the units of their columns.
+def amounts_to_look_at(df: DataFrame, requests: Iterable[Request]) -> dict[str, bool]:
+    """Columns whose unit is not known, and whether they can have a fraction.
 
-    One pass over the amounts finds how many decimals they have and how large they are, in
-    one row. Totals are 64-bit integers if all possible totals fit, else decimals; more than
-    nine decimals, and decimals more than 37 digits below the largest possible sum of
-    squares, are rounded. Whole numbers of up to 32 bits need no look.
+    Whole numbers of up to 32 bits need no look.
     """
-    requests = list(requests)
     kinds = dict(df.dtypes)
-    open_ = [r for r in requests if r.has_moments and not r.units]
-    looked_at = {
+    return {
         r.target: kinds[r.target] not in WHOLE
-        for r in open_
-        if r.scale is None and kinds[r.target] not in ("tinyint", "smallint", "int", "boolean")
+        for r in requests
+        if r.has_moments and not r.units and r.scale is None
+        and kinds[r.target] not in ("tinyint", "smallint", "int", "boolean")
     }
+
+
+def amount_measures(looked_at: Mapping[str, bool]) -> dict[str, Column]:
+    """What has to be known of the amounts, as aggregates: decimals and sizes."""
     measures = {"rows": F.count(F.lit(1))}
     for target, fractional in looked_at.items():
         value = F.expr(_finite(target) if fractional else f"double(`{target}`)")
-        measures[f"top:{target}"] = F.max(F.abs(value))
-        for digits in DECIMALS if fractional else ():
-            off = F.round(value, digits) != value
-            measures[f"{digits}:{target}"] = F.count_if(off)
-    seen = df.agg(*[m.alias(name) for name, m in measures.items()]).first() if looked_at else None
+        size = F.abs(value)
+        measures[f"top:{target}"] = F.max(size)
+        if fractional:
+            measures[f"least:{target}"] = F.min(F.when(size > 0, size))
+            for digits in DECIMALS:
+                measures[f"{digits}:{target}"] = F.count_if(F.round(value, digits) != value)
+    return measures
+
+
+def with_units(
+    df: DataFrame, requests: Iterable[Request], looked_at: Mapping[str, bool], seen
+) -> list[Request]:
+    """Requests with the units of their columns; ``seen`` holds the measures."""
+    kinds = dict(df.dtypes)
 
     def found(request: Request) -> str:
         target = request.target
@@ -214,18 +227,49 @@ def resolve(df: DataFrame, requests: Iterable[Request]) -> list[Request]:
             return ("" if kinds[target] in WHOLE else PROMISED) + str(request.scale)
         if target not in looked_at:
             return "1"
-        rows, top = max(1, seen["rows"]), seen[f"top:{target}"] or 0.0
-        fits = [d for d in DECIMALS if not looked_at[target] or not seen[f"{d}:{target}"]]
-        needed = fits[0] if fits else MOST_DECIMALS
+        rows, top, mark = max(1, seen["rows"]), seen[f"top:{target}"] or 0.0, ""
+        needed = 0
+        if looked_at[target]:
+            mark = FOUND
+            fits = [d for d in DECIMALS if not seen[f"{d}:{target}"]]
+            if not fits or top * 10 ** fits[0] >= 2**53:
+                return exact.layout(seen[f"least:{target}"] or 0.0, top).mark
+            needed = fits[0]
         most = top * 10**needed
-        if fits and most < 2**53 and (most / 8192 + 1) ** 2 * rows < 2**62 and most * rows < 2**62:
-            return (FOUND if looked_at[target] else "") + str(10**needed)
-        room = math.floor((37 - math.log10(rows)) / 2 - math.log10(max(top, 1e-9)))
-        return (WIDE if looked_at[target] else WIDE_WHOLE) + str(min(needed, room))
+        small = most < 2**53 and (most / 8192 + 1) ** 2 * rows < 2**62 and most * rows < 2**62
+        return ("" if small else LIMBS) + mark + str(10**needed)
 
     return [replace(r, units=found(r)) for r in requests]
 
 
+def resolve(df: DataFrame, requests: Iterable[Request]) -> list[Request]:
+    """Requests with the units of their columns.
+
+    One pass over the amounts finds how many decimals they have and how large they are, in
+    one row. Totals are 64-bit integers if all possible totals fit, else limbs.
+    """
+    requests = list(requests)
+    looked_at = amounts_to_look_at(df, requests)
+    seen = None
+    if looked_at:
+        measures = amount_measures(looked_at)
+        seen = df.agg(*[m.alias(name) for name, m in measures.items()]).first()
+    return with_units(df, requests, looked_at, seen)
+
+
+def prepared(df: DataFrame, requests: Iterable[Request]) -> DataFrame:
+    """``df`` with the limbs of the amounts whose totals are kept in limbs."""
+    added = {}
+    for request in requests:
+        shape = _shape(request.units or "1")
+        if shape and request.has_moments:
+            value, name = _units(request.target, request.units), f"{request.units}:{request.target}"
+            added[f"_limbs:{name}"] = exact.limbs(value, shape)
+            if "std" in request.aggs:
+                added[f"_squares:{name}"] = exact.square_limbs(value, shape)
+    return with_columns(df, df.columns, added) if added else df
+
+
 def check_resolved(df: DataFrame, requests: Iterable[Request]) -> None:
     """Refuses amounts with a fraction whose unit nobody has looked for."""
     kinds = dict(df.dtypes)
@@ -243,12 +287,13 @@ def part_value(part: str) -> str:
         return f"bigint(`{rest}` IS NOT NULL)"
     if kind == "present":
         return f"bigint({_finite(rest)} IS NOT NULL)"
+    if kind[0] in "lr":
+        column = "_limbs" if kind[0] == "l" else "_squares"
+        return f"element_at(`{column}:{rest}`, {int(kind[1:]) + 1})"
     size, _, target = rest.partition(":")
     units = _units(target, size)
-    if kind in ("s", "ws"):
+    if kind == "s":
         return units
-    if kind == "wq":
-        return f"cast({units} * {units} AS decimal(38, 0))"
     high, low = f"shiftright(abs({units}), 13)", f"(abs({units}) & 8191)"
     return {"qh": f"{high} * {high}", "qm": f"{high} * {low}", "ql": f"{low} * {low}"}[kind]
 
@@ -320,49 +365,83 @@ def finish(df: DataFrame, keep: Iterable[str], wanted: Iterable[tuple]) -> DataF
     ``total(part, frame)`` is the SQL expression of a total over a frame.
 
     The totals are computed in a projection of their own: several columns use each, and
-    written out in every place they would make code too long to be compiled.
+    written out in every place they would make code too long to be compiled. So are the
+    digits of totals in limbs.
     """
     keep, wanted = list(keep), list(wanted)
-    names: dict[str, str] = {}
+    parts: dict[str, str] = {}
+    digits: dict[str, str] = {}
 
-    def named(sql: str) -> str:
-        return names.setdefault(sql, f"_part_{len(names)}")
+    def named(names: dict[str, str], label: str, sql: str) -> str:
+        return names.setdefault(sql, f"_{label}_{len(names)}")
 
     added: dict[str, str] = {}
     for request, total in wanted:
-        added.update(_columns(request, lambda part, frame: named(total(part, frame))))
-    parts = with_columns(df, keep, {name: sql for sql, name in names.items()})
-    return with_columns(parts, keep, added)
+        added.update(_columns(
+            request, lambda part, frame: named(parts, "part", total(part, frame)),
+            lambda sql: named(digits, "digits", sql)))
+    out = with_columns(df, keep, {name: sql for sql, name in parts.items()})
+    if digits:
+        held = [*keep, *parts.values()]
+        out = with_columns(out, held, {name: sql for sql, name in digits.items()})
+    return with_columns(out, keep, added)
 
 
-def _columns(request: Request, total) -> dict[str, str]:
+def _columns(request: Request, total, digits) -> dict[str, str]:
     out: dict[str, str] = {}
     empty = "NULL" if request.empty is None else repr(request.empty)
     units = request.units or "1"
-    scale = _per_unit(units)
+    scale, shape = _per_unit(units), _shape(units)
     for frame in request.frames:
         n, *moments = [total(part, frame) for part in request.parts]
+        if shape and moments:
+            values = _limbed(n, moments, shape, digits, request.ddof)
+        elif moments:
+            values = {"sum": moments[0], "double": f"double({moments[0]})"}
+            if "std" in request.aggs:
+                values["std"] = _deviation(n, *moments, request.ddof)
         for agg in sorted(request.aggs, key=list(SHORT).index):
             if agg == "count":
                 value = n
             elif agg == "isnew":
                 value = f"if({n} = 0, 1, 0)"
             elif agg == "sum":
-                whole = moments[0] if units == "1" else f"double({moments[0]}) / {scale}"
-                if units[0] == WIDE_WHOLE:  # an error where it does not fit, as sums are
-                    whole = f"bigint({moments[0] if scale == '1e0D' else whole})"
-                value = f"if({n} > 0, {whole}, {empty})"
+                whole = not _is_fraction(units) and scale == "1"
+                one = values["sum"] if whole else f"{values['double']} / {scale}"
+                value = f"if({n} > 0, {one}, {empty})"
             elif agg == "avg":
-                mean = f"try_divide(double({moments[0]}), double({n}) * {scale})"
+                mean = f"try_divide({values['double']}, double({n}) * {scale})"
                 value = f"coalesce({mean}, double({empty}))"
-            elif units[0] in (WIDE, WIDE_WHOLE):
-                value = _wide_deviation(n, *moments, request.ddof, scale, empty)
             else:
-                value = _deviation(n, *moments, request.ddof, scale, empty)
+                value = f"if({n} > 1, {values['std']} / {scale}, double({empty}))"
             out[request.column(agg, frame)] = value
     return out
 
 
+def _limbed(n: str, moments: list[str], shape: exact.Layout, digits, ddof: int) -> dict[str, str]:
+    """The sum, as a double too, and the deviation, from totals of limbs."""
+    limbs, squares = moments[: shape.limbs], moments[shape.limbs :]
+    s = digits(exact.digits(limbs))
+    # An error where it does not fit, as sums of whole numbers are.
+    kind = "decimal(38, 0)"
+    whole = " + ".join(
+        f"cast({limb} AS {kind}) * {2 ** (exact.BITS * k)}" for k, limb in enumerate(limbs))
+    values = {"sum": f"bigint({whole})", "double": exact.nearest(s, shape.low)}
+    if squares:
+        q = digits(exact.digits(squares))
+        # Scaled by a power of two that no square can leave the doubles with.
+        high = shape.low + exact.BITS * shape.limbs
+        apart = exact.spread(n, s, q, exact.digit_count(shape.limbs),
+                             exact.digit_count(shape.square_limbs))
+        spread = exact.nearest(apart, 2 * (shape.low - high))
+        values["std"] = f"(sqrt({spread} / {_weight(n, ddof)}) * {exact.power(high)})"
+    return values
+
+
+def _weight(n: str, ddof: int) -> str:
+    return f"(double({n}) * (double({n}) - {1 if ddof == 1 else 0}))"
+
+
 def defaults(requests: Iterable[Request]) -> dict[str, str]:
     """The columns, with the values of a frame without rows where they are missing."""
     out = {}
@@ -375,19 +454,7 @@ def defaults(requests: Iterable[Request]) -> dict[str, str]:
     return out
 
 
-def _wide_deviation(n: str, s: str, q: str, ddof: int, scale: str, empty: str) -> str:
-    # Exact in 38 digits; where the products have more, in double precision.
-    count = f"cast({n} AS decimal(20, 0))"
-    exact = f"double(try_subtract(try_multiply({count}, {q}), try_multiply({s}, {s})))"
-    rough = f"greatest(0D, double({n}) * double({q}) - double({s}) * double({s}))"
-    weight = f"(double({n}) * (double({n}) - {1 if ddof == 1 else 0}))"
-    spread = f"coalesce({exact}, {rough})"
-    return f"if({n} > 1, sqrt({spread} / {weight}) / {scale}, double({empty}))"
-
-
-def _deviation(
-    n: str, s: str, high: str, mixed: str, low: str, ddof: int, scale: str, empty: str
-) -> str:
+def _deviation(n: str, s: str, high: str, mixed: str, low: str, ddof: int) -> str:
     # n * sum of squares - square of the sum: exact, hence never below zero. With totals
     # this small the products fit into 64 bits; decimals are for the rare large ones.
     def spread(kind: str) -> str:
@@ -395,9 +462,8 @@ def _deviation(
         return f"double(cast({n} AS {kind}) * {squares} - cast({s} AS {kind}) * {s})"
 
     small = f"{n} < 32768 AND {high} < 1048576"
-    exact = f"if({small}, {spread('bigint')}, {spread('decimal(19, 0)')})"
-    weight = f"(double({n}) * (double({n}) - {1 if ddof == 1 else 0}))"
-    return f"if({n} > 1, sqrt({exact} / {weight}) / {scale}, double({empty}))"
+    found = f"if({small}, {spread('bigint')}, {spread('decimal(19, 0)')})"
+    return f"sqrt({found} / {_weight(n, ddof)})"
 
 
 def rolling_over_rows(df: DataFrame, time: str, groups: Iterable[Group]) -> DataFrame:
@@ -409,7 +475,7 @@ def rolling_over_rows(df: DataFrame, time: str, groups: Iterable[Group]) -> Data
     for group in groups:
         before = df.columns
         running = RunningTotals(group.requests)
-        wide = running.add(df, list(group.keys), time, part_value)
+        wide = running.add(prepared(df, group.requests), list(group.keys), time, part_value)
         df = finish(wide, before, [(request, running.within) for request in group.requests])
     return df
 
@@ -428,7 +494,7 @@ def rolling_by_second(df: DataFrame, keys: list[str], time: str, requests) -> Da
     width = max(back + ahead, DAY)
     parts = all_parts(requests)
 
-    ledger = df.filter(F.col(time).isNotNull()).groupBy(*keys, time)
+    ledger = prepared(df, requests).filter(F.col(time).isNotNull()).groupBy(*keys, time)
     seconds = ledger.agg(*totals(parts))
     first = bucket_start(F.col(time) - ahead, width)
     last = bucket_start(F.col(time) + back, width)
@@ -462,6 +528,20 @@ def rolling_by_second(df: DataFrame, keys: list[str], time: str, requests) -> Da
     return finish(based, [*keys, time], [(request, total) for request in requests])
 
 
+def looked(
+    df: DataFrame, requests: list[Request], keys: list[str], rule: HotRule | None
+) -> tuple[list[Request], list[int]]:
+    """Requests with units, and what may be hot keys, by one look at amounts and keys."""
+    looked_at = amounts_to_look_at(df, requests)
+    measures = amount_measures(looked_at) if looked_at else {}
+    if rule:
+        measures["heavy"] = heavy_items(keys, rule)
+    if not measures:
+        return with_units(df, requests, {}, None), []
+    seen = df.agg(*[m.alias(name) for name, m in measures.items()]).first()
+    return with_units(df, requests, looked_at, seen), list(seen["heavy"]) if rule else []
+
+
 def rolling(
     df: DataFrame, time: str, groups: list[Group], rule: HotRule | None = DEFAULT_RULE
 ) -> DataFrame:
@@ -474,9 +554,11 @@ def rolling(
     coarse = list(groups[0].keys)
     if any(not set(coarse) <= set(group.keys) for group in groups):
         raise ValueError("the first group must have the coarsest keys")
-    found = iter(resolve(df, [request for group in groups for request in group.requests]))
+    requests, items = looked(
+        df, [request for group in groups for request in group.requests], coarse, rule)
+    found = iter(requests)
     groups = [replace(g, requests=tuple(next(found) for _ in g.requests)) for g in groups]
-    ordinary, hot = split_hot(df, coarse, rule)
+    ordinary, hot = split_hot(df, coarse, rule, items)
     finished = rolling_over_rows(ordinary, time, groups)
     if hot is None:
         return finished

@@ -23,30 +23,69 @@ from ledgerlens.session import cut_lineage
 
 @dataclass(frozen=True)
 class HotRule:
-    """A key is hot when it has more than ``rows`` rows, as estimated from ``share`` of them.
+    """A key is hot when it has more than ``rows`` rows.
 
-    Keys of this size are missed by a sample only near the border, and a count of all keys
-    would shuffle one record per key and input split.
+    One pass keeps a summary of frequent items of at most ``tracked`` keys, in which tasks
+    count and which are merged. It surely holds every key with more than 7 / ``tracked`` of
+    all rows; smaller ones it holds as long as there is room. What it holds is counted
+    exactly, and only rows of those keys.
     """
 
     rows: int = 1_000_000
-    share: float = 0.01
+    tracked: int = 100_000
 
 
 DEFAULT_RULE = HotRule()
 
 
-def hot_keys(df: DataFrame, keys: list[str], rule: HotRule = DEFAULT_RULE) -> DataFrame:
-    """A written table of the keys with more than ``rule.rows`` rows.
+def _key_item(keys: list[str]) -> str:
+    """What stands for a key in a summary; another key with the same one does no harm."""
+    return f"xxhash64({', '.join(f'`{key}`' for key in keys)})"
 
-    This looks at the data at once: it reads the key columns and nothing else.
+
+def frequent_items(keys: list[str], tracked: int) -> Column:
+    """Aggregate: the items of the most frequent keys and bounds of their rows, descending.
+
+    The bounds (``count``) are never below the rows of a key, and above them by at most
+    :func:`bound_error` times all rows.
+    """
+    return F.expr(f"approx_top_k({_key_item(keys)}, {tracked}, {tracked})")
+
+
+def bound_error(tracked: int) -> float:
+    """Share of all rows by which a summary of that size may be wrong."""
+    return 3.5 / tracked
+
+
+def heavy_items(keys: list[str], rule: HotRule) -> Column:
+    """Aggregate: the items of keys that may have more than ``rule.rows`` rows."""
+    frequent = frequent_items(keys, rule.tracked)
+    return F.filter(frequent, lambda x: x["count"] > rule.rows)["item"]
+
+
+def rows_with_items(df: DataFrame, keys: list[str], items: list[int]) -> DataFrame:
+    """The rows whose key has one of the items; ``items`` is bounded by the summary."""
+    listed = df.sparkSession.createDataFrame([(item,) for item in items], "_item long")
+    marked = df.withColumn("_item", F.expr(_key_item(keys)))
+    return marked.join(F.broadcast(listed), "_item", "left_semi").drop("_item")
+
+
+def hot_keys(
+    df: DataFrame, keys: list[str], rule: HotRule = DEFAULT_RULE, items: list[int] | None = None
+) -> DataFrame | None:
+    """A written table of the keys with more than ``rule.rows`` rows; None if there are none.
+
+    This looks at the data at once, at the key columns and nothing else, unless a look has
+    found the ``items`` already. Where nothing is frequent, nothing else is read or written.
     """
-    looked_at = df.select(*keys)
-    if rule.share < 1:
-        looked_at = looked_at.sample(rule.share, seed=42)
-    sizes = looked_at.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    heavy = sizes.filter(F.col("_rows") > rule.rows * rule.share).select(*keys)
-    return cut_lineage(heavy, "hot-keys")
+    if items is None:
+        items = df.agg(heavy_items(keys, rule)).first()[0]
+    if not items:
+        return None
+    sizes = rows_with_items(df.select(*keys), keys, items).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"))
+    found = cut_lineage(sizes.filter(F.col("_rows") > rule.rows).select(*keys), "hot-keys")
+    return None if found.isEmpty() else found
 
 
 def if_small(table: DataFrame, rows: int = 100_000) -> DataFrame:
@@ -72,14 +111,16 @@ def other_side(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def split_hot(
-    df: DataFrame, keys: list[str], rule: HotRule | None = DEFAULT_RULE
+    df: DataFrame, keys: list[str], rule: HotRule | None = DEFAULT_RULE,
+    items: list[int] | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary keys and rows of hot keys; the latter ``None`` if no key is hot.
 
-    Without a rule no key is taken as hot, for callers that know their keys.
+    Without a rule no key is taken as hot, for callers that know their keys. ``items`` is
+    what a look has found (:func:`heavy_items`).
     """
-    found = hot_keys(df, keys, rule) if rule else None
-    if found is None or found.isEmpty():
+    found = hot_keys(df, keys, rule, items) if rule else None
+    if found is None:
         return df, None
     listed = if_small(other_side(found, keys))
     return (

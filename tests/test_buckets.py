@@ -14,7 +14,7 @@ from ledgerlens.operators.skew import HotRule
 from ledgerlens.plans import presets
 from tests.conftest import exchanges, same_rows
 
-ALL_HOT = HotRule(rows=0, share=1.0)
+ALL_HOT = HotRule(rows=0)
 SHAPES = {"past": (-400, -100), "far": (-900, -201), "upto": (-300, 0)}
 AGGS = {"count", "sum", "avg", "std"}
 
@@ -53,7 +53,7 @@ def brute_force(rows, row, start, end, current, end_of_current, width=100):
     return past + inside if current else past
 
 
-@pytest.mark.parametrize("rule", [None, ALL_HOT, HotRule(rows=8, share=1.0)])
+@pytest.mark.parametrize("rule", [None, ALL_HOT, HotRule(rows=8)])
 @pytest.mark.parametrize("current,end", [(True, 0), (True, 30), (True, -10), (False, 0)])
 def test_bucketed_frames_equal_brute_force(table, rule, current, end):
     rows = sample_rows()

@@ -35,7 +35,7 @@ def lag_rows(n=600):
             for k, i in enumerate(ids)]
 
 
-@pytest.mark.parametrize("rule", [None, HotRule(rows=0, share=1.0), HotRule(rows=150, share=1.0)])
+@pytest.mark.parametrize("rule", [None, HotRule(rows=0), HotRule(rows=150)])
 @pytest.mark.parametrize("band", [7, 500, 1_000_000])
 def test_lag_equals_brute_force(spark, rule, band):
     rows = lag_rows()

@@ -69,7 +69,7 @@ def test_class_weight_rounds_half_to_even(spark):
 def test_feature_table_is_the_same_with_hot_keys(spark, sf_dir):
     tx = transactions(spark, sf_dir)
     plain = jobs.feature_table(tx, WARMUP, rule=None)
-    hot = jobs.feature_table(tx, WARMUP, rule=HotRule(rows=3, share=1.0))
+    hot = jobs.feature_table(tx, WARMUP, rule=HotRule(rows=3))
     assert plain.columns == presets.feature_columns()
     assert same_rows(plain, hot)
 
