@@ -27,9 +27,8 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import small_side
 from ledgerlens.session import cut_lineage
 
-# Fixed value: what a word is made of.
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
-_LOWER = {code: code + 32 for code in range(ord("A"), ord("Z") + 1)}
+# Fixed value: what a word is made of, in lower case.
+LETTERS = "[a-zÀ-ÿ]"
 
 
 @dataclass(frozen=True)
@@ -49,41 +48,40 @@ class Rule:
     held_words: int = 300_000
 
 
-def words_of(doc_id: str, text: str, rule: Rule) -> Counter:
-    """Occurrences of the words of a text, with its deletions and of any length."""
-    runs: Counter = Counter()
-    for run, n in Counter(RUN.findall(text)).items():
-        runs[run.translate(_LOWER)] += n
+def words_of(doc_id: str, text: bytes, runs: re.Pattern, rule: Rule) -> list[str]:
+    """The words of a text, each as often as it occurs, with its deletions.
+
+    Only words that are too short can be missing. Lower case of bytes changes A to Z alone.
+    """
+    found = runs.findall(text.lower().decode())
     if not rule.damage:
-        return runs
-    seed, found = crc32(f"{doc_id}:".encode()), Counter()
-    for run, n in runs.items():
+        return found
+    seed, damaged = crc32(f"{doc_id}:".encode()), {}
+    for run in set(found):
         mark = crc32(run.encode(), seed)
         if mark % rule.damage == 0:
             gap = mark % len(run)
-            run = run[:gap] + run[gap + 1 :]
-        found[run] += n
-    return found
+            damaged[run] = run[:gap] + run[gap + 1 :]
+    return [damaged.get(run, run) for run in found] if damaged else found
 
 
 def _count(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = re.compile(f"{LETTERS}{{{rule.length},}}")
         held: Counter = Counter()
 
         def sent():
+            words = [word for word in held if len(word) >= rule.length]
             return pa.RecordBatch.from_arrays(
-                [pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())],
+                [pa.array(words, pa.string()), pa.array([held[w] for w in words], pa.int64())],
                 ["word", "n"])
 
         for batch in batches:
             for doc_id, text in zip(*batch.columns):
-                found = words_of(doc_id.as_py() or "", text.as_py() or "", rule)
-                for word, n in found.items():
-                    if len(word) >= rule.length:
-                        held[word] += n
+                held.update(words_of(doc_id.as_py() or "", text.as_py() or b"", runs, rule))
                 if len(held) > rule.held_words:
                     yield sent()
-                    held = Counter()
+                    held.clear()
         yield sent()
 
     return run
@@ -92,7 +90,7 @@ def _count(rule: Rule):
 def vocabulary(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id",
                text: str = "text") -> DataFrame:
     """word and n of all words that are long and frequent enough: a written table."""
-    texts = docs.select(F.col(f"`{doc_id}`").cast("string"), F.col(f"`{text}`"))
+    texts = docs.select(F.col(f"`{doc_id}`").cast("string"), F.col(f"`{text}`").cast("binary"))
     counted = texts.mapInArrow(_count(rule), "word string, n long")
     return cut_lineage(
         counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= rule.count),
@@ -100,55 +98,46 @@ def vocabulary(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id",
 
 
 def near_by_scan(words: list[str], shared: int) -> Iterator[tuple[int, int]]:
-    """(i, j), i not j, of sorted words with one edit between them after ``shared`` code points.
+    """(j, i), j < i, of sorted words with one edit between them after ``shared`` code points.
 
-    A band holds three cells a row: with as many code points of the other word, one fewer and
-    one more. Distances from two on are all kept as two.
+    A band holds three cells a row: the distances to the other word's prefixes with one code
+    point fewer, as many, and one more. Prefixes that reach past its end differ there.
     """
     size = len(words)
     length = np.array([len(word) for word in words])
-    chars = np.zeros((size, int(length.max()) + 3), np.int32)
+    # A row of nothing before the first code point, and two after the last.
+    chars = np.zeros((int(length.max()) + 3, size), np.int32)
     for i, word in enumerate(words):
-        chars[i, : len(word)] = np.frombuffer(word.encode("utf-32-le"), np.int32)
-    prefix = np.zeros(size + 1, np.int64)
-    if size > 1:
-        apart = chars[1:] != chars[:-1]
-        prefix[1:size] = np.where(apart.any(axis=1), apart.argmax(axis=1), length[1:])
-    everyone = np.arange(size)
+        chars[1 : len(word) + 1, i] = np.frombuffer(word.encode("utf-32-le"), np.int32)
+    apart = chars[1:, 1:] != chars[1:, :-1]
+    prefix = [0, *np.where(apart.any(axis=0), apart.argmax(axis=0), length[1:]).tolist(), 0]
     band = np.array([[1], [0], [1]], np.int8).repeat(size, axis=1)
-    band[2, length <= shared] = 2
-    # Words still within one edit, and their cells, by the number of code points read.
-    rows = {shared: (everyone, band)}
+    # Later words still within one edit, and their cells, by the code points read.
+    rows = {shared: (np.arange(size), band)}
     j = 0
     while j < size:
-        depth = max(int(prefix[j]), shared)
+        depth, end = max(prefix[j], shared), int(length[j])
         alive, cells = rows[depth]
-        while depth < length[j] and len(alive) > 1:
-            code = chars[j, depth]
-            one = np.minimum(cells[0] + (chars[alive, depth - 1] != code), cells[1] + 1)
-            two = np.minimum(np.minimum(cells[1] + (chars[alive, depth] != code), cells[2] + 1),
-                             one + 1)
-            three = np.minimum(cells[2] + (chars[alive, depth + 1] != code), two + 1)
+        while depth < end and len(alive) > 1:
+            new = cells + (chars[depth : depth + 3][:, alive] != chars[depth + 1, j])
+            np.minimum(new[:2], cells[1:] + 1, out=new[:2])
+            np.minimum(new[1], new[0] + 1, out=new[1])
+            np.minimum(new[2], new[1] + 1, out=new[2])
             depth += 1
-            own = length[alive]
-            three[own <= depth] = 2
-            two[own < depth] = 2
-            one[own < depth - 1] = 2
-            new = np.minimum(np.stack([one, two, three]), 2)
-            kept = new.min(axis=0) <= 1
+            kept = (new <= 1).any(axis=0) & (alive >= j)
             alive, cells = alive[kept], new[:, kept]
             rows[depth] = alive, cells
-        if len(alive) <= 1:
-            # Nothing but words with this prefix is near it, and there is one of them.
+        if len(alive) > 1:
+            step = length[alive] - depth + 1
+            near = (step >= 0) & (step <= 2) & (alive > j)
+            for i in alive[near][cells[step[near], np.flatnonzero(near)] == 1].tolist():
+                yield j, i
             j += 1
-            while prefix[j] >= depth and j < size:
-                j += 1
             continue
-        behind = length[alive] - depth
-        for step in (-1, 0, 1):
-            for i in alive[(behind == step) & (cells[step + 1] == 1)]:
-                yield j, int(i)
+        # Nothing later but words with this prefix is near it, and there is one at most.
         j += 1
+        while j < size and prefix[j] >= depth:
+            j += 1
 
 
 def _accepted(kind: str, shared: int, a: str, b: str, group: str) -> bool:
@@ -181,13 +170,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             read = [word[::-1] for word in words] if backwards else words
             order = sorted(range(len(read)), key=read.__getitem__)
             for j, i in near_by_scan([read[k] for k in order], shared if len(kind) == 1 else 0):
-                a, b, n = words[order[j]], words[order[i]], counts[order[i]]
-                if not _accepted(kind, shared, a, b, part):
+                j, i = order[j], order[i]
+                if not _accepted(kind, shared, words[j], words[i], part):
                     continue
-                own = best.setdefault(a, [0, 0, ""])
-                own[0] += 1
-                if n > own[1] or (n == own[1] and b < own[2]):
-                    own[1:] = [n, b]
+                for own, other in ((j, i), (i, j)):
+                    held_best = best.setdefault(words[own], [0, 0, ""])
+                    held_best[0] += 1
+                    if (-counts[other], words[other]) < (-held_best[1], held_best[2]):
+                        held_best[1:] = [counts[other], words[other]]
         rows = [(word, *values) for word, values in best.items()]
         columns = list(zip(*rows)) if rows else [[]] * 4
         return pa.RecordBatch.from_arrays(

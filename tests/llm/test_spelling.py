@@ -97,10 +97,11 @@ def test_scan_finds_all_pairs():
     draw = random.Random(2)
     words = sorted({"".join(draw.choice("abc") for _ in range(draw.randint(1, 7)))
                     for _ in range(400)})
-    want = {(i, j) for i, a in enumerate(words) for j, b in enumerate(words) if one_edit(a, b)}
+    want = {(i, j) for j, b in enumerate(words) for i, a in enumerate(words[:j])
+            if one_edit(a, b)}
     assert set(spelling.near_by_scan(words, 0)) == want
     led = sorted("xy" + w for w in words)
-    got = [(i, j) for i, j in spelling.near_by_scan(led, 2)]
+    got = list(spelling.near_by_scan(led, 2))
     assert len(got) == len(set(got)) and set(got) == want
 
 
