@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import bucket_start
-from ledgerlens.operators.skew import DEFAULT_RULE, HotRule, look_up, split_hot
+from ledgerlens.operators.skew import (
+    DEFAULT_RULE,
+    HotRule,
+    bound_error,
+    frequent_items,
+    look_up,
+    rows_with_items,
+    split_hot,
+)
 
 
 def time_extent(df: DataFrame, time: str) -> DataFrame:
@@ -29,10 +37,40 @@ def count_by(df: DataFrame, keys: list[str], only: Column | str | None = None) -
 
 
 def top_by_count(
-    df: DataFrame, keys: list[str], k: int = 20, only: Column | str | None = None
+    df: DataFrame, keys: list[str], k: int = 20, only: Column | str | None = None,
+    tracked: int = 100_000,
 ) -> DataFrame:
-    """The ``k`` most frequent keys; equal counts in key order."""
-    return count_by(df, keys, only).orderBy(F.desc("count"), *keys).limit(k)
+    """The ``k`` most frequent keys; equal counts in key order.
+
+    One pass keeps a summary of at most ``tracked`` frequent keys, which tells which keys can
+    be among the first; a second pass counts those exactly, so only their rows are grouped.
+    Where the summary cannot tell, because the keys are too many and too alike, all keys are
+    counted.
+    """
+    rows = df if only is None else df.filter(only)
+    likely = _likely_items(rows, keys, k, tracked)
+    if likely is not None:
+        rows = rows_with_items(rows, keys, likely)
+    return count_by(rows, keys).orderBy(F.desc("count"), *keys).limit(k)
+
+
+def _likely_items(rows: DataFrame, keys: list[str], k: int, tracked: int) -> list[int] | None:
+    """Items of the keys that can be among the ``k`` most frequent; None if that is unknown.
+
+    A bound is at most ``error`` above the rows of a key. The k-th bound less that is reached
+    by k keys, so keys whose bound is lower are out. A key that the summary does not hold has
+    fewer rows than twice the error.
+    """
+    if not 0 < k <= tracked:
+        return None
+    error = F.count(F.lit(1)) * bound_error(tracked)
+    frequent = frequent_items(keys, tracked)
+    least = F.get(frequent, F.least(F.lit(k), F.size(frequent)) - 1)["count"] - error
+    found = rows.agg(
+        F.size(frequent).alias("held"), (least > 2 * error).alias("known"),
+        F.filter(frequent, lambda x: x["count"] >= least)["item"].alias("items")).first()
+    # Fewer than k: either there are no more keys, or those that are missing are unknown.
+    return list(found["items"]) if found["held"] >= k and found["known"] else None
 
 
 def rows_of(df: DataFrame, chosen: dict[str, list]) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import explore
-from ledgerlens.operators.skew import HotRule
+from ledgerlens.operators.skew import HotRule, hot_keys
 
 
 @pytest.mark.parametrize("width", [1, 1000, 10**15])
@@ -80,3 +80,44 @@ def test_rows_of_any_listed_value(spark):
 def test_longest_span(spark):
     df = spark.createDataFrame([(1, 0), (1, 3 * 86400 + 5), (2, 7)], "k INT, t BIGINT")
     assert explore.longest_span_days(df, ["k"], "t").first()["max_days"] == 3
+
+
+def plain_top(rows, k):
+    counts = {}
+    for a, b in rows:
+        counts[a, b] = counts.get((a, b), 0) + 1
+    order = sorted(counts.items(), key=lambda x: (-x[1], (x[0][0] is not None, x[0][0] or 0),
+                                                  x[0][1]))
+    return [(a, b, n) for (a, b), n in order[:k]]
+
+
+@pytest.mark.parametrize("tracked", [1024, 100_000])
+@pytest.mark.parametrize("k", [1, 7, 40])
+def test_top_keys_with_ties_equal_all_counts(spark, tracked, k):
+    rng = random.Random(k)
+    rows = [(None if rng.random() < 0.2 else int(rng.paretovariate(0.6)) % 3000, rng.randrange(2))
+            for _ in range(20_000)]
+    df = spark.createDataFrame(rows, "a INT, b INT").repartition(6)
+    got = [tuple(r) for r in explore.top_by_count(df, ["a", "b"], k, tracked=tracked).collect()]
+    assert got == plain_top(rows, k)
+
+
+def test_top_keys_are_counted_alone(spark):
+    """Frequent keys are told apart without grouping the others; even ones are not."""
+    skewed = spark.range(50_000).selectExpr("if(id % 3 = 0, id % 5, id) AS k")
+    likely = explore._likely_items(skewed, ["k"], 5, 100_000)
+    assert len(likely) == 5
+    assert [r["k"] for r in explore.top_by_count(skewed, ["k"], 5).collect()] == [0, 1, 2, 3, 4]
+    assert explore._likely_items(spark.range(50_000), ["id"], 5, 1024) is None
+    assert [r["id"] for r in explore.top_by_count(spark.range(50_000), ["id"], 3,
+                                                 tracked=1024).collect()] == [0, 1, 2]
+    assert explore.top_by_count(spark.range(0), ["id"], 3).collect() == []
+
+
+def test_summary_holds_every_heavy_key_whatever_the_order(spark):
+    """Ten keys among a million others, tracked in a summary of a thousand."""
+    rows = spark.range(300_000).selectExpr("if(id % 100 < 10, id % 10, id + 1000) AS k")
+    rule = HotRule(rows=2_500, tracked=2_000)
+    found = hot_keys(rows.repartition(7), ["k"], rule)
+    assert sorted(r["k"] for r in found.collect()) == list(range(10))
+    assert hot_keys(rows, ["k"], HotRule(rows=4_000, tracked=2_000)) is None
