@@ -312,3 +312,35 @@ def epoch_label_casts(spark, sf_dir):
     labelled = tx.withColumn("is_fraud", F.col("tx_fraud").cast("boolean"))
     return labelled.select("transaction_id", "unix_time", F.col("is_fraud").cast("int")
                            .alias("tx_fraud"), "is_fraud")
+
+
+# Lines of 28 days, in two runs: the first half of the lines, and all of them once more.
+_DAYS = """'2024-01-' || lpad(cast(event_id % 28 + 1 AS varchar(20)), 2, '0') || ' 12:00:00'"""
+_BOTH_RUNS = views.LINES_SELECT.replace("'2024-01-15 12:00:00'", _DAYS)
+_FIRST_RUN = _BOTH_RUNS + " WHERE 2 * event_id < (SELECT max(event_id) FROM events)"
+
+
+def _survivors(lines: str) -> str:
+    return f"""WITH {views.PARSED.replace(views.LINES_SELECT, lines)},
+timed AS (SELECT * REPLACE (
+    try_cast(replace(tx_datetime, '24:00:00', '23:59:59') AS timestamp) AS tx_datetime)
+  FROM parsed WHERE NOT corrupt),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY tx_datetime NULLS FIRST,
+    coalesce(customer_id, -1), coalesce(terminal_id, -1), tx_amount) AS rn FROM timed)
+SELECT transaction_id, tx_amount, tx_fraud = 1 AS tx_fraud,
+ cast(cast(tx_datetime AS date) AS varchar) AS tx_date FROM ranked WHERE rn = 1 AND transaction_id >= 0 AND tx_datetime IS NOT NULL AND {_AMOUNT_OK}
+ AND tx_fraud IN (0, 1)"""
+
+
+@query(f"""WITH one AS ({_survivors(_FIRST_RUN)}), two AS ({_survivors(_BOTH_RUNS)})
+SELECT *, 'one' AS run FROM one UNION ALL
+SELECT *, 'two' AS run FROM two WHERE transaction_id NOT IN (SELECT transaction_id FROM one)""")
+def clean_runs(spark, sf_dir):
+    """Two runs that share ids."""
+    target = work_folder(spark, "clean-runs")
+    for run, lines in (("one", _FIRST_RUN), ("two", _BOTH_RUNS)):
+        path = work_folder(spark, f"lines-{run}")
+        views.select_from(spark, sf_dir, lines).write.text(path)
+        jobs.clean_run(spark, path, target, run)
+    return readers.read_clean_by_run(spark, target).select(
+        "transaction_id", "tx_amount", "tx_fraud", F.col("tx_date").cast("string"), "run")

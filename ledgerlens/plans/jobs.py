@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import epoch_seconds
-from ledgerlens.operators import evaluate, model
+from ledgerlens.operators import evaluate, known_ids, model
 from ledgerlens.operators.buckets import rolling_bucketed
 from ledgerlens.operators.derive import (
     add_ratios,
@@ -76,6 +76,36 @@ def clean(
     return counts | {"duplicates": quality_report(again).first()["duplicates"]}
 
 
+def clean_run(
+    spark: SparkSession, source: str, target: str, run: str, dedup_first: bool = True
+) -> None:
+    """Raw CSV of one run into clean folders by day and run, without ids of earlier runs.
+
+    An id that another run has written stays as it is there. Of earlier runs the index of
+    their ids is read (kept under ``_ids``), and of their rows the ids of those days in which
+    the index lets any id through. The index of a run is written before its rows: should the
+    run fail in between, the index only lets through too much. A run that is repeated looks
+    at the others only and replaces its own folders.
+    """
+    index_path = f"{target.rstrip('/')}/_ids"
+    with work_space(spark):
+        repaired = repair_time(repair_unknown(readers.well_formed(
+            readers.read_raw(spark, source))))
+        cleaned = clean_transactions(repaired, ["tx_datetime"], dedup_first)
+        rows = cut_lineage(cleaned.withColumn(DAY, F.to_date("tx_datetime")), "clean-run")
+        if folder_exists(spark, index_path):
+            others = F.col("run") != run
+            index = spark.read.schema(known_ids.SCHEMA).parquet(index_path).filter(others)
+            stored = readers.read_clean_by_run(spark, target).filter(others)
+            rows = cut_lineage(
+                known_ids.without_known(rows, "transaction_id", index, stored, DAY), "new-rows")
+        named = F.lit(run).alias("run")
+        sinks.write_parquet(
+            known_ids.index_rows(rows, "transaction_id", DAY).select("*", named), index_path,
+            None, ["run"])
+        sinks.write_parquet(rows.select("*", named), target, None, [DAY, "run"])
+
+
 def feature_table(
     transactions: DataFrame,
     warmup: int = presets.MONTH,

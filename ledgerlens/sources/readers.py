@@ -65,5 +65,10 @@ def read_clean_by_day(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{CLEAN_SCHEMA}, tx_date DATE").parquet(path)
 
 
+def read_clean_by_run(spark: SparkSession, path: str) -> DataFrame:
+    """Clean rows kept in folders by day and run; both columns prune folders."""
+    return spark.read.schema(f"{CLEAN_SCHEMA}, tx_date DATE, run STRING").parquet(path)
+
+
 def read_inferred(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

@@ -44,11 +44,12 @@ def write_parquet(
 
     Rows are spread over the files by a shuffle of their own, so the number of files never
     throttles the stage that computes them. With ``partition_by`` the rows of a folder come
-    together first, and only the folders that get rows are replaced.
+    together first, and only the folders that get rows are replaced; adaptive execution cuts
+    a folder with very many rows into several tasks and files, of the size it advises.
     """
     spread = df
     if partition_by:
-        spread = df.repartition(*([files] if files else []), *partition_by)
+        spread = df.hint("rebalance", *partition_by)
     elif files:
         spread = df.repartition(files)
     writer = spread.write.mode("overwrite")
