@@ -13,7 +13,7 @@ from ledgerlens.operators import buckets, derive, explore, frames
 from ledgerlens.operators.buckets import BucketRequest
 from ledgerlens.operators.frames import Group, Request
 from ledgerlens.operators.skew import HotRule
-from ledgerlens.plans import jobs, presets
+from ledgerlens.plans import daily, jobs, presets
 from ledgerlens.session import cut_lineage, work_folder
 from ledgerlens.sources import sinks
 
@@ -473,3 +473,24 @@ def features_since(spark, sf_dir):
     since = last - timedelta(days=DAYS_AGAIN)
     jobs.features(spark, source, target, by_day=True, since=since)
     return spark.read.parquet(target).select(*_LATE)
+
+
+DAILY = 2
+
+
+@query(f"SELECT {', '.join(_LATE)} FROM ({FEATURES_SQL}) f")
+def features_daily(spark, sf_dir):
+    """All days but the last ones in one run that begins a state, then day by day from it."""
+    source, state, target = (work_folder(spark, f"daily-{name}") for name in "abc")
+    tx = transactions(spark, sf_dir).withColumn(
+        "tx_datetime", F.col("tx_datetime").cast("timestamp"))
+    sinks.write_parquet(
+        tx.withColumn(jobs.DAY, F.to_date("tx_datetime")), source, partition_by=[jobs.DAY])
+    first, last = tx.agg(
+        F.to_date(F.min("tx_datetime")), F.to_date(F.max("tx_datetime"))).first()
+    begun = last - timedelta(days=DAILY)
+    daily.daily_features(spark, source, state, target, first, begun, WARMUP)
+    for k in range(1, DAILY + 1):
+        day = begun + timedelta(days=k)
+        daily.daily_features(spark, source, state, target, day, warmup=WARMUP)
+    return spark.read.parquet(target).select(*_LATE)

@@ -90,10 +90,12 @@ def bucket_history(
 
 
 def _running_buckets(
-    df: DataFrame, keys: list[str], time: str, interval: int, requests: list[Request]
+    df: DataFrame, keys: list[str], time: str, interval: int, requests: list[Request],
+    stored: DataFrame | None = None,
 ) -> tuple[DataFrame, RunningTotals]:
     running = RunningTotals(requests)
-    return running.add(bucket_totals(df, keys, time, interval, requests), keys, BUCKET), running
+    by_bucket = bucket_totals(df, keys, time, interval, requests) if stored is None else stored
+    return running.add(by_bucket, keys, BUCKET), running
 
 
 def _selected(request: Request, frame: Frame, running: RunningTotals) -> dict[str, str]:
@@ -101,11 +103,13 @@ def _selected(request: Request, frame: Frame, running: RunningTotals) -> dict[st
 
 
 def _history_features(
-    df: DataFrame, keys: list[str], time: str, interval: int, specs: list[BucketRequest]
+    df: DataFrame, keys: list[str], time: str, interval: int, specs: list[BucketRequest],
+    stored: DataFrame | None,
 ) -> DataFrame:
     """What rows need of the past, per entity and bucket: totals where the own bucket is
     added, and the finished columns where it is not."""
-    wide, running = _running_buckets(df, keys, time, interval, [s.request for s in specs])
+    wide, running = _running_buckets(
+        df, keys, time, interval, [s.request for s in specs], stored)
     unfinished: dict[str, str] = {}
     for spec in specs:
         for frame in spec.request.frames if spec.current else ():
@@ -167,14 +171,16 @@ def in_bucket_running(
 
 def rolling_bucketed(
     df: DataFrame, keys: list[str], time: str, interval: int, specs: list[BucketRequest],
-    rule: HotRule | None = DEFAULT_RULE,
+    rule: HotRule | None = DEFAULT_RULE, stored: DataFrame | None = None,
 ) -> DataFrame:
     """Add bucketed frame aggregates to every row.
 
-    All specs share one aggregation by bucket, one history window and one join.
+    All specs share one aggregation by bucket, one history window and one join. ``stored``
+    is the table of :func:`bucket_totals` of all rows, where ``df`` is only some of them: it
+    has a row for each bucket of ``df``, and the units of the specs are known.
     """
     specs, items = _looked(df, keys, time, interval, specs, rule)
-    history = _history_features(df, keys, time, interval, specs)
+    history = _history_features(df, keys, time, interval, specs, stored)
     return _attach(df, keys, time, interval, specs, history, rule, items)
 
 

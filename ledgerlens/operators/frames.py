@@ -480,13 +480,36 @@ def rolling_over_rows(df: DataFrame, time: str, groups: Iterable[Group]) -> Data
     return df
 
 
+def second_totals(df: DataFrame, keys: list[str], time: str, requests) -> DataFrame:
+    """One row per key and second with all totals the requests need."""
+    check_resolved(df, requests)
+    ledger = prepared(df, requests).filter(F.col(time).isNotNull()).groupBy(*keys, time)
+    return ledger.agg(*totals(all_parts(requests)))
+
+
+def added_up(totals_table: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals by fewer keys, or of several tables: all other columns are sums."""
+    parts = [name for name in totals_table.columns if name not in keys]
+    return totals_table.groupBy(*keys).agg(*[F.sum(f"`{p}`").alias(p) for p in parts])
+
+
 def rolling_by_second(df: DataFrame, keys: list[str], time: str, requests) -> DataFrame:
     """Frame aggregates with one row per key and second, safe for keys of any size.
 
-    Rows are reduced to totals per key and second before they are shuffled. The axis is
-    then cut into slices, and a second is copied into the later (or earlier) slices that
-    look at it. A window sees one slice of one key: a bounded number of seconds. For frames
-    without a start, what lies before the seconds of a slice is added from totals by slice.
+    Rows are reduced to totals per key and second before they are shuffled.
+    """
+    return rolling_over_seconds(second_totals(df, keys, time, requests), keys, time, requests)
+
+
+def rolling_over_seconds(
+    seconds: DataFrame, keys: list[str], time: str, requests
+) -> DataFrame:
+    """Frame aggregates from totals by key and second.
+
+    The axis is cut into slices, and a second is copied into the later (or earlier) slices
+    that look at it. A window sees one slice of one key: a bounded number of seconds. For
+    frames without a start, what lies before the seconds of a slice is added from totals by
+    slice.
     """
     shapes = [frame for request in requests for frame in request.frames]
     back = max(0, *(-(f.end if f.start is None else f.start) for f in shapes))
@@ -494,8 +517,6 @@ def rolling_by_second(df: DataFrame, keys: list[str], time: str, requests) -> Da
     width = max(back + ahead, DAY)
     parts = all_parts(requests)
 
-    ledger = prepared(df, requests).filter(F.col(time).isNotNull()).groupBy(*keys, time)
-    seconds = ledger.agg(*totals(parts))
     first = bucket_start(F.col(time) - ahead, width)
     last = bucket_start(F.col(time) + back, width)
     step = F.lit(width).cast("bigint")

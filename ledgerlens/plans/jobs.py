@@ -111,23 +111,27 @@ def feature_table(
     warmup: int = presets.MONTH,
     fixed: bool = False,
     rule: HotRule | None = DEFAULT_RULE,
+    start: DataFrame | None = None,
 ) -> DataFrame:
     """The 54-column feature table of clean transactions.
 
     Customer and pair features come first, in one shuffle by customer. Their result is
-    written to the shared folder, because the terminal features read it several times.
+    written to the shared folder, because the terminal features read it several times. The
+    warm-up begins with the first of the transactions, or of ``start`` where they are only
+    the last ones of a table.
     """
-    base = _timed(transactions)
+    base = timed(transactions)
     groups = [presets.customer_group(), presets.pair_group()]
     by_customer = cut_lineage(rolling(base, TIME, groups, rule), "customer-features")
     by_terminal = rolling_bucketed(
         by_customer, ["terminal_id"], TIME, presets.BUCKET, presets.terminal_specs(fixed), rule
     )
     complete = add_risk(by_terminal, presets.risk_pairs(list(presets.FRAUD)))
-    return after_warmup(complete, base, TIME, warmup).select(*presets.feature_columns())
+    begun = base if start is None else timed(start)
+    return after_warmup(complete, begun, TIME, warmup).select(*presets.feature_columns())
 
 
-def _timed(transactions: DataFrame) -> DataFrame:
+def timed(transactions: DataFrame) -> DataFrame:
     return transactions.withColumns({
         TIME: epoch_seconds(transactions, "tx_datetime"),
         presets.LABEL: F.col(presets.LABEL).cast("int"),
@@ -144,7 +148,7 @@ def explore_table(
 
     Customer and pair features are computed once and written, as in :func:`feature_table`.
     """
-    base = _timed(transactions)
+    base = timed(transactions)
     by_customer = cut_lineage(
         rolling(base, TIME, presets.explore_customer_groups(), rule), "explore-customer")
     wide = rolling_bucketed(
@@ -165,16 +169,17 @@ def features(
 
     ``by_day`` keeps the output in folders by day. ``since`` computes the rows of that day
     and later only and replaces their folders; it reads the longest frame before them, and
-    only those folders if the source is kept by day.
+    only those folders if the source is kept by day. The rows are those of the whole table:
+    the warm-up begins where the source does.
     """
     files = sinks.planned_files(spark, source, target_mb=128, compression=0.2)
     transactions = readers.read_clean_by_day(spark, source) if by_day else (
         readers.read_clean(spark, source))
+    start = None
     if since is not None:
-        transactions = recent(transactions, since)
-        warmup = 0
+        start, transactions = first_rows_of(transactions), recent(transactions, since)
     with work_space(spark):
-        table = feature_table(transactions, warmup, fixed)
+        table = feature_table(transactions, warmup, fixed, start=start)
         if by_day or since is not None:
             table = table.withColumn(DAY, F.to_date("tx_datetime"))
             if since is not None:
@@ -184,6 +189,14 @@ def features(
             sinks.write_parquet(table, target, files)
 
 
+def first_rows_of(transactions: DataFrame) -> DataFrame:
+    """Rows among which the first one is: of a table by day those of its first folder."""
+    if DAY not in transactions.columns:
+        return transactions
+    first = transactions.agg(F.min(DAY)).scalar()
+    return transactions.filter(F.col(DAY) == first)
+
+
 def recent(transactions: DataFrame, since: date) -> DataFrame:
     """Rows that the features of ``since`` and later look at."""
     begin = F.lit(since - timedelta(days=LOOK_BACK_DAYS))

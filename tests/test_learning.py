@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from datetime import timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,13 +166,14 @@ def test_features_since_a_day_read_only_what_they_need(spark, sf_dir, tmp_path):
     assert "PartitionFilters: [isnotnull(tx_date" in plan
     assert read.count() < both.count()
     target = str(tmp_path / "features")
-    jobs.features(spark, source, target, warmup=0, by_day=True)
+    jobs.features(spark, source, target, by_day=True)
     whole = spark.read.parquet(target)
-    some = whole.filter(F.col("tx_date") == last).collect()
+    kept, some = whole.count(), whole.filter(F.col("tx_date") == last).collect()
+    assert tx.count() < kept < tx.count() * 2 and some
     # Days are replaced one by one; the others stay.
     jobs.features(spark, source, target, by_day=True, since=last)
     again = spark.read.parquet(target)
-    assert again.count() == tx.count() * 2
+    assert again.count() == kept
     assert sorted(map(repr, again.filter(F.col("tx_date") == last).collect())) == sorted(
         map(repr, some))
 
@@ -190,3 +193,22 @@ def test_jobs_remove_their_work_tables(spark, sf_dir, tmp_path):
     finally:
         session._OPEN_SPACES.remove(made)
     assert made and not any(Path(path.removeprefix("file:")).exists() for path in made)
+
+
+def test_the_warm_up_of_late_days_begins_with_the_table(spark, sf_dir, tmp_path):
+    """With the default warm-up of 30 days nothing is left of the given 30 days, since or not."""
+    source = str(tmp_path / "by-day")
+    tx = transactions(spark, sf_dir).withColumn("tx_datetime", F.col("tx_datetime").cast("timestamp"))
+    sinks.write_parquet(
+        tx.withColumn(jobs.DAY, F.to_date("tx_datetime")), source, partition_by=[jobs.DAY])
+    first, last = tx.agg(
+        F.to_date(F.min("tx_datetime")), F.to_date(F.max("tx_datetime"))).first()
+    for name, since in (("whole", None), ("late", first + timedelta(days=10))):
+        jobs.features(spark, source, str(tmp_path / name), by_day=True, since=since)
+        assert not list((tmp_path / name).glob("tx_date=*"))
+    week = 7 * 86400
+    for name, since in (("whole", None), ("late", first + timedelta(days=10))):
+        jobs.features(spark, source, str(tmp_path / name), week, by_day=True, since=since)
+    whole = spark.read.parquet(str(tmp_path / "whole"))
+    late = spark.read.parquet(str(tmp_path / "late"))
+    assert same_rows(late, whole.filter(F.col("tx_date") >= first + timedelta(days=10)))
