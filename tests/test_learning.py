@@ -169,7 +169,7 @@ def test_features_since_a_day_read_only_what_they_need(spark, sf_dir, tmp_path):
     jobs.features(spark, source, target, by_day=True)
     whole = spark.read.parquet(target)
     kept, some = whole.count(), whole.filter(F.col("tx_date") == last).collect()
-    assert tx.count() < kept < tx.count() * 2 and some
+    assert kept == tx.count() and some  # the early rows are the warm-up
     # Days are replaced one by one; the others stay.
     jobs.features(spark, source, target, by_day=True, since=last)
     again = spark.read.parquet(target)
