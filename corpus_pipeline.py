@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, mixing, overlap, secrets, simhash, toxicity
+from ledgerlens.llm import bpe, mixing, secrets, simhash, toxicity
 from ledgerlens.llm.common import read
 from ledgerlens.llm.queries import toxicity_model
 from ledgerlens.session import cut_lineage
@@ -18,11 +18,8 @@ from ledgerlens.session import cut_lineage
 #: plain version of itself.
 ORACLE_SQL = None
 
-#: The rule of fingerprints that the stage went by before. Near copies differ in up to 14 bits
-#: and others in as few as 6, so only the size of its shingles is still used.
-NEAR = simhash.Rule(words=5, bits=6, blocks=9)
-#: Near copies have a shingle overlap of 0.8 or more.
-OVERLAP = overlap.Rule(words=NEAR.words, least=0.8)
+#: Documents whose fingerprints differ in at most 3 bits are near-duplicates.
+NEAR = simhash.Rule(words=3, bits=3)
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -48,17 +45,18 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: the one with the smallest doc_id.
 
-    Rows without a doc_id come after all others; of rows with the same id and shingles any
-    one stays. Empty texts are a group.
+    Rows without a doc_id come after all others; of rows with the same id any one stays.
+    Texts without words are a group.
     """
-    number, sketch = (_free(docs, name) for name in ("_number", "_sketch"))
-    marked = cut_lineage(docs.withColumns({
-        number: F.monotonically_increasing_id(),
-        sketch: overlap.sketch_column(F.col("text"), OVERLAP)}), "marked")
-    kept = overlap.firsts(marked.select(
-        F.col(number).alias("number"), "doc_id", "text", F.col(sketch).alias("sketch")), OVERLAP)
-    return marked.join(kept.withColumnRenamed("number", number), number, "left_semi").select(
-        *_columns(docs))
+    number = _free(docs, "_number")
+    marked = cut_lineage(docs.withColumn(number, F.monotonically_increasing_id()), "marked")
+    grouped = simhash.near_duplicates(marked, NEAR, doc_id=number).select(
+        F.col("doc_id").alias("_row"), "root")
+    ids = marked.select(F.col(number).alias("_row"), "doc_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_row"))
+    kept = ids.join(grouped, "_row").groupBy("root").agg(first.alias("first")).select(
+        F.col("first._row").alias(number))
+    return marked.join(kept, number, "left_semi").select(*_columns(docs))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
