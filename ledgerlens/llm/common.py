@@ -1,8 +1,10 @@
 """Small helpers that several operators share."""
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: a word is a run of anything but the six ASCII white-space characters.
@@ -39,3 +41,18 @@ def small_side(table: DataFrame, rows: int = 100_000) -> DataFrame:
 def power_of_two(count: int, per_part: int) -> int:
     """Bits of the number of parts that hold about ``per_part`` of ``count`` rows each."""
     return max(0, math.ceil(math.log2(max(1, count / per_part))))
+
+
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Batches of at most that many rows for tables that are written inside.
+
+    A worker, and the executor that feeds it, hold a batch of texts at a time.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

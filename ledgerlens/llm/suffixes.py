@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import small_side
+from ledgerlens.llm.common import short_batches, small_side
 from ledgerlens.session import cut_lineage
 
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -455,18 +455,17 @@ def repeats(texts: DataFrame, marked: DataFrame, rule: Rule) -> DataFrame:
         "contexts")
     open_ = classes.groupBy("key").agg(F.count_if(F.col("n") == 1).alias("single"),
                                        F.count(F.lit(1)).alias("contexts"))
-    compared = classes.join(
-        open_.filter("single > 0 AND contexts > 1"), "key", "left_semi"
-    ).select("key", "context", "n", "first.*")
+    asked = open_.filter("single > 0 AND contexts > 1").select("key").hint("rebalance")
+    compared = classes.join(asked, "key", "left_semi").select("key", "context", "n", "first.*")
     parts = marked.select("part_no", "sha", "n_bytes", "copies")
     wanted = cut_lineage(
         compared.join(parts, "part_no").groupBy("sha").agg(
             F.collect_list(F.struct("place", "key", "context", "n")).alias("wanted")), "wanted")
     once = texts.join(small_side(wanted.select("sha")), "sha", "left_semi").dropDuplicates(["sha"])
-    suffixes = cut_lineage(
-        once.join(wanted, "sha").select(F.col("text").cast("binary"), "wanted").mapInArrow(
-            _contexts(rule), "key long, context long, n long, ahead binary, back binary"),
-        "suffixes")
+    held = once.join(wanted, "sha").select(F.col("text").cast("binary"), "wanted").mapInArrow(
+        _contexts(rule), "key long, context long, n long, ahead binary, back binary")
+    with short_batches(texts.sparkSession):
+        suffixes = cut_lineage(held, "suffixes")
     partly = partial_repeats(suffixes, rule)
     fully = classes.filter("n > 1").select(
         "key", "context", F.lit(rule.span).cast("long").alias("furthest"),
@@ -497,11 +496,12 @@ def remove_repeats(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id",
     found = long.select("sha", "n_bytes", F.col("text").cast("binary")).mapInArrow(
         _mark(rule), "sha string, n_bytes long, part int, places array<long>, "
         "keys array<long>, contexts array<long>")
-    marked = cut_lineage(
-        found.groupBy("sha", "part").agg(
-            F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes"),
-            *[F.first(name).alias(name) for name in lists]
-        ).withColumn("part_no", F.monotonically_increasing_id()), "anchors")
+    each = found.groupBy("sha", "part").agg(
+        F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes"),
+        *[F.first(name).alias(name) for name in lists])
+    with short_batches(docs.sparkSession):
+        marked = cut_lineage(
+            each.withColumn("part_no", F.monotonically_increasing_id()), "anchors")
     touched = cut_lineage(repeats(texts, marked, rule), "intervals")
     changed = texts.join(small_side(touched.select("sha")), "sha", "left_semi").join(
         touched, "sha").select("sha", F.col("text").cast("binary"), "repeats").mapInArrow(
@@ -509,7 +509,8 @@ def remove_repeats(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id",
     gone = marked.filter("copies > 1 AND part = 0").select(
         "sha", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
         F.sha2(F.lit(""), 256).alias("kept_sha256"))
-    verdicts = cut_lineage(gone.unionByName(changed), "verdicts")
+    with short_batches(docs.sparkSession):
+        verdicts = cut_lineage(gone.unionByName(changed), "verdicts")
     nothing = F.lit(0).cast("long")
     return base.select("doc_id", "sha", "n_bytes").join(verdicts, "sha", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", nothing).alias("n_removed"),
