@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks import literals, views
 from checks.registry import query
 from checks.windows import WARMUP, transactions
-from ledgerlens.operators import derive, evaluate, model
+from ledgerlens.operators import derive, evaluate, model, sketches
 from ledgerlens.plans import jobs
 from ledgerlens.session import cut_lineage, work_folder
 from ledgerlens.sources import sinks
@@ -35,6 +35,26 @@ def class_weight(spark, sf_dir):
     return model.add_class_weight(tx)
 
 
+SPLIT_ERROR = 0.01
+
+
+@query(f"""WITH {views.TX} SELECT count(*) AS rows, true AS within,
+ count(DISTINCT unix_time // 86400) AS days FROM tx""")
+def split_sketched(spark, sf_dir):
+    """Whether the share of a split by merged sketches of each day lies within the error."""
+    tx = views.tx_events(spark, sf_dir)
+    daily = sketches.column_sketches(
+        tx.withColumn("day", F.floor(F.col(TIME) / 86400)), ["day"], [TIME], [], SPLIT_ERROR)
+    stored = cut_lineage(daily, "sketches")
+    split = model.add_sketched_split(tx, TIME, stored).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("split") == "train").alias("train"))
+    # The rank of the threshold counts all rows of its second.
+    second = tx.groupBy(TIME).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar()
+    apart = F.abs(F.col("train") - 0.8 * F.col("rows")) <= SPLIT_ERROR * F.col("rows") + second
+    return split.select("rows", apart.alias("within"),
+                        stored.agg(F.count(F.lit(1))).scalar().alias("days"))
+
+
 _PREDICTED = f"pr AS (SELECT *, {views.PREDICTION} AS prediction FROM sp)"
 
 
@@ -185,6 +205,22 @@ def model_scores_large(spark, sf_dir):
     return evaluate.binary_metrics(pipeline.fit(rows).transform(split), by=["split"])
 
 
+def _forest(spark, sf_dir):
+    """Every tree may look at all inputs, and so finds the one that decides."""
+    table = _training(spark, sf_dir)
+    split = model.add_time_split(table, TIME)
+    rows = model.add_class_weight(split.filter(F.col("split") == "train"))
+    pipeline = model.random_forest(
+        model.model_inputs(table), numTrees=20, featureSubsetStrategy="all")
+    return pipeline.fit(rows), split
+
+
+@query(f"WITH {_PERFECT} SELECT split, tp, fp, fn, {_METRICS} FROM c")
+def forest_scores(spark, sf_dir):
+    fitted, split = _forest(spark, sf_dir)
+    return evaluate.binary_metrics(fitted.transform(split), by=["split"])
+
+
 @query(f"""WITH {_AFTER} SELECT split, count(*) AS rows, cast(0 AS bigint) AS differences
 FROM sp GROUP BY split""")
 def model_reload(spark, sf_dir):
@@ -212,6 +248,14 @@ def feature_importance_top(spark, sf_dir):
     return model.top_features(rounded)
 
 
+@query(f"""SELECT 'planted' AS feature, 1.0::double AS importance
+UNION ALL SELECT name, 0.0::double FROM (VALUES {_OTHERS}) AS others(name)""")
+def forest_importance_top(spark, sf_dir):
+    fitted, split = _forest(spark, sf_dir)
+    importance = model.feature_importance(fitted, fitted.transform(split))
+    return model.top_features(importance.withColumn("importance", F.round("importance", 9)))
+
+
 @query(f"""WITH {_PERFECT}, m AS (SELECT split, {_METRICS} FROM c), long AS (
   SELECT split || '_precision' AS metric, precision AS value FROM m
   UNION ALL SELECT split || '_recall', recall FROM m

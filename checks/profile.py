@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from checks import views
 from checks.registry import query
-from ledgerlens.operators import explore
+from ledgerlens.operators import explore, sketches
+from ledgerlens.session import cut_lineage
 
 TIME = "unix_time"
 FRAUD = "tx_fraud = 1"
@@ -167,3 +168,24 @@ def top_fraud_terminals(spark, sf_dir):
 @query(_top_sql("customer_id, terminal_id"))
 def top_pairs(spark, sf_dir):
     return explore.top_by_count(views.tx_events(spark, sf_dir), ["customer_id", "terminal_id"])
+
+
+DISTINCT = ["customer_id", "terminal_id", "transaction_id"]
+DISTINCT_ERROR = 0.02
+
+
+@query(f"""WITH {views.TX} SELECT unnest(['customer_id', 'terminal_id', 'transaction_id'])
+  AS "column", unnest([count(DISTINCT customer_id), count(DISTINCT terminal_id),
+  count(DISTINCT transaction_id)]) AS "distinct", true AS within FROM tx""")
+def distinct_sketched(spark, sf_dir):
+    """Exact counts, and whether those of merged sketches of each day are within the error."""
+    tx = views.tx_events(spark, sf_dir).withColumn("day", F.floor(F.col(TIME) / 86400))
+    stored = cut_lineage(
+        sketches.column_sketches(tx, ["day"], [], DISTINCT, DISTINCT_ERROR), "sketches")
+    about = sketches.merged(stored).select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("_name"), sketches.distinct_count(name).alias("_about"))
+        for name in DISTINCT])))
+    exact = sketches.exact_distinct(tx, DISTINCT)
+    apart = F.abs(F.col("_about") - F.col("distinct")) <= DISTINCT_ERROR * F.col("distinct")
+    return exact.join(F.broadcast(about), F.col("column") == F.col("_name")).select(
+        "column", "distinct", apart.alias("within"))

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.explore import approx_quantile, exact_quantiles
+from ledgerlens.operators.sketches import written_quantile
 from ledgerlens.schema import NOT_MODEL_INPUTS
 
 # Training parameters of the two model sizes.
 STANDARD_MODEL = {"maxIter": 50, "maxDepth": 5, "stepSize": 0.1, "seed": 42}
 LARGE_MODEL = {"maxIter": 100, "maxDepth": 7, "stepSize": 0.1, "seed": 42}
+# Parameters of a forest: every tree sees a bag of rows and, at each split, some inputs.
+FOREST = {"numTrees": 50, "maxDepth": 7, "subsamplingRate": 0.7, "featureSubsetStrategy": "auto",
+          "seed": 42}
 
 
 def add_time_split(
@@ -35,6 +39,20 @@ def add_time_split(
     return df.withColumn("split", side)
 
 
+def add_sketched_split(
+    df: DataFrame, time: str, sketches: DataFrame, share: float = 0.8
+) -> DataFrame:
+    """:func:`add_time_split` with the threshold of stored sketches of the time
+    (:mod:`ledgerlens.operators.sketches`), for instance by day.
+
+    The rows are not looked at, and nothing comes to the driver. The threshold is written
+    once: a sketch merged again could give another one within its error.
+    """
+    threshold = written_quantile(sketches, time, share).scalar()
+    side = F.when(F.col(time) <= threshold, "train").when(F.col(time) > threshold, "test")
+    return df.withColumn("split", side)
+
+
 def class_ratio(df: DataFrame, label: str = "tx_fraud") -> DataFrame:
     """Negatives per positive, rounded half to even; fails when a class is missing."""
     counted = df.agg(
@@ -75,6 +93,31 @@ def boosted_trees(
 
     ``categories`` are indexed and one-hot encoded in front of the vector.
     """
+    trees = GBTClassifier(
+        labelCol=label, featuresCol="features", **{**STANDARD_MODEL, **params}
+    )
+    return _on_vector(inputs, categories, trees, weight)
+
+
+def random_forest(
+    inputs: list[str],
+    label: str = "tx_fraud",
+    weight: str | None = "weight",
+    categories: list[str] | None = None,
+    **params,
+) -> Pipeline:
+    """Vector of the inputs, then bagged trees that each look at some of the inputs.
+
+    The trees do not depend on each other: a pass over the rows grows a level of many of
+    them at once, where boosting needs passes for each tree in turn.
+    """
+    trees = RandomForestClassifier(
+        labelCol=label, featuresCol="features", **{**FOREST, **params}
+    )
+    return _on_vector(inputs, categories, trees, weight)
+
+
+def _on_vector(inputs: list[str], categories: list[str] | None, trees, weight: str | None):
     stages = []
     vectors = []
     for name in categories or []:
@@ -83,9 +126,6 @@ def boosted_trees(
         stages += [indexer, encoder]
         vectors.append(f"{name}_vec")
     assembler = VectorAssembler(inputCols=[*inputs, *vectors], outputCol="features")
-    trees = GBTClassifier(
-        labelCol=label, featuresCol="features", **{**STANDARD_MODEL, **params}
-    )
     if weight:
         trees = trees.setWeightCol(weight)
     return Pipeline(stages=[*stages, assembler, trees])
