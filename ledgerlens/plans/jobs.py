@@ -29,7 +29,7 @@ from ledgerlens.operators.quality import (
 )
 from ledgerlens.operators.skew import DEFAULT_RULE, HotRule
 from ledgerlens.plans import presets
-from ledgerlens.session import cut_lineage, folder_exists, work_space
+from ledgerlens.session import claim_file, cut_lineage, folder_exists, work_space
 from ledgerlens.sources import readers, sinks
 
 TIME = "unix_time"
@@ -222,6 +222,14 @@ def _known_runs(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _claimed_number(spark: SparkSession, runs: str) -> int:
+    """The next number that no other training has claimed."""
+    number = evaluate.next_run_number(_known_runs(spark, runs)).first()["run_number"]
+    while not claim_file(spark, f"{runs.rstrip('/')}/_claims/run-{number}"):
+        number += 1
+    return number
+
+
 def train(
     spark: SparkSession,
     source: str,
@@ -233,8 +241,11 @@ def train(
     """Feature table to a saved model, its list of inputs and rows in the runs table.
 
     Returns the run number, the paths, the confusion counts of the test rows and whether
-    this run is the best so far. A run counts from its rows in the runs table on, which are
-    written last; a model folder that no run accounts for is never overwritten.
+    this run is the best so far. A run claims its number before it begins, so trainings at
+    the same time get numbers of their own, and a number whose training has failed is not
+    used again. A run counts from its rows in the runs table on: they are written last, into
+    a folder of their own, by one file that is there or not. A model folder that no run
+    accounts for is never overwritten.
     """
     return train_table(spark, training_table(readers.read_inferred(spark, source)), models, runs,
                        split_error, **params)
@@ -245,8 +256,7 @@ def train_table(
     **params,
 ) -> dict:
     """:func:`train` on a training table."""
-    known = _known_runs(spark, runs)
-    number = evaluate.next_run_number(known).first()["run_number"]
+    number = _claimed_number(spark, runs)
     path = f"{models.rstrip('/')}/run-{number}"
     if folder_exists(spark, path):
         raise FileExistsError(f"{path} exists, but run {number} is not in {runs}")
@@ -270,7 +280,8 @@ def train_table(
     long = evaluate.run_rows(run, ["split", "run_number", "run_name"]).select(
         "run_number", "run_name", F.concat_ws("_", "split", "metric").alias("metric"), "value"
     )
-    sinks.append_rows(long, runs)
+    long.drop("run_number").coalesce(1).write.parquet(
+        f"{runs.rstrip('/')}/run_number={number}")
     history = evaluate.champions(_known_runs(spark, runs))
     latest = history.filter(F.col("run_number") == number).first()
     test = next((row for row in measured if row["split"] == "test"), None)

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution picks partition counts and splits skewed joins at run time, so
@@ -83,6 +85,30 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def claim_file(spark: SparkSession, path: str) -> bool:
+    """Makes an empty file; False if somebody else has made it, however close in time.
+
+    Shared file systems refuse to create a file over another one. On the local one Hadoop
+    looks before it creates, so the system call that does both is used there.
+    """
+    files, place = _located(spark, path)
+    if files.getScheme() == "file":
+        local = Path(place.toUri().getPath())
+        local.parent.mkdir(parents=True, exist_ok=True)
+        try:
+            local.open("x").close()
+        except FileExistsError:
+            return False
+        return True
+    try:
+        files.create(place, False).close()
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 def _located(spark: SparkSession, path: str) -> tuple:
     """File system and path as Hadoop knows them."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

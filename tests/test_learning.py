@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from checks.windows import WARMUP, transactions
 from ledgerlens.operators import evaluate, model
 from ledgerlens.operators.skew import HotRule
 from ledgerlens.plans import jobs, presets
+from ledgerlens.session import claim_file
 from ledgerlens.sources import readers, sinks
 from tests.conftest import same_rows
 
@@ -154,6 +157,28 @@ def test_runs_are_never_overwritten(spark, tmp_path):
         jobs.train_table(spark, small_table(spark), models, str(tmp_path / "broken"), **params)
 
 
+def test_trainings_at_the_same_time_get_numbers_of_their_own(spark, tmp_path):
+    models, runs = str(tmp_path / "models"), str(tmp_path / "runs")
+    table = small_table(spark).cache()
+    train = lambda _: jobs.train_table(
+        spark, table, models, runs, split_error=0, maxIter=1, maxDepth=2)
+    with ThreadPoolExecutor(4) as pool:
+        found = list(pool.map(train, range(4)))
+    assert sorted(f["run_number"] for f in found) == [1, 2, 3, 4]
+    logged = spark.read.parquet(runs).groupBy("run_number").count().collect()
+    assert {r["run_number"]: r["count"] for r in logged} == dict.fromkeys([1, 2, 3, 4], 8)
+    assert all(Path(f["model"]).exists() for f in found)
+    # A number that was claimed by a training that failed stays unused.
+    claim_file(spark, f"{runs}/_claims/run-5")
+    assert train(0)["run_number"] == 6
+
+
+def test_a_file_is_claimed_once(spark, tmp_path):
+    path = str(tmp_path / "deep" / "claim")
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(lambda _: claim_file(spark, path), range(64))) == 1
+
+
 def test_features_since_a_day_read_only_what_they_need(spark, sf_dir, tmp_path):
     source = str(tmp_path / "by-day")
     tx = transactions(spark, sf_dir).withColumn("tx_datetime", F.col("tx_datetime").cast("timestamp"))
