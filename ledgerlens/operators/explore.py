@@ -137,42 +137,72 @@ BANDS = 1024
 
 
 def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """Exact quantiles of an integer column: the smallest value that at least the share
-    of all values does not exceed. No rows come from a column without values.
+    """Exact quantiles (share, value) of an integer column: :func:`exact_quantiles_of`."""
+    return exact_quantiles_of(df, [column], shares).select("share", "value")
+
+
+def exact_quantiles_of(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """Exact quantiles (column, share, value) of integer columns: the smallest value that at
+    least the share of all values does not exceed. No rows come from a column without values.
 
     Counting passes instead of a global sort: the range of the values is cut into at most
     ``BANDS`` bands, the counts of the bands (few rows) tell in which of them each quantile
-    is, and that band is cut again until it is a single value. A pass narrows the range by
-    a factor of ``BANDS``, so seconds or cents take three or four.
+    is, and that band is cut again until it is a single value. A pass narrows the ranges of
+    all columns and shares at once by a factor of ``BANDS``, so seconds or cents take three
+    or four passes however many columns there are.
     """
     spark = df.sparkSession
-    values = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("bigint").alias("_v"))
-    least, most, rows = values.agg(F.min("_v"), F.max("_v"), F.count("_v")).first()
-    # For each share: the range it is in, and its rank among the values of the range.
-    ranges = {} if not rows else {
-        share: (least, most, max(1, math.ceil(share * rows))) for share in shares}
+    values = df.select(*[F.col(f"`{name}`").cast("bigint").alias(f"v{i}")
+                         for i, name in enumerate(columns)])
+    ends = values.agg(*[measure(f"v{i}").alias(f"{label}{i}") for i in range(len(columns))
+                        for label, measure in (("l", F.min), ("m", F.max), ("n", F.count))]).first()
+    # For each column and share: the range it is in, and its rank among the values there.
+    ranges = {(i, share): (ends[f"l{i}"], ends[f"m{i}"], max(1, math.ceil(share * ends[f"n{i}"])))
+              for i in range(len(columns)) if ends[f"n{i}"] for share in shares}
     while any(low < high for low, high, _ in ranges.values()):
-        open_ = {share: r for share, r in ranges.items() if r[0] < r[1]}
-        widths = {share: (high - low) // BANDS + 1 for share, (low, high, _) in open_.items()}
+        open_ = {key: r for key, r in ranges.items() if r[0] < r[1]}
+        widths = {key: (high - low) // BANDS + 1 for key, (low, high, _) in open_.items()}
         inside = F.array_compact(F.array(*[
-            F.when(F.col("_v").between(low, high), F.struct(
-                F.lit(float(share)).alias("share"),
-                F.expr(f"(_v - {low}L) div {widths[share]}L").alias("band")))
-            for share, (low, high, _) in open_.items()]))
-        counted = values.select(F.inline(inside)).groupBy("share", "band").count()
-        by_share: dict[float, list] = {share: [] for share in open_}
-        for row in sorted(counted.collect(), key=lambda r: (r["share"], r["band"])):
-            by_share[row["share"]].append((row["band"], row["count"]))
-        for share, bands in by_share.items():
-            low, high, rank = ranges[share]
-            for band, count in bands:
+            F.when(F.col(f"v{i}").between(low, high), F.struct(
+                F.lit(i).alias("place"), F.lit(float(share)).alias("share"),
+                _band(f"v{i}", low, high, widths[i, share]).alias("band")))
+            for (i, share), (low, high, _) in open_.items()]))
+        counted = values.select(F.inline(inside)).groupBy("place", "share", "band").count()
+        by_key: dict[tuple, list] = {(i, float(share)): [] for i, share in open_}
+        for row in counted.collect():
+            by_key[row["place"], row["share"]].append((row["band"], row["count"]))
+        for key in open_:
+            low, high, rank = ranges[key]
+            for band, count in sorted(by_key[key[0], float(key[1])]):
                 if rank <= count:
-                    start = low + band * widths[share]
-                    ranges[share] = (start, min(high, start + widths[share] - 1), rank)
+                    start = low + band * widths[key]
+                    ranges[key] = (start, min(high, start + widths[key] - 1), rank)
                     break
                 rank -= count
-    found = [(float(share), low) for share, (low, _, _) in ranges.items()]
-    return spark.createDataFrame(found, "share DOUBLE, value BIGINT")
+    found = [(columns[i], float(share), low) for (i, share), (low, _, _) in ranges.items()]
+    return spark.createDataFrame(found, "column STRING, share DOUBLE, value BIGINT")
+
+
+def _band(name: str, low: int, high: int, width: int) -> Column:
+    """Number of the band that a value of the range is in."""
+    if high - low < 2**62 and low > -(2**62):
+        return F.expr(f"({name} - ({low}L)) div {width}L")
+    # The distance from the lower end may need more than 64 bits.
+    wide = f"cast({name} AS decimal(20, 0)) - cast('{low}' AS decimal(20, 0))"
+    return F.expr(f"({wide}) div cast('{width}' AS decimal(20, 0))")
+
+
+QUARTILES = {"first_quartile": 0.25, "median": 0.5, "third_quartile": 0.75}
+
+
+def summary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """:func:`profile` with the exact quartiles of all columns, null without values."""
+    quartiles = exact_quantiles_of(df, columns, list(QUARTILES.values())).groupBy("column").agg(
+        *[F.max(F.when(F.col("share") == share, F.col("value"))).alias(name)
+          for name, share in QUARTILES.items()])
+    measured = profile(df, columns)
+    return measured.join(F.broadcast(quartiles), "column", "left").select(
+        *measured.columns[:-1], *QUARTILES, "max")
 
 
 def approx_quantile(

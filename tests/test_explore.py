@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -28,6 +29,38 @@ def test_quantiles_of_nothing(spark):
     assert explore.approx_quantile(empty, "v", 0.5) is None
 
 
+def test_quantiles_of_values_at_both_ends_of_64_bits(spark):
+    values = [-(2**63), 2**63 - 1, -5, 0, 7, 2**62, -(2**62)]
+    df = spark.createDataFrame([(v,) for v in values], "v BIGINT")
+    shares = [0.0, 0.2, 0.5, 0.9, 1.0]
+    got = {r["share"]: r["value"] for r in explore.exact_quantiles(df, "v", shares).collect()}
+    ordered = sorted(values)
+    assert got == {s: ordered[max(1, math.ceil(s * 7)) - 1] for s in shares}
+
+
+def test_quantiles_of_many_columns_share_their_passes(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(10**9), rng.randrange(5), None if i % 3 else i, None)
+            for i in range(2000)]
+    df = spark.createDataFrame(rows, "a BIGINT, `b.c` INT, c INT, d INT").repartition(4)
+    columns, shares = ["a", "b.c", "c", "d"], [0.25, 0.5, 0.75]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("quantiles", "")
+    got = {(r["column"], r["share"]): r["value"]
+           for r in explore.exact_quantiles_of(df, columns, shares).collect()}
+    jobs = len(tracker.getJobIdsForGroup("quantiles"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for i, name in enumerate(columns):
+        values = [r[i] for r in rows if r[i] is not None]
+        expected = np.quantile(values, shares, method="inverted_cdf") if values else [None] * 3
+        assert [got.get((name, s)) for s in shares] == list(expected)
+    # A look, three passes for the widest column, and the result: a few jobs each; nine
+    # quantiles one after the other would take about sixty.
+    assert jobs <= 16
+    summed = {r["column"]: r for r in explore.summary(df.drop("b.c"), ["a", "c", "d"]).collect()}
+    assert summed["a"]["median"] == got["a", 0.5] and summed["d"]["median"] is None
+
+
 def lag_rows(n=600):
     rng = random.Random(2)
     ids = rng.sample(range(5000), n)
