@@ -45,6 +45,23 @@ def cust_full(spark, sf_dir):
     return _rolled(views.tx_events(spark, sf_dir), [only])
 
 
+def bucketed_events(spark, sf_dir, buckets: int = 8):
+    """The events as a table in buckets by customer, in the order of time."""
+    path = work_folder(spark, "bucketed")
+    name = "ledgerlens_" + path.rsplit("-", 1)[1]
+    tx = views.tx_events(spark, sf_dir).select("transaction_id", TIME, "customer_id", "tx_amount")
+    sinks.save_bucketed(tx, name, path, ["customer_id"], [TIME], buckets)
+    return spark.table(name)
+
+
+@query(f"WITH {views.TX} SELECT transaction_id, {_items(FULL_ITEMS)} FROM tx")
+def cust_full_bucketed(spark, sf_dir):
+    """From a table whose files are by customer: without an exchange."""
+    group = presets.customer_group()
+    only = replace(group, requests=group.requests[:1])
+    return _rolled(bucketed_events(spark, sf_dir), [only])
+
+
 @query(f"WITH {views.TX} SELECT transaction_id, {_items(HIST_ITEMS)} FROM tx")
 def cust_hist(spark, sf_dir):
     group = presets.customer_group()

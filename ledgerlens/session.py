@@ -27,12 +27,19 @@ DEFAULTS = {
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def local_session(cores: int | str = "*", app: str = "ledgerlens", **conf: str) -> SparkSession:
-    """Session for tests and the bench; clusters bring their own through spark-submit."""
+def local_session(
+    cores: int | str = "*", app: str = "ledgerlens", hive: bool = False, **conf: str
+) -> SparkSession:
+    """Session for tests and the bench; clusters bring their own through spark-submit.
+
+    ``hive`` keeps tables in a Hive metastore, where Spark was built with it.
+    """
     quiet = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in {**DEFAULTS, **quiet, **conf}.items():
         builder = builder.config(key, value)
+    if hive:
+        builder = builder.enableHiveSupport()
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -98,6 +98,20 @@ def test_nested_groups_share_one_shuffle(table):
     assert exchanges(frames.rolling(table, "t", groups())) == 1
 
 
+def test_a_table_in_buckets_needs_no_shuffle(spark, sf_dir):
+    from checks import QUERIES
+    from checks.windows import bucketed_events
+
+    request = Request("tx_amount", frames.frames({"w": (-86400, 0)}), {"count", "avg"})
+    wide = frames.rolling(
+        bucketed_events(spark, sf_dir), "unix_time", [Group(("customer_id",), (request,))])
+    assert exchanges(wide) == 0
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    plain = QUERIES["cust_full"](spark, sf_dir)
+    assert same_rows(QUERIES["cust_full_bucketed"](spark, sf_dir), plain)
+
+
 def test_slices_do_not_change_values(spark):
     rows = [(i, 1, t, i) for i, t in enumerate(range(0, 40_000_000, 997_331))]
     df = spark.createDataFrame(rows, "id BIGINT, k INT, t BIGINT, amount BIGINT")
