@@ -5,11 +5,17 @@ Spark's text sink writes the members, which gives its commit protocol (a lost ta
 nothing behind); the separator it puts after each row is an empty gzip member, so the files
 are plain gzip. Of pages with equal payloads only one carries the payload.
 
-Reading: files are cut into byte ranges. A task scans its range for the gzip magic, takes a
-candidate as a record only if it decodes to a record header and to a correct checksum, and
-is followed by another member or the end of the file; the first one in a range must be
-followed by a chain of members, so archives inside a record are not taken for the archive. A task owns the records that start inside its range and reads the last of them to
-its end. It holds one block and one record.
+Reading takes two passes over byte ranges of the files.
+
+1. A task scans its range for the gzip magic. A candidate is a member that decodes, with a
+   correct checksum, and is followed by the magic or the end of the file. Archives inside a
+   stored record give candidates too, so nothing tells yet which ones are the archive's. From
+   each candidate members follow each other to the first one beyond the range, its exit.
+2. Members of the archive follow each other from the start of the file on: the exit of one
+   range is the entry of the next. Ranges are walked by file and in order, with some bytes for
+   each candidate. A task then reads its range from its entry on. It owns the records that
+   start inside the range and reads the last of them to its end. It holds one block and one
+   record.
 """
 
 import base64
@@ -18,6 +24,7 @@ import zlib
 from collections.abc import Iterator
 from typing import Tuple
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -138,75 +145,121 @@ class _Blocks:
         return memoryview(self.data)[offset - self.start :]
 
 
-def _magic(blocks: _Blocks, offset: int, end: int) -> int | None:
-    """The first place in [offset, end) where the magic starts."""
-    while offset < end:
-        data = bytes(blocks.at(offset, len(MAGIC)))
-        found = data.find(MAGIC)
-        if found >= 0:
-            return offset + found if offset + found < end else None
-        if offset + len(data) >= blocks.size:
-            return None
-        offset += max(1, len(data) - len(MAGIC) + 1)
-    return None
-
+# Bytes that are unpacked at a time: what follows a member in them is copied.
+STEP = 16 << 10
 
-def _decode(blocks: _Blocks, offset: int) -> tuple[bytes, int] | None:
-    """Content and end of the member at ``offset``; None if there is no member.
 
-    The content of a member that is no record is empty. A record cut off by the end of the
-    file raises an error.
+def _magics(blocks: _Blocks, offset: int, end: int) -> Iterator[int]:
+    """All places in [offset, end) where the magic starts."""
+    while offset < end:
+        held = len(blocks.at(offset, len(MAGIC)))
+        data, at = blocks.data, offset - blocks.start
+        found = data.find(MAGIC, at, at + held)
+        while found >= 0 and blocks.start + found < end:
+            # The block may be another one when the next place is asked for.
+            offset = blocks.start + found + 1
+            yield offset - 1
+            held = len(blocks.at(offset, len(MAGIC)))
+            data, at = blocks.data, offset - blocks.start
+            found = data.find(MAGIC, at, at + held)
+        if offset + held >= blocks.size or found >= 0:
+            return
+        offset += max(1, held - len(MAGIC) + 1)
+
+
+def _unpacked(blocks: _Blocks, offset: int) -> Iterator[bytes | int]:
+    """Parts of the content of the member at ``offset``, then its end.
+
+    The end is that of the file for a member that the file cuts off, and None if there is no
+    member.
     """
-    unpacker, parts, is_record = zlib.decompressobj(31), [], None
-    at = offset
+    unpacker, at = zlib.decompressobj(31), offset
     while not unpacker.eof:
-        data = blocks.at(at)
+        data = blocks.at(at)[:STEP]
         if not len(data):
-            if is_record:
-                raise ValueError(f"record at byte {offset} is cut off by the end of the file")
-            return None
+            yield blocks.size
+            return
         try:
-            parts.append(unpacker.decompress(data))
+            yield unpacker.decompress(data)
         except zlib.error:
-            return None
+            yield None
+            return
         at += len(data)
-        if is_record is None and (unpacker.eof or sum(map(len, parts)) >= 7):
-            is_record = b"".join(parts).startswith(b"WARC/1.")
-        if is_record is False:
-            parts.clear()
     end = at - len(unpacker.unused_data)
-    follows = bytes(blocks.at(end, len(MAGIC))[: len(MAGIC)])
-    return (b"".join(parts), end) if follows in (b"", MAGIC) else None
+    yield end if bytes(blocks.at(end, len(MAGIC))[: len(MAGIC)]) in (b"", MAGIC) else None
 
 
-CHAIN = 16
+def _end(blocks: _Blocks, offset: int) -> int | None:
+    """End of the member at ``offset``; None if there is no member."""
+    last = None
+    for last in _unpacked(blocks, offset):
+        pass
+    return last
 
 
-def _chained(blocks: _Blocks, offset: int) -> bool:
-    """Whether members follow each other from ``offset`` on, to the end of the file or so many."""
-    for _ in range(CHAIN):
-        member = _decode(blocks, offset)
-        if member is None:
-            return False
-        offset = member[1]
-        if offset >= blocks.size:
-            break
-    return True
+def candidates(blocks: _Blocks, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members that start in [start, end), and the first place from ``end`` on that members
+    following each other from there reach."""
+    ends = {at: _end(blocks, at) for at in _magics(blocks, start, end)}
+    exits: dict[int, int] = {}
+    for at in sorted(ends, reverse=True):
+        after = ends[at]
+        found = after if after is None or after >= end else exits.get(after)
+        if found is not None:
+            exits[at] = found
+    starts = sorted(exits)
+    return np.array(starts, np.int64), np.array([exits[at] for at in starts], np.int64)
+
+
+def entry(starts: np.ndarray, exits: np.ndarray, expected: int, end: int) -> tuple[int | None, int]:
+    """Where the archive enters a range that ends at ``end``, and where the next one.
+
+    ``expected`` is the exit of the ranges before. Where no member starts there (what is
+    between members is damaged) the archive goes on with the next candidate.
+    """
+    place = int(np.searchsorted(starts, expected))
+    if expected >= end or place == len(starts):
+        return None, expected
+    return int(starts[place]), int(exits[place])
+
+
+def records(blocks: _Blocks, offset: int, end: int) -> Iterator[bytes]:
+    """Records of members that follow each other from ``offset`` on and start before ``end``.
+
+    A record that is cut off by the end of the file raises an error.
+    """
+    while offset < end:
+        parts, is_record, after = [], None, None
+        for part in _unpacked(blocks, offset):
+            if not isinstance(part, bytes):
+                after = part
+                break
+            if is_record is not False:
+                parts.append(part)
+            if is_record is None and sum(map(len, parts)) >= 7:
+                is_record = b"".join(parts).startswith(b"WARC/1.")
+                if not is_record:
+                    parts.clear()
+        if after is None:
+            return
+        if is_record:
+            record = b"".join(parts)
+            if after == blocks.size and not _whole(blocks, offset):
+                raise ValueError(f"record at byte {offset} is cut off by the end of the file")
+            yield record
+        offset = after
 
 
-def records(blocks: _Blocks, start: int, end: int) -> Iterator[bytes]:
-    """Records that start in [start, end)."""
-    offset, known = start, 0  # members are known to follow each other from here on
-    while (found := _magic(blocks, offset, end)) is not None:
-        sure = found == known or _chained(blocks, found)
-        member = _decode(blocks, found) if sure else None
-        if member is None:
-            offset = found + 1
-            continue
-        known = member[1]
-        if member[0]:
-            yield member[0]
-        offset = member[1]
+def _whole(blocks: _Blocks, offset: int) -> bool:
+    """Whether the last member of a file ends."""
+    unpacker = zlib.decompressobj(31)
+    while not unpacker.eof:
+        data = blocks.at(offset)[:STEP]
+        if not len(data):
+            return False
+        unpacker.decompress(data)
+        offset += len(data)
+    return True
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -239,6 +292,39 @@ def parse(record: bytes) -> tuple:
             digest, bare("warc-refers-to"), length, payload)
 
 
+def _scan_ranges(block: int):
+    """Ranges (path, start, end) with their candidates, as packed numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, start, end in zip(*(column.to_pylist() for column in batch.columns)):
+                found = candidates(_Blocks(path, block), start, end)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path]), pa.array([start], pa.int64()), pa.array([end], pa.int64()),
+                     *(pa.array([values.tobytes()], pa.binary()) for values in found)],
+                    ["path", "start", "end", "starts", "exits"])
+
+    return run
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges by file and start to (path, entry, end) of those that the archive enters."""
+    current, expected = None, 0
+    for batch in batches:
+        rows = []
+        for path, _, end, starts, exits in zip(*(c.to_pylist() for c in batch.columns)):
+            if path != current:
+                current, expected = path, 0
+            at, expected = entry(
+                np.frombuffer(starts, np.int64), np.frombuffer(exits, np.int64), expected, end)
+            if at is not None:
+                rows.append((path, at, end))
+        path, at, end = zip(*rows) if rows else ([], [], [])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(path, pa.string()), pa.array(at, pa.int64()), pa.array(end, pa.int64())],
+            ["path", "entry", "end"])
+
+
 def _read_ranges(block: int, batch_bytes: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
@@ -276,9 +362,14 @@ def read_archive(spark: SparkSession, path: str, split_bytes: int = 32 << 20,
         F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))
     ).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, "length"))
+    tasks = min(100_000, max(1, -(-total // split_bytes)) * 2)
+    scanned = ranges.repartition(tasks).mapInArrow(
+        _scan_ranges(block_bytes),
+        "path string, start long, end long, starts binary, exits binary")
+    linked = scanned.repartition("path").sortWithinPartitions("path", "start").mapInArrow(
+        _link, "path string, entry long, end long")
     schema = pa.schema([
         (name, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[kind])
         for name, kind in (part.split() for part in SCHEMA.split(", "))])
-    tasks = min(100_000, max(1, -(-total // split_bytes)) * 2)
-    return ranges.repartition(tasks).mapInArrow(
+    return linked.repartition(tasks).mapInArrow(
         _read_ranges(block_bytes, 16 << 20, schema), SCHEMA)

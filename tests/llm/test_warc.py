@@ -76,6 +76,31 @@ def test_empty_table(spark):
     assert warc.read_archive(spark, path).collect() == []
 
 
+def walked(file, split):
+    """Ids of the records, range by range."""
+    blocks, found, expected = warc._Blocks(str(file.as_uri()), 100), [], 0
+    for start in range(0, blocks.size, split):
+        end = min(blocks.size, start + split)
+        at, expected = warc.entry(*warc.candidates(blocks, start, end), expected, end)
+        if at is not None:
+            found += [warc.parse(r)[0] for r in warc.records(blocks, at, end)]
+    return found
+
+
+@pytest.mark.parametrize("inside", [1, 15, 16, 60, 200])
+def test_archives_inside_a_record_stay_there(spark, inside, tmp_path):
+    """Stored, not packed, so that every member of the inner archive looks like a member."""
+    inner = b"".join(warc._member(f"urn:in{i}", None, bytes(30), None, "d") for i in range(inside))
+    outer = gzip.decompress(warc._member("urn:outer", None, inner, None, "d"))
+    around = [warc._member(f"urn:{i}", None, b"x" * 300, None, "d") for i in range(2)]
+    file = Path(tmp_path) / "a.warc.gz"
+    file.write_bytes(around[0] + gzip.compress(outer, compresslevel=0) + around[1])
+    for split in (61, 1000, 4000, 1 << 20):
+        assert walked(file, split) == ["urn:0", "urn:outer", "urn:1"]
+    got = warc.read_archive(spark, tmp_path.as_uri(), split_bytes=1000).collect()
+    assert sorted(r["record_id"] for r in got) == ["urn:0", "urn:1", "urn:outer"]
+
+
 @pytest.mark.parametrize("split", [7, 64, 1000, 1 << 30])
 def test_ranges_of_any_size_give_every_record_once(spark, split, tmp_path):
     """Among them members with the magic inside: one stored, not packed, and one of another kind."""
@@ -86,11 +111,7 @@ def test_ranges_of_any_size_give_every_record_once(spark, split, tmp_path):
     members.insert(3, gzip.compress(b"no record" * 9))
     file = Path(tmp_path) / "a.warc.gz"
     file.write_bytes(b"".join(m + warc.EMPTY_MEMBER * (i % 2) for i, m in enumerate(members)))
-    blocks = warc._Blocks(str(file.as_uri()), 100)
-    found = []
-    for start in range(0, blocks.size, split):
-        found += [warc.parse(r)[0] for r in
-                  warc.records(blocks, start, min(blocks.size, start + split))]
+    found = walked(file, split)
     assert sorted(found) == sorted(["urn:outer", *(f"urn:{i}" for i in range(12))])
     got = warc.read_archive(spark, tmp_path.as_uri(), split_bytes=max(64, split)).collect()
     assert sorted(r["record_id"] for r in got) == sorted(found)
