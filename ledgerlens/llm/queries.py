@@ -69,8 +69,8 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now, grown = sharding.tree([1.0] * 8), sharding.tree([1.0] * 9)
-    placed = sharding.shards(read(spark, sf_dir, "documents"), now, grown)
+    now = sharding.tree([1.0] * 8)
+    placed = sharding.shards(read(spark, sf_dir, "documents"), now, sharding.grow(now, [1.0]))
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
                          "slot", "grown_shard")
 

@@ -4,7 +4,8 @@ A row descends from the root over region and rack to a shard. At each node every
 draws -ln(u) / weight, where u is a hash of the row's key and the child's name, and the
 smallest draw wins. A child wins in proportion to its weight, and a change of weight moves
 rows only to or from the child that changed, so movement stays in the subtrees whose
-weights change. Adding a shard as a region of its own moves rows only into that shard.
+weights change. A tree grows at its root: every added shard is a region of its own beside the
+ones that are there, whose weights stay, so rows move only into the added shard.
 """
 
 from dataclasses import dataclass
@@ -34,7 +35,11 @@ def inner(name: str, children: list[Node]) -> Node:
 
 
 def tree(weights: list[float], per_rack: int = 2, racks: int = 2) -> Node:
-    """Shards in racks in regions, filled in the order of their numbers."""
+    """Shards in racks in regions, filled in the order of their numbers.
+
+    This is how a tree begins. A tree of more weights is another tree, in which rows move
+    among the old shards too: use :func:`grow` for shards that come later.
+    """
     shards = [Node(f"shard {i}", w, i) for i, w in enumerate(weights) if w > 0]
     groups: dict[tuple[int, int], list[Node]] = {}
     for node in shards:
@@ -46,6 +51,21 @@ def tree(weights: list[float], per_rack: int = 2, racks: int = 2) -> Node:
     return inner("root", [inner(f"region {r}", members) for r, members in regions.items()])
 
 
+def numbers(node: Node) -> list[int]:
+    """Numbers of the shards of a tree."""
+    if node.shard is not None:
+        return [node.shard]
+    return [number for child in node.children for number in numbers(child)]
+
+
+def grow(root: Node, weights: list[float]) -> Node:
+    """The tree with a shard more for each weight, numbered on; each is a region of its own."""
+    first = max(numbers(root)) + 1
+    added = [inner(f"region of shard {first + i}", [Node(f"shard {first + i}", weight, first + i)])
+             for i, weight in enumerate(weights)]
+    return inner("root", [*root.children, *added])
+
+
 def draw(key: Column, node: Node) -> Column:
     """Exponential draw of a node for a key; the smallest of several wins."""
     mixed = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.lit(node.name), key), 11)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import struct
 import zlib
+from collections import Counter
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import sharding
@@ -48,8 +53,39 @@ def moves(spark, before, after):
     return {(r["a"], r["b"]) for r in pairs.filter("a != b").distinct().collect()}
 
 
-def test_a_new_region_takes_rows_only_into_itself(spark):
-    assert {b for _, b in moves(spark, sharding.tree([1.0] * 8), sharding.tree([1.0] * 9))} == {8}
+@pytest.mark.parametrize("base", [1, 5, 8])
+def test_every_added_shard_takes_rows_only_into_itself(spark, base):
+    """The law and the shares for every count from the base to 20."""
+    trees = [sharding.tree([1.0] * base)]
+    while len(sharding.numbers(trees[-1])) < 20:
+        trees.append(sharding.grow(trees[-1], [1.0]))
+    columns = [sharding.descend(F.col("key"), node).alias(f"n{i}") for i, node in enumerate(trees)]
+    rows = keys(spark).select(columns).collect()
+    for i, node in enumerate(trees):
+        counts = Counter(r[i] for r in rows)
+        assert sorted(counts) == list(range(base + i))
+        assert all(abs(n * (base + i) / 40_000 - 1) < 0.12 for n in counts.values())
+        assert not i or all(r[i] in (r[i - 1], base + i - 1) for r in rows)
+    assert sharding.numbers(sharding.grow(trees[0], [1.0] * 3)) == list(range(base + 3))
+
+
+def plain_shard(key, node):
+    """The draws one by one, with the hash as the xxhash library has it."""
+    if node.shard is not None:
+        return node.shard
+    draws = []
+    for i, child in enumerate(node.children):
+        h = 42
+        for part in (struct.pack("<i", sharding.SEED), child.name.encode(), struct.pack("<q", key)):
+            h = xxhash.xxh64_intdigest(part, h)
+        draws.append((-math.log(((h >> 11) + 0.5) / 2.0**53) / child.weight, i))
+    return plain_shard(key, node.children[min(draws)[1]])
+
+
+def test_draws_one_by_one(spark):
+    node = sharding.grow(sharding.tree([1.0, 2.5, 0.0, 3.0, 1.0, 1.0, 0.25]), [2.0, 1.0])
+    rows = keys(spark, 3000).select("key", sharding.descend(F.col("key"), node).alias("s")).collect()
+    assert all(plain_shard(r["key"], node) == r["s"] for r in rows)
 
 
 def test_movement_stays_where_weights_change(spark):
