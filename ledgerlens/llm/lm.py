@@ -1,7 +1,8 @@
 """Scores of texts by a bigram model whose counts are held in a Bloom filter.
 
 1. Words and pairs of words are hashed and counted: each task adds up what it reads, counts
-   meet by the leading bits of the hash, in buckets that grow in number with the text.
+   meet by the leading bits of the hash, in buckets that grow in number with the text. What
+   a task has for a bucket travels as one packed row.
 2. A count c enters the filter as its quantised logarithm: the n-gram is stored once for
    each level from 1 to 1 + floor(log2(c)). To look a count up, levels are probed until one
    is missing; the middle of the last level's range is taken. A bucket of n-grams has a part
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import power_of_two
+from ledgerlens.llm.common import power_of_two, short_batches
 from ledgerlens.session import cut_lineage, remove_folder, work_folder
 
 SEED = 42
@@ -106,7 +107,7 @@ def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int32)
 
 
-COUNTS = "bucket int, size int, ngram long, rows long"
+COUNTS = "bucket int, size int, ngrams binary, rows binary"
 
 
 def _count(bits: int):
@@ -119,10 +120,15 @@ def _count(bits: int):
         def send(single, pairs):
             for size, parts in ((1, single), (2, pairs)):
                 keys, rows = _summed(parts, [np.ones(len(p), np.int64) for p in parts])
+                # Keys are in order, so those of a bucket are together.
+                buckets, first = np.unique(_bucket(keys, bits), return_index=True)
+                ends = [*first[1:].tolist(), len(keys)]
+                packed = [[values[a:b].tobytes() for a, b in zip(first.tolist(), ends)]
+                          for values in (keys, rows)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_bucket(keys, bits)), pa.array(np.full(len(keys), size, np.int32)),
-                     pa.array(keys.view(np.int64)), pa.array(rows)],
-                    ["bucket", "size", "ngram", "rows"])
+                    [pa.array(buckets), pa.array(np.full(len(buckets), size, np.int32)),
+                     *(pa.array(values, pa.binary()) for values in packed)],
+                    ["bucket", "size", "ngrams", "rows"])
 
         single, pairs, held = [], [], 0
         for batch in batches:
@@ -173,18 +179,15 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array([v], k) for v, k in zip(row, kinds)], names)
 
     for batch in batches:
-        bucket, size, ngram, rows = (c.to_numpy() for c in batch.columns)
-        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        for a, b in zip(cuts, [*cuts[1:], len(bucket)]) if len(bucket) else ():
-            if current is not None and bucket[a] != current:
+        for bucket, size, ngrams, rows in zip(*batch.columns):
+            bucket = bucket.as_py()
+            if current is not None and bucket != current:
                 yield done(current)
-            current = int(bucket[a])
-            for s in (1, 2):
-                some = size[a:b] == s
-                held[s][0].append(ngram[a:b][some].view(np.uint64))
-                held[s][1].append(rows[a:b][some])
-                if len(held[s][0]) > 64:  # add up now and then
-                    held[s] = tuple([part] for part in _summed(*held[s]))
+            current, parts = bucket, held[size.as_py()]
+            parts[0].append(np.frombuffer(ngrams.as_py(), np.uint64))
+            parts[1].append(np.frombuffer(rows.as_py(), np.int64))
+            if len(parts[0]) > 64:  # add up now and then
+                held[size.as_py()] = tuple([part] for part in _summed(*parts))
     if current is not None:
         yield done(current)
 
@@ -322,7 +325,9 @@ def _joined(parts: DataFrame, part_bits: int, first: int, held: int) -> np.ndarr
     """The bytes of ``held`` buckets from ``first`` on."""
     size = part_bits // 8
     out = np.zeros(held * size, np.uint8)
-    made = parts.filter(F.col("bucket").between(first, first + held - 1)).toArrow()
+    # A row has all n-grams of a bucket.
+    with short_batches(parts.sparkSession, 8):
+        made = parts.filter(F.col("bucket").between(first, first + held - 1)).toArrow()
     for bucket, part in zip(made.column("bucket"), made.column("part")):
         at = (bucket.as_py() - first) * size
         out[at : at + size] = np.frombuffer(part.as_buffer(), np.uint8)
@@ -337,7 +342,8 @@ def learn(texts: DataFrame, rule: Rule = Rule(), text: str = "text") -> Model:
     bits = power_of_two(size, rule.bucket_bytes)
     counted = texts.select(content).mapInArrow(_count(bits), COUNTS)
     gathered = counted.repartition("bucket").sortWithinPartitions("bucket")
-    counts = cut_lineage(gathered.mapInArrow(_gather, BUCKETS), "ngram-counts")
+    with short_batches(texts.sparkSession):
+        counts = cut_lineage(gathered.mapInArrow(_gather, BUCKETS), "ngram-counts")
     n_words, n_tokens, n_levels = counts.agg(
         *(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_tokens", "n_levels"))).first()
     whole = int(n_levels * rule.bits_per_level)
@@ -350,7 +356,8 @@ def learn(texts: DataFrame, rule: Rule = Rule(), text: str = "text") -> Model:
         _build(rule.probes, part_bits, bucket_bits, more), "bucket int, part binary")
     sliced = held < 1 << bucket_bits
     if sliced:
-        parts = cut_lineage(parts, "filter-parts")
+        with short_batches(texts.sparkSession, 8):
+            parts = cut_lineage(parts, "filter-parts")
     highest = int(levels(np.array([max(1, n_tokens)]))[0])
     filter_ = Filter(
         _joined(parts, part_bits, 0, held), part_bits, bucket_bits, rule.probes, highest)
@@ -559,7 +566,8 @@ def score(docs: DataFrame, model: Model, rule: Rule = Rule(), doc_id: str = "doc
     every count is zero.
     """
     spark = docs.sparkSession
-    counts = cut_lineage(word_counts(model), "word-counts")
+    with short_batches(spark, 8):
+        counts = cut_lineage(word_counts(model), "word-counts")
     words, rows, _ = head_of(counts, rule.head)
     totals = (model.n_texts, model.n_tokens, model.n_words)
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -572,8 +580,9 @@ def score(docs: DataFrame, model: Model, rule: Rule = Rule(), doc_id: str = "doc
         shared = spark.sparkContext.broadcast((words, rows))
         marked = _looked_up(named, model).select("doc_id", _sliced_score_column(
             F.col("text"), F.col("levels"), shared, totals, rule.weight).alias("s"))
-    scored = cut_lineage(
-        marked.select("doc_id", "s.*", F.monotonically_increasing_id().alias("row")), "scored")
+    with short_batches(spark):
+        scored = cut_lineage(
+            marked.select("doc_id", "s.*", F.monotonically_increasing_id().alias("row")), "scored")
     rest = scored.select("row", F.inline("rest"))
     exact = rest.join(counts, "word", "left").select(
         "row", "times", F.coalesce("rows", F.lit(0)).alias("rows"))
