@@ -149,7 +149,7 @@ def mixture(docs: DataFrame, rule: Mix = Mix(), doc_id: str = "doc_id", text: st
     cuts = cut_lineage(plan(docs, rule, doc_id, text, source)[1], "mix-ends")
     names = docs.columns
     keyed = docs.select(
-        F.struct(*names).alias("_row"), F.col(source).alias("_name"),
+        F.struct(*[F.col(f"`{name}`") for name in names]).alias("_row"), F.col(source).alias("_name"),
         (word_count(text) > 0).alias("_any"), mix_key(doc_id, text, rule.seed).alias("_key"))
     placed = keyed.join(
         small_side(cuts), F.col("_name").eqNullSafe(F.col("source")), "left")

@@ -121,7 +121,7 @@ def test_edge_rows(spark, sf_dir, name):
                                   "n_chars long")
     # Names that a stage could want for itself.
     clash = {c: F.lit(1) for c in ("_score", "_mark", "_root", "fingerprint", "_row", "ids",
-                                   "component_id", "size", "epochs", "_first_id", "_key")}
+                                   "component_id", "size", "epochs", "_first_id", "_key", "a.b")}
     for docs in (frame, frame.withColumns(clash)):
         some = stage(name)(spark, docs, sf_dir)
         rows = some.collect()
