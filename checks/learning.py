@@ -205,6 +205,19 @@ def model_scores_large(spark, sf_dir):
     return evaluate.binary_metrics(pipeline.fit(rows).transform(split), by=["split"])
 
 
+@query(f"""WITH {_PERFECT} SELECT split, tp, fp, fn, {_METRICS}, true AS stopped FROM c""")
+def model_stopped(spark, sf_dir):
+    """Boosting that ends when held-out rows are predicted no better, long before 50 rounds."""
+    table = _training(spark, sf_dir)
+    split = model.add_time_split(table, TIME)
+    rows = model.add_class_weight(split.filter(F.col("split") == "train"))
+    pipeline = model.boosted_trees(model.model_inputs(table), validation=model.VALIDATION)
+    fitted = pipeline.fit(model.add_validation(rows, "transaction_id"))
+    stopped = fitted.stages[-1].getNumTrees < model.STANDARD_MODEL["maxIter"]
+    return evaluate.binary_metrics(fitted.transform(split), by=["split"]).withColumn(
+        "stopped", F.lit(stopped))
+
+
 def _forest(spark, sf_dir):
     """Every tree may look at all inputs, and so finds the one that decides."""
     table = _training(spark, sf_dir)

@@ -113,6 +113,11 @@ def after_warmup(df: DataFrame, source: DataFrame, time: str, seconds: int) -> D
 def stable_sample(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
     """About ``share`` of the rows, chosen by a digest of their key: the same in every run
     and in every engine that has MD5."""
+    return df.filter(in_stable_sample(key, share, seed))
+
+
+def in_stable_sample(key: str, share: float, seed: int = 42) -> Column:
+    """Whether a row is one of :func:`stable_sample`."""
     digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed)))
     place = F.conv(F.substr(digest, F.lit(1), F.lit(8)), 16, 10).cast("bigint")
-    return df.filter(place < int(share * 2**32))
+    return place < int(share * 2**32)

@@ -8,6 +8,7 @@ from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.derive import in_stable_sample
 from ledgerlens.operators.explore import approx_quantile, exact_quantiles
 from ledgerlens.operators.sketches import written_quantile
 from ledgerlens.schema import NOT_MODEL_INPUTS
@@ -72,6 +73,16 @@ def add_class_weight(df: DataFrame, label: str = "tx_fraud") -> DataFrame:
     return df.withColumn("weight", F.when(F.col(label) == 1, ratio).otherwise(1.0))
 
 
+VALIDATION = "validation"
+
+
+def add_validation(df: DataFrame, key: str, share: float = 0.1, seed: int = 7) -> DataFrame:
+    """Column ``validation``: whether a row is held out of the training, by a digest of its
+    key, to tell when boosting has learned enough."""
+    held_out = F.coalesce(in_stable_sample(key, share, seed), F.lit(False))
+    return df.withColumn(VALIDATION, held_out)
+
+
 def model_inputs(df: DataFrame, also_out: list[str] | None = None) -> list[str]:
     skipped = {*NOT_MODEL_INPUTS, *(also_out or [])}
     return [name for name in df.columns if name not in skipped]
@@ -87,12 +98,19 @@ def boosted_trees(
     label: str = "tx_fraud",
     weight: str | None = "weight",
     categories: list[str] | None = None,
+    validation: str | None = None,
     **params,
 ) -> Pipeline:
     """Vector of the inputs, then gradient-boosted trees.
 
-    ``categories`` are indexed and one-hot encoded in front of the vector.
+    ``categories`` are indexed and one-hot encoded in front of the vector. With a
+    ``validation`` column (:func:`add_validation`) boosting ends when its rows are no longer
+    predicted better; the rows' places in the trees are kept between rounds and written to
+    the checkpoint folder every ten, so a lost executor costs ten rounds at most.
     """
+    if validation:
+        params = {"validationIndicatorCol": validation, "cacheNodeIds": True,
+                  "checkpointInterval": 10, **params}
     trees = GBTClassifier(
         labelCol=label, featuresCol="features", **{**STANDARD_MODEL, **params}
     )

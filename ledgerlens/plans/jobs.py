@@ -253,9 +253,12 @@ def train(
 
 def train_table(
     spark: SparkSession, table: DataFrame, models: str, runs: str, split_error: float = 0.01,
-    **params,
+    held_out: float = 0.0, **params,
 ) -> dict:
-    """:func:`train` on a training table."""
+    """:func:`train` on a training table.
+
+    With ``held_out`` that share of the training rows decides when boosting ends.
+    """
     number = _claimed_number(spark, runs)
     path = f"{models.rstrip('/')}/run-{number}"
     if folder_exists(spark, path):
@@ -265,6 +268,9 @@ def train_table(
     split = model.add_time_split(table, TIME, 0.8, split_error)
     train_rows = split.filter(F.col("split") == "train")
     weighted = model.add_class_weight(train_rows)
+    if held_out:
+        weighted = model.add_validation(weighted, "transaction_id", held_out)
+        params = {"validation": model.VALIDATION, **params}
     fitted = model.boosted_trees(inputs, **params).fit(weighted)
     model.save_model(fitted, path)
     listed = spark.createDataFrame(list(enumerate(inputs)), "position INT, feature STRING")

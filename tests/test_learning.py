@@ -136,6 +136,18 @@ def test_categories_enter_the_vector(spark, sf_dir):
     assert scored.schema["features"].metadata["ml_attr"]["num_attrs"] == 25
 
 
+def test_boosting_ends_when_held_out_rows_gain_nothing(spark):
+    rows = small_table(spark)
+    held = model.add_validation(rows, "transaction_id", 0.3)
+    assert 30 < held.filter("validation").count() < 90
+    assert same_rows(held, model.add_validation(rows.repartition(3), "transaction_id", 0.3))
+    fitted = model.boosted_trees(["kind"], weight=None, validation="validation").fit(held)
+    assert 1 <= fitted.stages[-1].getNumTrees < 50
+    whole = model.boosted_trees(["kind"], weight=None, maxIter=20).fit(rows)
+    assert whole.stages[-1].getNumTrees == 20
+    assert fitted.transform(rows).filter("prediction != tx_fraud").count() == 0
+
+
 def small_table(spark):
     rows = [(i, i % 4, int(i % 4 == 2), i * 1000) for i in range(200)]
     return spark.createDataFrame(rows, "transaction_id INT, kind INT, tx_fraud INT, unix_time BIGINT")
