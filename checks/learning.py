@@ -211,7 +211,8 @@ def model_stopped(spark, sf_dir):
     table = _training(spark, sf_dir)
     split = model.add_time_split(table, TIME)
     rows = model.add_class_weight(split.filter(F.col("split") == "train"))
-    pipeline = model.boosted_trees(model.model_inputs(table), validation=model.VALIDATION)
+    pipeline = model.boosted_trees(
+        model.model_inputs(table), validation=model.VALIDATION, validationTol=0.05)
     fitted = pipeline.fit(model.add_validation(rows, "transaction_id"))
     stopped = fitted.stages[-1].getNumTrees < model.STANDARD_MODEL["maxIter"]
     return evaluate.binary_metrics(fitted.transform(split), by=["split"]).withColumn(
