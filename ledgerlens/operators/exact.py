@@ -179,6 +179,22 @@ def spread(n: str, sum_digits: str, square_digits: str, sum_count: int, square_c
     return f"named_struct('negative', false, 'd', {_carried(limbs)})"
 
 
+def as_decimal(totals: list[str]) -> str:
+    """A sum of limbs of whole numbers as a decimal; null where 38 digits are too few."""
+    parts = [f"try_multiply(cast({total} AS decimal(20, 0)), "
+             f"cast('{2 ** (BITS * k)}' AS decimal(38, 0)))" for k, total in enumerate(totals)]
+    value = parts[0]
+    for part in parts[1:]:
+        value = f"try_add({value}, {part})"
+    return f"cast({value} AS decimal(38, 0))"
+
+
+def decimal_spread(n: str, s: str, q: str) -> str:
+    """n * q - s * s of decimals; null where 38 digits are too few."""
+    return (f"try_subtract(try_multiply(cast({n} AS decimal(20, 0)), {q}), "
+            f"try_multiply({s}, {s}))")
+
+
 def digit_count(totals: int) -> int:
     """Digits that :func:`digits` makes of that many totals."""
     return totals + 3

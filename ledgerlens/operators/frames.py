@@ -421,20 +421,24 @@ def _columns(request: Request, total, digits) -> dict[str, str]:
 def _limbed(n: str, moments: list[str], shape: exact.Layout, digits, ddof: int) -> dict[str, str]:
     """The sum, as a double too, and the deviation, from totals of limbs."""
     limbs, squares = moments[: shape.limbs], moments[shape.limbs :]
-    s = digits(exact.digits(limbs))
+    # Whole numbers mostly stay within decimals, which are faster than digits.
+    whole = exact.as_decimal(limbs) if shape.whole else ""
+    s = exact.digits(limbs) if shape.whole else digits(exact.digits(limbs))
     # An error where it does not fit, as sums of whole numbers are.
-    kind = "decimal(38, 0)"
-    whole = " + ".join(
-        f"cast({limb} AS {kind}) * {2 ** (exact.BITS * k)}" for k, limb in enumerate(limbs))
-    values = {"sum": f"bigint({whole})", "double": exact.nearest(s, shape.low)}
+    values = {"sum": f"bigint({whole})",
+              "double": f"double({whole})" if whole else exact.nearest(s, shape.low)}
     if squares:
-        q = digits(exact.digits(squares))
+        q = exact.digits(squares) if shape.whole else digits(exact.digits(squares))
         # Scaled by a power of two that no square can leave the doubles with.
         high = shape.low + exact.BITS * shape.limbs
         apart = exact.spread(n, s, q, exact.digit_count(shape.limbs),
                              exact.digit_count(shape.square_limbs))
         spread = exact.nearest(apart, 2 * (shape.low - high))
         values["std"] = f"(sqrt({spread} / {_weight(n, ddof)}) * {exact.power(high)})"
+        if whole:
+            found = exact.decimal_spread(n, whole, exact.as_decimal(squares))
+            small = f"sqrt(double({found}) / {_weight(n, ddof)})"
+            values["std"] = f"coalesce({small}, {values['std']})"
     return values
 
 
@@ -552,15 +556,16 @@ def rolling_over_seconds(
 def looked(
     df: DataFrame, requests: list[Request], keys: list[str], rule: HotRule | None
 ) -> tuple[list[Request], list[int]]:
-    """Requests with units, and what may be hot keys, by one look at amounts and keys."""
+    """Requests with units, and what may be hot keys, by a look at rows and amounts, and at the
+    keys of a table with more rows than a key needs to be hot."""
     looked_at = amounts_to_look_at(df, requests)
-    measures = amount_measures(looked_at) if looked_at else {}
-    if rule:
-        measures["heavy"] = heavy_items(keys, rule)
-    if not measures:
+    if not looked_at and not rule:
         return with_units(df, requests, {}, None), []
+    measures = amount_measures(looked_at)
     seen = df.agg(*[m.alias(name) for name, m in measures.items()]).first()
-    return with_units(df, requests, looked_at, seen), list(seen["heavy"]) if rule else []
+    hot = rule is not None and seen["rows"] > rule.rows
+    items = df.agg(heavy_items(keys, rule)).first()[0] if hot else []
+    return with_units(df, requests, looked_at, seen), list(items)
 
 
 def rolling(

@@ -79,6 +79,8 @@ def hot_keys(
     found the ``items`` already. Where nothing is frequent, nothing else is read or written.
     """
     if items is None:
+        if df.count() <= rule.rows:
+            return None
         items = df.agg(heavy_items(keys, rule)).first()[0]
     if not items:
         return None
