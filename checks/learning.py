@@ -226,7 +226,7 @@ def _forest(spark, sf_dir):
     rows = model.add_class_weight(split.filter(F.col("split") == "train"))
     pipeline = model.random_forest(
         model.model_inputs(table), numTrees=20, featureSubsetStrategy="all")
-    return pipeline.fit(rows), split
+    return model.fitted(pipeline, rows), split
 
 
 @query(f"WITH {_PERFECT} SELECT split, tp, fp, fn, {_METRICS} FROM c")

@@ -488,7 +488,7 @@ def features_since(spark, sf_dir):
         tx.withColumn(jobs.DAY, F.to_date("tx_datetime")), source, partition_by=[jobs.DAY])
     last = tx.agg(F.to_date(F.max("tx_datetime"))).first()[0]
     since = last - timedelta(days=DAYS_AGAIN)
-    jobs.features(spark, source, target, by_day=True, since=since)
+    jobs.features(spark, source, target, WARMUP, by_day=True, since=since)
     return spark.read.parquet(target).select(*_LATE)
 
 

@@ -127,7 +127,7 @@ def random_forest(
     """Vector of the inputs, then bagged trees that each look at some of the inputs.
 
     The trees do not depend on each other: a pass over the rows grows a level of many of
-    them at once, where boosting needs passes for each tree in turn.
+    them at once, where boosting needs passes for each tree in turn. Fit it by :func:`fitted`.
     """
     trees = RandomForestClassifier(
         labelCol=label, featuresCol="features", **{**FOREST, **params}
@@ -135,6 +135,16 @@ def random_forest(
     return _on_vector(inputs, categories, trees, weight)
 
 
+def fitted(pipeline: Pipeline, rows: DataFrame) -> PipelineModel:
+    """The pipeline fitted to the rows.
+
+    Forests keep a summary of their training, which holds on to the session; once anything
+    is observed in the session, such a model cannot be sent to the executors. A copy has no
+    summary.
+    """
+    return pipeline.fit(rows).copy()
+
+
 def _on_vector(inputs: list[str], categories: list[str] | None, trees, weight: str | None):
     stages = []
     vectors = []

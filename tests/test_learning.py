@@ -5,6 +5,7 @@ from datetime import timedelta
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from checks import views
@@ -149,6 +150,16 @@ def test_boosting_ends_when_held_out_rows_gain_nothing(spark):
     assert fitted.transform(rows).filter("prediction != tx_fraud").count() == 0
 
 
+def test_forests_in_a_session_that_observes(spark):
+    rows = small_table(spark)
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 200
+    forest = model.random_forest(["kind"], weight=None, numTrees=3, featureSubsetStrategy="all")
+    scored = model.fitted(forest, rows).transform(rows)
+    assert scored.filter("prediction != tx_fraud").count() == 0
+
+
 def small_table(spark):
     rows = [(i, i % 4, int(i % 4 == 2), i * 1000) for i in range(200)]
     return spark.createDataFrame(rows, "transaction_id INT, kind INT, tx_fraud INT, unix_time BIGINT")
