@@ -17,6 +17,8 @@ import math
 from dataclasses import dataclass
 
 BITS = 24
+# Up to so many limbs the plain expressions, which grow with their square, are short.
+PLAIN_LIMBS = 8
 _MASK = 2**BITS - 1
 _ONE = 2**BITS
 # Veltkamp's constant: cuts the 53 bits of a double into 26 and 26 and a sign.
@@ -40,6 +42,14 @@ class Layout:
     def square_limbs(self) -> int:
         return 6 if self.whole else 2 * self.limbs + 1
 
+    @property
+    def plain(self) -> bool:
+        """Whether totals are finished by plain arithmetic: a few limbs, and no power of two
+        on the way that is not a normal double. Others take functions over arrays, which Spark
+        does not compile."""
+        return (not self.whole and self.limbs <= PLAIN_LIMBS and self.low >= -900
+                and self.low + BITS * self.limbs <= 800)
+
     @property
     def mark(self) -> str:
         return "i" if self.whole else f"e{self.low}_{self.limbs}"
@@ -68,6 +78,11 @@ def power(exponent: int) -> str:
     return f"pow(2D, {exponent // 2}) * pow(2D, {exponent - exponent // 2})"
 
 
+def _two(exponent: int) -> str:
+    """A power of two that is a normal double."""
+    return f"{2.0**exponent!r}D"
+
+
 def _let(name: str, value: str, body: str) -> str:
     """``body`` with a name for a value that it uses several times."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
@@ -102,6 +117,12 @@ def limbs(value: str, shape: Layout) -> str:
     if shape.whole:
         cut = f"array(x & {_MASK}, shiftright(x, {BITS}) & {_MASK}, shiftright(x, {2 * BITS}))"
         return _let("x", f"coalesce({value}, 0L)", cut)
+    if shape.plain:
+        # Remainders and products by powers of two are exact, and keep the sign.
+        known = f"coalesce({value}, 0D)"
+        cut = [f"bigint(({known} % {_two(shape.low + BITS * (k + 1))}) * "
+               f"{_two(-shape.low - BITS * k)})" for k in range(shape.limbs)]
+        return f"array({', '.join(cut)})"
     each = _bits("m", f"(e - {shape.low} - {BITS} * k)")
     cut = _split(value, f"transform(sequence(0, {shape.limbs - 1}), k -> {each})")
     return f"if(coalesce({value}, 0D) = 0D, {_zeros(shape.limbs)}, {cut})"
@@ -125,6 +146,26 @@ def square_limbs(value: str, shape: Layout) -> str:
             f"{_split(value, halves)})")
 
 
+def _product(limbs: list[str], k: int) -> str:
+    """Limb ``k`` of the square of a number, not yet carried."""
+    pairs = [f"{limbs[i]} * {limbs[k - i]}" if 2 * i == k else f"2 * {limbs[i]} * {limbs[k - i]}"
+             for i in range(max(0, k - len(limbs) + 1), k // 2 + 1)]
+    return " + ".join(pairs) or "0L"
+
+
+def squares_from(column: str, shape: Layout) -> str:
+    """:func:`square_limbs` from a column that holds the limbs, of a plain layout.
+
+    Of the limbs of a double at most four next to each other are not zero, so no sum of
+    products leaves 3 * 2^48, and no limb of a square 2^26.
+    """
+    limb = [f"element_at({column}, {k + 1})" for k in range(shape.limbs)]
+    products = [_product(limb, k) for k in range(2 * shape.limbs - 1)]
+    low = [f"(({p}) & {_MASK}L)" for p in products] + ["0L", "0L"]
+    high = ["0L"] + [f"shiftright({p}, {BITS})" for p in products] + ["0L"]
+    return "array(" + ", ".join(f"{x} + {y}" for x, y in zip(low, high)) + ")"
+
+
 def _carried(limbs: str) -> str:
     """Digits below 2^24, from the lowest on, and what is carried out of them last."""
     return (f"aggregate({limbs}, named_struct('c', 0L, 'd', cast(array() AS array<bigint>)), "
@@ -179,6 +220,56 @@ def spread(n: str, sum_digits: str, square_digits: str, sum_count: int, square_c
     return f"named_struct('negative', false, 'd', {_carried(limbs)})"
 
 
+# The same with plain arithmetic, for layouts that are plain. Each digit is a column of its
+# own, and each step uses columns of the step before.
+
+
+def _carries(totals: list[str]) -> list[str]:
+    """Totals with what is carried into them, and what is carried out of them last."""
+    out, carry = [], "0L"
+    for total in totals:
+        out.append(f"({total} + {carry})")
+        carry = f"shiftright({out[-1]}, {BITS})"
+    return [*out, carry]
+
+
+def is_negative(totals: list[str]) -> str:
+    """Whether a sum of limbs is below zero."""
+    return f"({_carries(totals)[-1]} < 0)"
+
+
+def plain_digits(totals: list[str], negative: str | None = None) -> list[str]:
+    """Digits of a sum of limbs without its sign, two more than it has limbs.
+
+    ``negative`` is the column of :func:`is_negative`, for sums that can be below zero.
+    """
+    signed = [f"if({negative}, -{t}, {t})" for t in totals] if negative else totals
+    *own, last = _carries(signed)
+    return [f"({x} & {_MASK}L)" for x in [*own, last, f"shiftright({last}, {BITS})"]]
+
+
+def plain_nearest(d: list[str], exponent: int, negative: str | None = None) -> str:
+    """The double nearest to digits times a power of two.
+
+    From the first digit that is not zero on, four digits are at least 73 bits, in two doubles
+    whose sum is rounded once; the last bit also tells whether anything is below them.
+    """
+    cases = []
+    for j in reversed(range(len(d))):
+        first, second, third, fourth = (d[i] if i >= 0 else "0L" for i in range(j, j - 4, -1))
+        rest = f" | if(({' | '.join(d[:j - 3])}) <> 0, 1L, 0L)" if j > 3 else ""
+        head = (f"double({first} * {_ONE}L + {second}) * {_two(2 * BITS)} "
+                f"+ double(({third} * {_ONE}L + {fourth}){rest})")
+        cases.append(f"WHEN {first} <> 0 THEN ({head}) * {_two(exponent + BITS * (j - 3))}")
+    value = f"CASE {' '.join(cases)} ELSE 0D END"
+    return f"(if({negative}, -1D, 1D) * {value})" if negative else f"({value})"
+
+
+def plain_spread(n: str, s: list[str], q: list[str]) -> list[str]:
+    """Limbs of n * sum of squares - square of the sum, from their digits."""
+    return [f"({n} * {digit} - ({_product(s, k)}))" for k, digit in enumerate(q)]
+
+
 def as_decimal(totals: list[str]) -> str:
     """A sum of limbs of whole numbers as a decimal; null where 38 digits are too few."""
     parts = [f"try_multiply(cast({total} AS decimal(20, 0)), "

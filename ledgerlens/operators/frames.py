@@ -17,8 +17,10 @@ doubles themselves, whatever their size. They take longer, and are exact as well
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -196,6 +198,17 @@ def amounts_to_look_at(df: DataFrame, requests: Iterable[Request]) -> dict[str,
     }
 
 
+def _has_decimals(value: Column, digits: int) -> Column:
+    """Whether an amount is the double nearest to a number of so many decimals.
+
+    Rounding makes a decimal of each amount. Up to 10^15 units, where doubles tell all units
+    apart, a division says the same, and from 2^53 on doubles are whole.
+    """
+    size, units = F.abs(value), value * F.lit(10.0**digits)
+    return F.when(F.abs(units) < 1e15, F.rint(units) / F.lit(10.0**digits) == value).when(
+        size >= 2.0**53, True).otherwise(F.round(value, digits) == value)
+
+
 def amount_measures(looked_at: Mapping[str, bool]) -> dict[str, Column]:
     """What has to be known of the amounts, as aggregates: decimals and sizes."""
     measures = {"rows": F.count(F.lit(1))}
@@ -206,7 +219,7 @@ def amount_measures(looked_at: Mapping[str, bool]) -> dict[str, Column]:
         if fractional:
             measures[f"least:{target}"] = F.min(F.when(size > 0, size))
             for digits in DECIMALS:
-                measures[f"{digits}:{target}"] = F.count_if(F.round(value, digits) != value)
+                measures[f"{digits}:{target}"] = F.count_if(~_has_decimals(value, digits))
     return measures
 
 
@@ -259,15 +272,18 @@ def resolve(df: DataFrame, requests: Iterable[Request]) -> list[Request]:
 
 def prepared(df: DataFrame, requests: Iterable[Request]) -> DataFrame:
     """``df`` with the limbs of the amounts whose totals are kept in limbs."""
-    added = {}
+    added, squares = {}, {}
     for request in requests:
         shape = _shape(request.units or "1")
         if shape and request.has_moments:
             value, name = _units(request.target, request.units), f"{request.units}:{request.target}"
             added[f"_limbs:{name}"] = exact.limbs(value, shape)
             if "std" in request.aggs:
-                added[f"_squares:{name}"] = exact.square_limbs(value, shape)
-    return with_columns(df, df.columns, added) if added else df
+                squares[f"_squares:{name}"] = (
+                    exact.squares_from(f"`_limbs:{name}`", shape) if shape.plain
+                    else exact.square_limbs(value, shape))
+    wide = with_columns(df, df.columns, added) if added else df
+    return with_columns(wide, wide.columns, squares) if squares else wide
 
 
 def check_resolved(df: DataFrame, requests: Iterable[Request]) -> None:
@@ -360,34 +376,42 @@ class RunningTotals:
         return f"({upper} - {self.columns[part, frame.start - 1]})"
 
 
+# From totals to doubles, each step by columns of those before: totals over a frame, their
+# signs and digits, limbs and digits of the spread, the doubles.
+STEPS = ("part", "sign", "digits", "apart", "spread", "double")
+_MADE = re.compile(rf"\b_(?:{'|'.join(STEPS)})_\d+\b")
+
+
 def finish(df: DataFrame, keep: Iterable[str], wanted: Iterable[tuple]) -> DataFrame:
     """``keep`` and the columns of every (request, total) in ``wanted``, where
     ``total(part, frame)`` is the SQL expression of a total over a frame.
 
     The totals are computed in a projection of their own: several columns use each, and
     written out in every place they would make code too long to be compiled. So are the
-    digits of totals in limbs.
+    steps (:data:`STEPS`) from totals in limbs to doubles.
     """
     keep, wanted = list(keep), list(wanted)
-    parts: dict[str, str] = {}
-    digits: dict[str, str] = {}
+    steps: dict[str, dict[str, str]] = {step: {} for step in STEPS}
 
-    def named(names: dict[str, str], label: str, sql: str) -> str:
-        return names.setdefault(sql, f"_{label}_{len(names)}")
+    def named(step: str, sql: str) -> str:
+        return steps[step].setdefault(sql, f"_{step}_{len(steps[step])}")
 
     added: dict[str, str] = {}
     for request, total in wanted:
         added.update(_columns(
-            request, lambda part, frame: named(parts, "part", total(part, frame)),
-            lambda sql: named(digits, "digits", sql)))
-    out = with_columns(df, keep, {name: sql for sql, name in parts.items()})
-    if digits:
-        held = [*keep, *parts.values()]
-        out = with_columns(out, held, {name: sql for sql, name in digits.items()})
+            request, lambda part, frame: named("part", total(part, frame)), named))
+    out, made = df, []
+    for step, names in steps.items():
+        if names or step == STEPS[0]:
+            later = [*steps.values()][[*steps].index(step) + 1:]
+            used = set(_MADE.findall(" ".join([*added.values(), *chain(*later)])))
+            held = [name for name in made if name in used.union(*map(_MADE.findall, names))]
+            out = with_columns(out, [*keep, *held], {name: sql for sql, name in names.items()})
+            made = [name for name in [*held, *names.values()] if name in used]
     return with_columns(out, keep, added)
 
 
-def _columns(request: Request, total, digits) -> dict[str, str]:
+def _columns(request: Request, total, named) -> dict[str, str]:
     out: dict[str, str] = {}
     empty = "NULL" if request.empty is None else repr(request.empty)
     units = request.units or "1"
@@ -395,7 +419,8 @@ def _columns(request: Request, total, digits) -> dict[str, str]:
     for frame in request.frames:
         n, *moments = [total(part, frame) for part in request.parts]
         if shape and moments:
-            values = _limbed(n, moments, shape, digits, request.ddof)
+            limbed = _plainly_limbed if shape.plain else _limbed
+            values = limbed(n, moments, shape, named, request.ddof)
         elif moments:
             values = {"sum": moments[0], "double": f"double({moments[0]})"}
             if "std" in request.aggs:
@@ -418,17 +443,38 @@ def _columns(request: Request, total, digits) -> dict[str, str]:
     return out
 
 
-def _limbed(n: str, moments: list[str], shape: exact.Layout, digits, ddof: int) -> dict[str, str]:
+def _plainly_limbed(
+    n: str, moments: list[str], shape: exact.Layout, named, ddof: int
+) -> dict[str, str]:
+    """:func:`_limbed` for plain layouts."""
+    limbs, squares = moments[: shape.limbs], moments[shape.limbs :]
+
+    def each(step: str, made: list[str]) -> list[str]:
+        return [named(step, sql) for sql in made]
+
+    negative = named("sign", exact.is_negative(limbs))
+    s = each("digits", exact.plain_digits(limbs, negative))
+    values = {"double": named("double", exact.plain_nearest(s, shape.low, negative))}
+    if squares:
+        q = each("digits", exact.plain_digits(squares))
+        d = each("spread", exact.plain_digits(each("apart", exact.plain_spread(n, s, q))))
+        high = shape.low + exact.BITS * shape.limbs
+        spread = named("double", exact.plain_nearest(d, 2 * (shape.low - high)))
+        values["std"] = f"(sqrt({spread} / {_weight(n, ddof)}) * {exact.power(high)})"
+    return values
+
+
+def _limbed(n: str, moments: list[str], shape: exact.Layout, named, ddof: int) -> dict[str, str]:
     """The sum, as a double too, and the deviation, from totals of limbs."""
     limbs, squares = moments[: shape.limbs], moments[shape.limbs :]
     # Whole numbers mostly stay within decimals, which are faster than digits.
     whole = exact.as_decimal(limbs) if shape.whole else ""
-    s = exact.digits(limbs) if shape.whole else digits(exact.digits(limbs))
+    s = exact.digits(limbs) if shape.whole else named("digits", exact.digits(limbs))
     # An error where it does not fit, as sums of whole numbers are.
     values = {"sum": f"bigint({whole})",
               "double": f"double({whole})" if whole else exact.nearest(s, shape.low)}
     if squares:
-        q = exact.digits(squares) if shape.whole else digits(exact.digits(squares))
+        q = exact.digits(squares) if shape.whole else named("digits", exact.digits(squares))
         # Scaled by a power of two that no square can leave the doubles with.
         high = shape.low + exact.BITS * shape.limbs
         apart = exact.spread(n, s, q, exact.digit_count(shape.limbs),

@@ -384,3 +384,50 @@ def test_limbs_add_up_to_the_number(spark):
         total = sum(limb * 2 ** (exact.BITS * k) for k, limb in enumerate(row["l"])) * unit
         square = sum(limb * 2 ** (exact.BITS * k) for k, limb in enumerate(row["q"])) * unit**2
         assert (total, square) == (Fraction(row["x"]), Fraction(row["x"]) ** 2)
+
+
+@pytest.mark.parametrize("rule", [None, ALL_HOT])
+def test_totals_in_a_few_limbs_take_plain_arithmetic(spark, rule):
+    """Functions over arrays are not compiled, and took most of the time of such frames."""
+    draw = random.Random(3)
+    rows = [(i % 3, t, draw.choice([-1, 1]) * draw.uniform(1, 2) * 2.0 ** draw.randint(-60, 60))
+            for i, t in enumerate(range(200))]
+    df = spark.createDataFrame(rows, "k INT, t BIGINT, a DOUBLE")
+    request = Request("a", (Frame("w", -90, 0),), {"sum", "avg", "std"})
+    wide = frames.rolling(df, "t", [Group(("k",), (request,))], rule)
+    assert "lambda" not in wide._jdf.queryExecution().optimizedPlan().toString()
+    for row in wide.collect():
+        values = [a for k, t, a in rows if k == row["k"] and row["t"] - 90 <= t <= row["t"]]
+        s, _, variance = exact_figures(values, 1)
+        assert row["a_sum_w"] == float(s)
+        assert row["a_avg_w"] == float(s) / len(values)
+        if len(values) > 1:
+            assert row["a_std_w"] == pytest.approx(math.sqrt(variance), rel=1e-14)
+
+
+def test_plain_squares_add_up(spark):
+    draw = random.Random(2)
+    values = [draw.uniform(-1, 1) * 10.0 ** draw.randint(-15, 15) for _ in range(300)]
+    values += [math.nextafter(2.0**k, 0) for k in range(-40, 40)]
+    shape = exact.layout(min(map(abs, values)), max(map(abs, values)))
+    assert shape.plain
+    df = spark.createDataFrame([(v,) for v in values], "x DOUBLE").selectExpr(
+        "x", exact.limbs("x", shape) + " AS l")
+    unit = Fraction(2) ** shape.low
+    for row in df.selectExpr("x", "l", exact.squares_from("l", shape) + " AS q").collect():
+        total = sum(limb * 2 ** (exact.BITS * k) for k, limb in enumerate(row["l"])) * unit
+        square = sum(limb * 2 ** (exact.BITS * k) for k, limb in enumerate(row["q"])) * unit**2
+        assert (total, square) == (Fraction(row["x"]), Fraction(row["x"]) ** 2)
+        assert max(row["q"]) < 2 ** (exact.BITS + 2)
+
+
+def test_decimals_are_those_that_rounding_finds(spark):
+    draw = random.Random(5)
+    values = [round(draw.uniform(-1, 1) * 10.0 ** draw.randint(0, 17), draw.randint(0, 7))
+              for _ in range(3000)]
+    values += [math.nextafter(v, 1e300) for v in values] + [0.0, -0.0, 1e-300, 5e-324, 1e300, None]
+    df = spark.createDataFrame([(v,) for v in values], "a DOUBLE")
+    for digits in frames.DECIMALS:
+        found = df.select(frames._has_decimals(F.col("a"), digits).alias("ours"),
+                          (F.round("a", digits) == F.col("a")).alias("rounded"))
+        assert found.filter(~F.col("ours").eqNullSafe(F.col("rounded"))).isEmpty()
