@@ -185,7 +185,7 @@ def _fitted(spark, sf_dir, **params):
     inputs = model.model_inputs(table)
     split = model.add_time_split(table, TIME)
     rows = model.add_class_weight(split.filter(F.col("split") == "train"))
-    return model.boosted_trees(inputs, **params).fit(rows), split
+    return model.fitted(model.boosted_trees(inputs, **params), rows), split
 
 
 @query(f"WITH {_PERFECT} SELECT split, tp, fp, fn, {_METRICS} FROM c")
@@ -202,7 +202,7 @@ def model_scores_large(spark, sf_dir):
     rows = model.add_class_weight(split.filter(F.col("split") == "train"))
     pipeline = model.boosted_trees(
         model.model_inputs(table), categories=["hour", "day_of_week"], **model.LARGE_MODEL)
-    return evaluate.binary_metrics(pipeline.fit(rows).transform(split), by=["split"])
+    return evaluate.binary_metrics(model.fitted(pipeline, rows).transform(split), by=["split"])
 
 
 @query(f"""WITH {_PERFECT} SELECT split, tp, fp, fn, {_METRICS}, true AS stopped FROM c""")
@@ -213,7 +213,7 @@ def model_stopped(spark, sf_dir):
     rows = model.add_class_weight(split.filter(F.col("split") == "train"))
     pipeline = model.boosted_trees(
         model.model_inputs(table), validation=model.VALIDATION, validationTol=0.05)
-    fitted = pipeline.fit(model.add_validation(rows, "transaction_id"))
+    fitted = model.fitted(pipeline, model.add_validation(rows, "transaction_id"))
     stopped = fitted.stages[-1].getNumTrees < model.STANDARD_MODEL["maxIter"]
     return evaluate.binary_metrics(fitted.transform(split), by=["split"]).withColumn(
         "stopped", F.lit(stopped))

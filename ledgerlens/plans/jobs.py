@@ -271,7 +271,7 @@ def train_table(
     if held_out:
         weighted = model.add_validation(weighted, "transaction_id", held_out)
         params = {"validation": model.VALIDATION, **params}
-    fitted = model.boosted_trees(inputs, **params).fit(weighted)
+    fitted = model.fitted(model.boosted_trees(inputs, **params), weighted)
     model.save_model(fitted, path)
     listed = spark.createDataFrame(list(enumerate(inputs)), "position INT, feature STRING")
     sinks.write_parquet(listed, f"{path}-inputs", files=1)

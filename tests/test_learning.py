@@ -261,3 +261,27 @@ def test_the_warm_up_of_late_days_begins_with_the_table(spark, sf_dir, tmp_path)
     whole = spark.read.parquet(str(tmp_path / "whole"))
     late = spark.read.parquet(str(tmp_path / "late"))
     assert same_rows(late, whole.filter(F.col("tx_date") >= first + timedelta(days=10)))
+
+
+def test_training_rows_are_spread_by_their_number(spark, monkeypatch):
+    """One file, which is read in one part, is trained on in parts of bounded rows, and the
+    vectors are made below the exchange."""
+    rows = spark.range(0, 4000, 1, 1).selectExpr(
+        "id AS transaction_id", "double(id % 7) AS a", "int(id % 2) AS b",
+        "int(id % 7 > 3) AS tx_fraud", "1D AS weight")
+    monkeypatch.setattr(model, "ROWS_A_TASK", 100)
+    seen = []
+    fit = model.GBTClassifier.fit
+    monkeypatch.setattr(model.GBTClassifier, "fit", lambda self, df, *more: (
+        seen.append(df), fit(self, df, *more))[1])
+    pipeline = model.boosted_trees(["a", "b"], maxIter=2)
+    found = model.fitted(pipeline, rows)
+    assert seen[0].columns == ["features", "tx_fraud", "weight"]
+    parts = [len(part) for part in seen[0].rdd.glom().collect()]
+    assert len(parts) == 40 and sum(parts) == 4000 and max(parts) < 200
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RepartitionByExpression") < plan.index("UDF")
+    scored = found.transform(rows)
+    assert scored.filter("prediction <> tx_fraud").isEmpty()
+    names = {row["feature"] for row in model.feature_importance(found, scored).collect()}
+    assert names == {"a", "b"}
