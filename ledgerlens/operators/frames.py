@@ -172,11 +172,18 @@ def _units(target: str, units: str) -> str:
     if not _is_fraction(units):
         return f"bigint(`{target}`)" if units == "1" else f"bigint(`{target}` * {units})"
     value, size = _finite(target), units[1:]
+    rounded = _rounded(f"{value} * {size}")
     if mark == FOUND:
-        return f"bigint(round({value} * {size}))"
-    near = f"abs({value} * {size} - round({value} * {size})) < 0.000001"
+        return f"bigint({rounded})"
+    near = f"abs({value} * {size} - {rounded}) < 0.000001"
     broken = f"raise_error('{target} is not a multiple of 1 / {size}')"
-    return f"bigint(if({value} IS NULL OR {near}, round({value} * {size}), {broken}))"
+    return f"bigint(if({value} IS NULL OR {near}, {rounded}, {broken}))"
+
+
+def _rounded(amount: str) -> str:
+    """``round`` of an amount in units, which lies within a quarter of a whole number: below
+    2^50 without making a decimal of it."""
+    return f"if(abs({amount}) < {2**50}D, rint({amount}), round({amount}))"
 
 
 def _per_unit(units: str) -> str:

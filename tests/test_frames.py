@@ -431,3 +431,16 @@ def test_decimals_are_those_that_rounding_finds(spark):
         found = df.select(frames._has_decimals(F.col("a"), digits).alias("ours"),
                           (F.round("a", digits) == F.col("a")).alias("rounded"))
         assert found.filter(~F.col("ours").eqNullSafe(F.col("rounded"))).isEmpty()
+
+
+@pytest.mark.parametrize("size", [1, 100, 10000])
+def test_units_are_those_that_rounding_finds(spark, size):
+    """Amounts in units are rounded without making decimals of them, also next to a half."""
+    draw = random.Random(size)
+    values = [draw.randrange(-(10**15), 10**15) / size for _ in range(500)]
+    values += [v / size for v in (0, 1, -1, 2**50 - 1, 2**50, -(2**50), 2**52 + 1)]
+    df = spark.createDataFrame([(v,) for v in values], "a DOUBLE")
+    units = frames._units("a", f"{frames.FOUND}{size}")
+    assert "rint" in units
+    found = df.selectExpr(f"{units} AS ours", f"bigint(round(a * {size})) AS rounded")
+    assert found.filter("ours IS DISTINCT FROM rounded").isEmpty()
