@@ -8,6 +8,7 @@ from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.boosting import BoostedTrees
 from ledgerlens.operators.derive import in_stable_sample
 from ledgerlens.operators.explore import approx_quantile, exact_quantiles
 from ledgerlens.operators.sketches import written_quantile
@@ -111,7 +112,7 @@ def boosted_trees(
     if validation:
         params = {"validationIndicatorCol": validation, "cacheNodeIds": True,
                   "checkpointInterval": 10, **params}
-    trees = GBTClassifier(
+    trees = BoostedTrees(
         labelCol=label, featuresCol="features", **{**STANDARD_MODEL, **params}
     )
     return _on_vector(inputs, categories, trees, weight)
@@ -170,7 +171,10 @@ def fitted(pipeline: Pipeline, rows: DataFrame, key: str = "transaction_id") ->
     return PipelineModel(stages=[*encoded.stages, trees.fit(vectors)]).copy()
 
 
-def _on_vector(inputs: list[str], categories: list[str] | None, trees, weight: str | None):
+def _on_vector(
+    inputs: list[str], categories: list[str] | None,
+    trees: GBTClassifier | RandomForestClassifier, weight: str | None,
+) -> Pipeline:
     stages = []
     vectors = []
     for name in categories or []:

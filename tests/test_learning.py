@@ -5,12 +5,14 @@ from datetime import timedelta
 from pathlib import Path
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from checks import views
 from checks.windows import WARMUP, transactions
-from ledgerlens.operators import evaluate, model
+from ledgerlens.operators import boosting, evaluate, model
 from ledgerlens.operators.skew import HotRule
 from ledgerlens.plans import jobs, presets
 from ledgerlens.session import claim_file
@@ -285,3 +287,77 @@ def test_training_rows_are_spread_by_their_number(spark, monkeypatch):
     assert scored.filter("prediction <> tx_fraud").isEmpty()
     names = {row["feature"] for row in model.feature_importance(found, scored).collect()}
     assert names == {"a", "b"}
+
+
+def noisy_table(spark, rows):
+    """Labels that many inputs decide together, and chance."""
+    hashed = [f"pmod(xxhash64(id, {i}), 1000)" for i in range(5)]
+    table = spark.range(0, rows, 1, 4).selectExpr(
+        "id AS transaction_id", f"double({hashed[0]}) AS a", f"double({hashed[1]} % 5) AS b",
+        f"int({hashed[2]} % 24) AS hour", "0D AS same", f"1D + {hashed[3]} % 3 AS weight")
+    return table.selectExpr(
+        "*", f"int(a / 1000 + hour % 5 / 5 + b / 9 + {hashed[4].replace('id', 'transaction_id')}"
+        " / 1000 > 1.5) AS tx_fraud")
+
+
+def test_boosted_trees_are_those_of_spark(spark):
+    """Same splits and predictions, with categories, weights and an input without values."""
+    rows = noisy_table(spark, 3000).cache()
+    pipeline = model.boosted_trees(
+        ["a", "b", "same"], categories=["hour"], maxIter=6, maxDepth=4)
+    *front, trees = pipeline.getStages()
+    vectors = Pipeline(stages=front).fit(rows).transform(rows)
+    ours, theirs = trees.fit(vectors), super(boosting.BoostedTrees, trees)._fit(vectors)
+    assert ours.treeWeights == theirs.treeWeights == [1.0] + [0.1] * 5
+    assert ours.trees[0].toDebugString.split("\n")[1:] == theirs.trees[0].toDebugString.split("\n")[1:]
+    assert abs(ours.totalNumNodes - theirs.totalNumNodes) <= 4  # splits of no gain but rounding
+    both = theirs.transform(ours.transform(vectors).select(
+        vector_to_array("probability").alias("ours"), "features"))
+    gap = F.abs(F.col("ours")[1] - vector_to_array("probability")[1])
+    assert both.agg(F.max(gap)).first()[0] < 1e-9
+    assert ours.featureImportances.toArray() == pytest.approx(
+        theirs.featureImportances.toArray(), abs=1e-9)
+
+
+def test_boosted_trees_read_packed_bins(spark, monkeypatch):
+    """Two bytes for several inputs of a row; the same result however rows and tasks are cut."""
+    rows = noisy_table(spark, 3000).cache()
+    pipeline = model.boosted_trees(["a", "b"], categories=["hour"], maxIter=3, maxDepth=3)
+    seen = []
+    train = boosting._train
+    monkeypatch.setattr(boosting, "_train", lambda *given: seen.append(train(*given)) or seen[-1])
+    whole = model.fitted(pipeline, rows)
+    layout = seen[0][0]
+    assert len(layout.arities) == 26 and len(layout.groups) <= 4
+    assert sorted(sum(layout.groups, [])) == list(range(26))
+    monkeypatch.setattr(model, "ROWS_A_TASK", 100)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(boosting, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(boosting, "PASS_ROWS", 40)
+    cut = model.fitted(pipeline, rows)
+    scored = whole.transform(rows).select("transaction_id", F.col("rawPrediction").alias("one"))
+    both = cut.transform(rows).join(scored, "transaction_id")
+    gap = F.abs(vector_to_array("one")[1] - vector_to_array("rawPrediction")[1])
+    assert both.agg(F.max(gap)).first()[0] < 1e-9
+
+
+def test_boosted_trees_end_where_rounding_is_all_that_is_left(spark):
+    """Leaves whose rows have the same target are not split by what rounding leaves of sums."""
+    rows = spark.range(0, 3000, 1, 4).selectExpr(
+        "id AS transaction_id", "int(id % 4) AS kind", "double(xxhash64(id) % 97) AS other",
+        "int(id % 4 = 2) AS tx_fraud", "IF(id % 4 = 2, 3.1D, 1D) AS weight")
+    found = model.fitted(model.boosted_trees(["kind", "other"], maxIter=30, maxDepth=7), rows)
+    assert found.stages[-1].totalNumNodes == 30 * 5
+    assert found.transform(rows).filter("prediction <> tx_fraud").isEmpty()
+
+
+def test_boosted_trees_take_only_what_spark_takes(spark):
+    rows = noisy_table(spark, 300)
+    fit = model.boosted_trees(["a", "b"], maxIter=1).fit
+    for wrong in ("2 AS tx_fraud", "1 AS tx_fraud, -1D AS weight", "1 AS tx_fraud, double('nan') AS a"):
+        names = [part.split(" AS ")[1] for part in wrong.split(", ")]
+        kept = [name for name in rows.columns if name not in names]
+        with pytest.raises(Exception):
+            fit(rows.selectExpr(*kept, *wrong.split(", ")))
+    with pytest.raises(Exception):
+        fit(rows.filter("false"))
